@@ -16,12 +16,3 @@ def col_or(df: DataFrame, name: str, default) -> Column:
 def count_true(condition: Column) -> Column:
     """Number of rows where the condition holds (NULL counts as not holding)."""
     return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def bands(value: Column, steps: list[tuple[float, float]], otherwise: float) -> Column:
-    """First matching step of a descending ``value > bound -> result`` ladder."""
-    out = None
-    for bound, result in steps:
-        hit = value > F.lit(bound)
-        out = F.when(hit, F.lit(result)) if out is None else out.when(hit, F.lit(result))
-    return out.otherwise(F.lit(otherwise))

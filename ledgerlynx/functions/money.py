@@ -11,35 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CENTS = "decimal(18,0)"
-
-
-def cents(df: DataFrame, amount: str = "amount") -> Column:
+def cents_sql(df: DataFrame, amount: str = "amount") -> str:
     """Whole cents of an amount; uses ``<amount>_cents`` when it is stored."""
     stored = f"{amount}_cents"
-    if stored in df.columns:
-        return F.col(stored).cast(CENTS)
-    return F.round(F.col(amount) * 100.0).cast(CENTS)
+    value = stored if stored in df.columns else f"round({amount} * 100D)"
+    return f"CAST({value} AS DECIMAL(18,0))"
 
 
-def total_from(sum_cents: Column) -> Column:
-    return sum_cents.cast("double") / F.lit(100.0)
-
+def cents(df: DataFrame, amount: str = "amount") -> Column:
+    return F.expr(cents_sql(df, amount))
 
-def mean_from(sum_cents: Column, n: Column) -> Column:
-    return sum_cents.cast("double") / n / F.lit(100.0)
 
+def total_of_cents(df: DataFrame, name: str) -> Column:
+    """Exact sum of the amounts of a group."""
+    return F.expr(f"CAST(sum({cents_sql(df)}) AS DOUBLE) / 100D AS {name}")
 
-def stddev_from(sum_cents: Column, sum_squares: Column, n: Column) -> Column:
-    """Population standard deviation from exact sums, never below zero.
 
-    ``n * sum(x^2) - sum(x)^2`` is exact while it fits 38 digits; beyond that
-    the same value is taken in DOUBLE.
-    """
-    exact = F.try_subtract(
-        F.try_multiply(n.cast("decimal(18,0)"), sum_squares),
-        F.try_multiply(sum_cents, sum_cents),
-    ).cast("double")
-    wide = n * sum_squares.cast("double") - sum_cents.cast("double") * sum_cents.cast("double")
-    spread = F.greatest(F.coalesce(exact, wide), F.lit(0.0))
-    return F.sqrt(spread) / n / F.lit(100.0)
+# Results in currency units from n rows, their cents s and squared cents ss.
+TOTAL = "CAST(s AS DOUBLE) / 100D"
+MEAN = "CAST(s AS DOUBLE) / n / 100D"
+# Population standard deviation. n * ss - s * s is exact while it fits 38 digits;
+# beyond that the same value is taken in DOUBLE.
+STDDEV = """sqrt(greatest(0D, coalesce(
+    CAST(try_subtract(try_multiply(CAST(n AS DECIMAL(18,0)), ss), try_multiply(s, s)) AS DOUBLE),
+    n * CAST(ss AS DOUBLE) - CAST(s AS DOUBLE) * CAST(s AS DOUBLE)))) / n / 100D"""

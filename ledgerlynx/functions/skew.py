@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key is heavy when it holds both more than 1/HEAVY_SHARE of all rows and at
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 100_000
 HEAVY_ROWS = 1_000_000
 
-_KEY, _SALTS, _SALT = "__key_hash", "__salts", "__salt"
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
 def heavy_keys(
@@ -24,18 +25,18 @@ def heavy_keys(
     heavy_rows: int = HEAVY_ROWS,
     heavy_share: int = HEAVY_SHARE,
 ) -> DataFrame:
-    """Hash and number of splits of each heavy key.
+    """``__key_hash`` and number of ``__splits`` of each heavy key.
 
     ``sizes`` has one row per key. The total is a scalar subquery, so the
-    decision is part of the plan and nothing is collected.
+    decision is part of the plan and nothing is collected. A table without
+    heavy keys gives an empty list, and the engine then drops the joins with it.
     """
     size = F.col(size_col)
     total = sizes.select(F.sum(size_col)).scalar()
-    return (
-        sizes.where((size >= F.lit(heavy_rows)) & (size * F.lit(heavy_share) > total))
-        .groupBy(F.xxhash64(*keys).alias(_KEY))
-        .agg(F.ceil(F.sum(size) / F.lit(heavy_rows)).cast("int").alias(_SALTS))
-    )
+    heavy = sizes.where(size >= F.lit(heavy_rows)).where(size * F.lit(heavy_share) > total)
+    return heavy.groupBy(
+        F.expr(f"xxhash64({', '.join(_quoted(keys))}) AS __key_hash")
+    ).agg(F.expr(f"CAST(ceil(sum(`{size_col}`) / {heavy_rows}) AS INT) AS __splits"))
 
 
 def attach_by_key(
@@ -63,26 +64,19 @@ def attach_by_key(
     spread = [spread_on] if isinstance(spread_on, str) else list(spread_on)
     heavy = F.broadcast(heavy_keys(
         per_key if sizes is None else sizes, keys, size_col, heavy_rows, heavy_share))
-    splits = F.coalesce(F.col(_SALTS), F.lit(1))
+    key_hash = f"xxhash64({', '.join(_quoted(keys))}) AS __key_hash"
+    split_of_row = (f"CAST(pmod(xxhash64({', '.join(_quoted(spread))}), coalesce(__splits, 1)) "
+                    "AS INT) AS __split")
+    every_split = "explode(sequence(0, coalesce(__splits, 1) - 1)) AS __split"
 
-    left = (
-        facts.withColumn(_KEY, F.xxhash64(*keys))
-        .join(heavy, _KEY, "left")
-        .withColumn(_SALT, F.pmod(F.xxhash64(*spread), splits).cast("int"))
-        .drop(_KEY, _SALTS)
-    )
-    right = (
-        per_key.withColumn(_KEY, F.xxhash64(*keys))
-        .join(heavy, _KEY, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop(_KEY, _SALTS)
-    )
+    left = facts.selectExpr("*", key_hash).join(heavy, "__key_hash", "left") \
+        .selectExpr(*_quoted(facts.columns), split_of_row)
+    right = per_key.selectExpr("*", key_hash).join(heavy, "__key_hash", "left") \
+        .selectExpr(*_quoted(per_key.columns), every_split)
     if not null_safe:
-        return left.join(right, [*keys, _SALT], how).drop(_SALT)
+        return left.join(right, [*keys, "__split"], how).drop("__split")
 
-    renamed = {k: f"__r_{k}" for k in [*keys, _SALT]}
-    right = right.withColumnsRenamed(renamed)
-    matches: Column = F.lit(True)
-    for k, r in renamed.items():
-        matches = matches & left[k].eqNullSafe(right[r])
-    return left.join(right, matches, how).drop(_SALT, *renamed.values())
+    on = [*keys, "__split"]
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in on})
+    match = F.expr(" AND ".join(f"`{k}` <=> `__right_{k}`" for k in on))
+    return left.join(right, match, how).drop("__split", *[f"__right_{k}" for k in on])

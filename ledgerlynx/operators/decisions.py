@@ -11,25 +11,23 @@ from ledgerlynx.functions.text import float_text
 
 def decisions(scored: DataFrame) -> DataFrame:
     """Every column plus the decision, its confidence, flags and reason."""
-    score = F.col("risk_score")
-    approve = score < F.lit(DEFAULTS.approve_max / 100.0)
-    reject = score >= F.lit(DEFAULTS.reject_min / 100.0)
-
-    def pick(approved, rejected, review) -> Column:
-        return F.when(approve, approved).when(reject, rejected).otherwise(review)
+    def pick(approved: str, rejected: str, review: str) -> Column:
+        return F.expr(
+            f"CASE WHEN risk_score < {DEFAULTS.approve_max / 100.0}D THEN {approved} "
+            f"WHEN risk_score >= {DEFAULTS.reject_min / 100.0}D THEN {rejected} "
+            f"ELSE {review} END")
 
     return scored.withColumns({
-        "decision": pick(F.lit("AUTO_APPROVE"), F.lit("AUTO_REJECT"), F.lit("REVIEW_REQUIRED")),
-        "decision_confidence": pick(
-            (F.lit(1.0) - score) * F.lit(100.0), score * F.lit(100.0), F.lit(50.0)),
-        "requires_action": pick(F.lit(False), F.lit(False), F.lit(True)),
-        "auto_approved": pick(F.lit(True), F.lit(False), F.lit(False)),
-        "auto_rejected": pick(F.lit(False), F.lit(True), F.lit(False)),
+        "decision": pick("'AUTO_APPROVE'", "'AUTO_REJECT'", "'REVIEW_REQUIRED'"),
+        "decision_confidence": pick("(1D - risk_score) * 100D", "risk_score * 100D", "50D"),
+        "requires_action": pick("false", "false", "true"),
+        "auto_approved": pick("true", "false", "false"),
+        "auto_rejected": pick("false", "true", "false"),
         # fixed texts
         "decision_reason": pick(
-            F.lit("Low risk score - invoice meets all safety criteria"),
-            F.lit("High fraud probability - multiple risk factors detected"),
-            F.lit("Moderate risk - requires manual verification")),
+            "'Low risk score - invoice meets all safety criteria'",
+            "'High fraud probability - multiple risk factors detected'",
+            "'Moderate risk - requires manual verification'"),
     })
 
 

@@ -18,7 +18,7 @@ def dup_key_counts(invoices: DataFrame, fields: Sequence[str] | None = None) ->
     return invoices.groupBy(*(fields or EXACT_FIELDS)).agg(
         F.count(F.lit(1)).alias("duplicate_count"),
         F.min("invoice_id").alias("first_invoice_id"),
-        money.total_from(F.sum(money.cents(invoices))).alias("group_total"),
+        money.total_of_cents(invoices, "group_total"),
     )
 
 
@@ -33,13 +33,12 @@ def exact_duplicates(invoices: DataFrame, exact_match_fields: Sequence[str] | No
     marked = attach_by_key(
         invoices, repeated, fields, "duplicate_count", "invoice_id",
         how="left", null_safe=True)
-    return marked.select(
-        *[marked[c] for c in invoices.columns],
-        F.col("duplicate_count").isNotNull().alias("is_duplicate"),
-        F.coalesce("duplicate_count", F.lit(1).cast("bigint")).alias("duplicate_count"),
-        F.coalesce("group_total", F.col("amount")).alias("duplicate_group_total"),
-        F.coalesce("first_invoice_id", F.col("invoice_id")).alias("first_invoice_id"),
-    )
+    return marked.selectExpr(
+        *[f"`{c}`" for c in invoices.columns],
+        "duplicate_count IS NOT NULL AS is_duplicate",
+        "coalesce(duplicate_count, 1L) AS duplicate_count",
+        "coalesce(group_total, amount) AS duplicate_group_total",
+        "coalesce(first_invoice_id, invoice_id) AS first_invoice_id")
 
 
 def fuzzy_duplicates(

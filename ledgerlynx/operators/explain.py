@@ -207,7 +207,7 @@ def explain_audit(scored: DataFrame) -> DataFrame:
     tax = col_or(scored, "tax_mismatch", col_or(scored, "tax_mismatch_triggered", False))
     return scored.withColumn("risk_explanation", audit_text(
         points.cast("double"), F.col("deviation_percentage"), F.col("bank_account_changed"),
-        similarity_of(scored), tax))
+        F.expr(similarity_of(scored)), tax))
 
 
 def format_alert_text(explanations: DataFrame) -> DataFrame:

@@ -27,21 +27,21 @@ def _rows() -> Column:
 
 
 def _amount_sum(df: DataFrame) -> Column:
-    return money.total_from(F.sum(money.cents(df)))
+    return money.total_of_cents(df, "total_amount")
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
     """Count, mean score and amount per level."""
     return scored.groupBy("risk_level").agg(
         _rows().alias("count"), F.avg("risk_score").alias("avg_risk_score"),
-        _amount_sum(scored).alias("total_amount"))
+        _amount_sum(scored))
 
 
 def alert_summary_amount(explanations: DataFrame) -> DataFrame:
     """Count and amount per level; the amount is 0 where the frame has none."""
-    amount = _amount_sum(explanations) if "amount" in explanations.columns else F.lit(0.0)
-    return explanations.groupBy("risk_level").agg(
-        _rows().alias("count"), amount.alias("total_amount"))
+    amount = (_amount_sum(explanations) if "amount" in explanations.columns
+              else F.lit(0.0).alias("total_amount"))
+    return explanations.groupBy("risk_level").agg(_rows().alias("count"), amount)
 
 
 def alert_summary_score(alerts: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def vendor_risk_summary(scored: DataFrame) -> DataFrame:
         _rows().alias("total_invoices"),
         count_true(F.col("risk_level") == "HIGH").alias("high_risk_count"),
         F.avg("risk_score").alias("avg_risk_score"),
-        _amount_sum(scored).alias("total_amount"))
+        _amount_sum(scored))
 
 
 def batch_report(
@@ -120,25 +120,31 @@ def kpi_monthly(decided: DataFrame) -> DataFrame:
         F.when(prev > 0, change).otherwise(F.lit(0.0)).alias("change_pct"))
 
 
-def _score_percent(decided: DataFrame) -> Column:
-    """Scores on the 0-100 scale; a table whose maximum is at most 1 is on the 0-1 one."""
-    highest = decided.where(F.col("ts").isNotNull()).select(F.max("risk_score")).scalar()
-    score = F.col("risk_score").cast("double")
-    return F.when(highest <= 1.0, score * F.lit(100.0)).otherwise(score)
-
-
-def trend_bucket(percent: Column) -> Column:
-    return (F.when(percent <= F.lit(DEFAULTS.low_max), TREND_BUCKETS[0])
-            .when(percent <= F.lit(DEFAULTS.medium_max), TREND_BUCKETS[1])
-            .otherwise(TREND_BUCKETS[2]))
-
-
 def group_size_pivot(decided: DataFrame) -> DataFrame:
-    """Rows per day and risk bucket, one column per bucket, 0 where there are none."""
-    rows = decided.where(F.col("ts").isNotNull()).select(
-        F.to_date("ts").alias("day"), trend_bucket(_score_percent(decided)).alias("bucket"))
-    return rows.groupBy("day").pivot("bucket", TREND_BUCKETS).agg(_rows()) \
-        .fillna(0, subset=TREND_BUCKETS)
+    """Rows per day and risk bucket, one column per bucket, 0 where there are none.
+
+    Scores are on the 0-1 scale when the highest of the whole table is at most
+    1, otherwise on the 0-100 scale. Both ways are counted in one pass and the
+    highest score, taken from the daily rows, picks one.
+    """
+    low, medium = DEFAULTS.low_max, DEFAULTS.medium_max
+    # a missing score counts as high
+    tests = {
+        TREND_BUCKETS[0]: "{s} <= {low}D",
+        TREND_BUCKETS[1]: "{s} > {low}D AND {s} <= {medium}D",
+        TREND_BUCKETS[2]: "{s} IS NULL OR {s} > {medium}D",
+    }
+    counts = [
+        F.expr(f"count_if({test.format(s=s, low=low, medium=medium)}) AS `{name} {scale}`")
+        for scale, s in (("1", "risk_score * 100D"), ("100", "CAST(risk_score AS DOUBLE)"))
+        for name, test in tests.items()
+    ]
+    daily = decided.where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).agg(
+        F.max("risk_score").alias("highest"), *counts)
+    highest = daily.select(F.max("highest")).scalar()
+    return daily.select("day", *[
+        F.when(highest <= 1.0, F.col(f"{name} 1")).otherwise(F.col(f"{name} 100")).alias(name)
+        for name in TREND_BUCKETS])
 
 
 def risk_trend_7d(decided: DataFrame, end: dt.date, days: int = 7) -> DataFrame:

@@ -10,43 +10,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlynx.config import DEFAULTS
-from ledgerlynx.functions.columns import bands, col_or
+from ledgerlynx.functions.columns import col_or
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.text import float_text
 
 
 # -------------------------------------------------------------- expressions
 
+# The rating of each band and the weight of each rating.
+AMOUNT_RISK = """
+  (CASE WHEN amount > 50000 THEN 0.8D WHEN amount > 25000 THEN 0.5D
+        WHEN amount > 10000 THEN 0.3D ELSE 0.1D END) * 0.25D
+  + (CASE WHEN amount >= 9500 AND amount < 10000 THEN 0.9D
+          WHEN amount >= 9000 AND amount < 9500 THEN 0.6D ELSE 0D END) * 0.35D
+  + (CASE WHEN abs(deviation_percentage) > 100 THEN 0.9D
+          WHEN abs(deviation_percentage) > 50 THEN 0.6D
+          WHEN abs(deviation_percentage) > 25 THEN 0.3D ELSE 0D END) * 0.35D
+  + (CASE WHEN amount % 1000 = 0 THEN 0.4D WHEN amount % 100 = 0 THEN 0.2D
+          ELSE 0D END) * 0.05D"""
+VENDOR_RISK = """
+  (CASE WHEN vendor_total_invoices <= 1 THEN 0.8D WHEN vendor_total_invoices <= 3 THEN 0.6D
+        WHEN vendor_total_invoices <= 5 THEN 0.3D ELSE 0D END) * 0.3D
+  + (CASE WHEN vendor_stddev_amount > vendor_avg_amount THEN 0.7D
+          WHEN vendor_stddev_amount > vendor_avg_amount * 0.5D THEN 0.4D
+          ELSE 0.1D END) * 0.2D
+  + (CASE WHEN bank_account_changed THEN 0.95D ELSE 0D END) * 0.5D"""
+PAYMENT_RISK = """
+  (CASE payment_method WHEN 'Wire Transfer' THEN 0.6D WHEN 'Check' THEN 0.3D ELSE 0.1D END)"""
+DUPLICATE_RISK = f"""
+  {PAYMENT_RISK} * 0.4D + (CASE WHEN is_duplicate THEN 0.9D ELSE 0D END) * 0.6D"""
+
+
 def amount_risk_score() -> Column:
     """Size, nearness to an approval limit, deviation and roundness."""
-    amount = F.col("amount")
-    size = bands(amount, [(50000.0, 0.8), (25000.0, 0.5), (10000.0, 0.3)], 0.1)
-    near_limit = (
-        F.when((amount >= 9500.0) & (amount < 10000.0), F.lit(0.9))
-        .when((amount >= 9000.0) & (amount < 9500.0), F.lit(0.6))
-        .otherwise(F.lit(0.0)))
-    distance = bands(
-        F.abs("deviation_percentage"), [(100.0, 0.9), (50.0, 0.6), (25.0, 0.3)], 0.0)
-    whole = amount.cast("bigint")
-    roundness = (
-        F.when(whole != amount, F.lit(0.0))
-        .when(whole % 1000 == 0, F.lit(0.4))
-        .when(whole % 100 == 0, F.lit(0.2))
-        .otherwise(F.lit(0.0)))
-    return (size * F.lit(0.25) + near_limit * F.lit(0.35)
-            + distance * F.lit(0.35) + roundness * F.lit(0.05))
+    return F.expr(AMOUNT_RISK)
 
 
 def vendor_risk_score() -> Column:
     """Few invoices, scattered amounts, changed bank account."""
-    n = F.col("vendor_total_invoices")
-    spread, mean = F.col("vendor_stddev_amount"), F.col("vendor_avg_amount")
-    newness = (F.when(n <= 1, F.lit(0.8)).when(n <= 3, F.lit(0.6))
-               .when(n <= 5, F.lit(0.3)).otherwise(F.lit(0.0)))
-    scatter = (F.when(spread > mean, F.lit(0.7))
-               .when(spread > mean * F.lit(0.5), F.lit(0.4)).otherwise(F.lit(0.1)))
-    bank = F.when(F.col("bank_account_changed"), F.lit(0.95)).otherwise(F.lit(0.0))
-    return newness * F.lit(0.3) + scatter * F.lit(0.2) + bank * F.lit(0.5)
+    return F.expr(VENDOR_RISK)
 
 
 def temporal_risk_score(
@@ -63,29 +65,17 @@ def temporal_risk_score(
     return F.when(weekend | after_hours, F.lit(0.5)).otherwise(F.lit(0.1))
 
 
-def pattern_risk_score(duplicate: Column | None = None) -> Column:
-    """Payment method, and being a duplicate where that is known."""
-    method = F.col("payment_method")
-    payment = (F.when(method == "Wire Transfer", F.lit(0.6))
-               .when(method == "Check", F.lit(0.3)).otherwise(F.lit(0.1)))
-    if duplicate is None:
-        return payment
-    copied = F.when(duplicate, F.lit(0.9)).otherwise(F.lit(0.0))
-    return payment * F.lit(0.4) + copied * F.lit(0.6)
-
-
-def similarity_of(df: DataFrame) -> Column:
-    """The row's duplicate similarity, 0 where none was computed."""
-    name = next((c for c in ("semantic_similarity_score", "duplicate_similarity_score")
-                 if c in df.columns), None)
-    return F.lit(0.0) if name is None else F.coalesce(F.col(name), F.lit(0.0))
+def pattern_risk_score(with_duplicates: bool = False) -> Column:
+    """Payment method, and ``is_duplicate`` where that is known."""
+    return F.expr(DUPLICATE_RISK if with_duplicates else PAYMENT_RISK)
 
 
-def tax_mismatch() -> Column:
-    tax, amount = F.col("tax"), F.col("amount")
-    low = amount * F.lit(DEFAULTS.tax_min_pct / 100.0)
-    high = amount * F.lit(DEFAULTS.tax_max_pct / 100.0)
-    return F.coalesce((tax < low) | (tax > high), F.lit(False))
+def similarity_of(df: DataFrame) -> str:
+    """Expression of the row's duplicate similarity, 0 where none was computed."""
+    for name in ("semantic_similarity_score", "duplicate_similarity_score"):
+        if name in df.columns:
+            return f"coalesce({name}, 0D)"
+    return "0D"
 
 
 # ---------------------------------------------------------------- operators
@@ -121,12 +111,12 @@ def pattern_risk(invoices: DataFrame, duplicate_info: DataFrame | None = None) -
     if duplicate_info is None:
         return invoices.select("invoice_id", pattern_risk_score().alias("pattern_risk_score"))
     return join_left_dup_flag(invoices, duplicate_info).select(
-        "invoice_id", pattern_risk_score(F.col("is_duplicate")).alias("pattern_risk_score"))
+        "invoice_id", pattern_risk_score(True).alias("pattern_risk_score"))
 
 
 def add_composite(
     enriched: DataFrame,
-    duplicate: Column | None = None,
+    with_duplicates: bool = False,
     weights: dict[str, float] | None = None,
     use_calendar: bool = False,
     score: str = "risk_score",
@@ -137,24 +127,21 @@ def add_composite(
         "amount_risk": amount_risk_score(),
         "vendor_risk": vendor_risk_score(),
         "temporal_risk": temporal_risk_score(use_calendar),
-        "pattern_risk": pattern_risk_score(duplicate),
+        "pattern_risk": pattern_risk_score(with_duplicates),
     })
-    total = (F.col("amount_risk") * F.lit(float(w["amount"]))
-             + F.col("vendor_risk") * F.lit(float(w["vendor"]))
-             + F.col("temporal_risk") * F.lit(float(w["temporal"]))
-             + F.col("pattern_risk") * F.lit(float(w["pattern"])))
-    scored = parts.withColumn(score, total)
-    n = F.col("vendor_total_invoices")
+    scored = parts.withColumn(score, F.expr(" + ".join(
+        f"{name}_risk * {float(w[name])!r}D"
+        for name in ("amount", "vendor", "temporal", "pattern"))))
+    factors = [float_text(F.col(f"{name}_risk"))
+               for name in ("amount", "vendor", "temporal", "pattern")]
     return scored.withColumns({
-        "risk_level": (
-            F.when(F.col(score) >= F.lit(DEFAULTS.medium_max / 100.0), "HIGH")
-            .when(F.col(score) >= F.lit(DEFAULTS.low_max / 100.0), "MEDIUM")
-            .otherwise("LOW")),
-        "risk_factors": F.concat_ws(",", *[
-            float_text(F.col(c))
-            for c in ("amount_risk", "vendor_risk", "temporal_risk", "pattern_risk")]),
-        "confidence": (F.when(n > 10, F.lit(0.9)).when(n > 5, F.lit(0.7))
-                       .otherwise(F.lit(0.5))),
+        "risk_level": F.expr(
+            f"CASE WHEN {score} >= {DEFAULTS.medium_max / 100.0}D THEN 'HIGH' "
+            f"WHEN {score} >= {DEFAULTS.low_max / 100.0}D THEN 'MEDIUM' ELSE 'LOW' END"),
+        "risk_factors": F.concat_ws(",", *factors),
+        "confidence": F.expr(
+            "CASE WHEN vendor_total_invoices > 10 THEN 0.9D "
+            "WHEN vendor_total_invoices > 5 THEN 0.7D ELSE 0.5D END"),
     })
 
 
@@ -165,11 +152,10 @@ def composite_risk(
     use_calendar: bool = False,
 ) -> DataFrame:
     """Weighted 0-1 score with its level, factors and confidence."""
-    duplicate = None
     if duplicate_info is not None:
         enriched = join_left_dup_flag(enriched, duplicate_info)
-        duplicate = F.col("is_duplicate")
-    return add_composite(enriched, duplicate, weights, use_calendar).select(
+    return add_composite(
+        enriched, duplicate_info is not None, weights, use_calendar).select(
         "invoice_id", "vendor_id", "amount", "tax", "bank_account", "ts", "description",
         "amount_risk", "vendor_risk", "temporal_risk", "pattern_risk",
         "risk_score", "risk_level", "risk_factors", "confidence")
@@ -177,33 +163,33 @@ def composite_risk(
 
 def add_points(enriched: DataFrame) -> DataFrame:
     """The row plus the four triggers, ``risk_points`` (0-100) and the breakdown."""
-    limit = F.lit(DEFAULTS.deviation_pct)
-    flagged = enriched.withColumns({
-        "deviation_triggered": F.coalesce(F.abs("deviation_percentage") > limit, F.lit(False)),
-        "bank_change_triggered": F.coalesce("bank_account_changed", F.lit(False)),
-        "duplicate_triggered": similarity_of(enriched) > F.lit(DEFAULTS.similarity),
-        "tax_mismatch_triggered": tax_mismatch(),
-    })
-    points = {
-        "Deviation": ("deviation_triggered", DEFAULTS.points_deviation),
-        "BankChange": ("bank_change_triggered", DEFAULTS.points_bank_change),
-        "Duplicate": ("duplicate_triggered", DEFAULTS.points_duplicate),
-        "TaxMismatch": ("tax_mismatch_triggered", DEFAULTS.points_tax),
+    t = DEFAULTS
+    triggers = {
+        "deviation_triggered": f"abs(deviation_percentage) > {t.deviation_pct}D",
+        "bank_change_triggered": "bank_account_changed",
+        "duplicate_triggered": f"{similarity_of(enriched)} > {t.similarity}D",
+        "tax_mismatch_triggered": f"tax < amount * {t.tax_min_pct / 100.0}D "
+                                  f"OR tax > amount * {t.tax_max_pct / 100.0}D",
+    }
+    given = {
+        "Deviation": f"IF(deviation_triggered, {t.points_deviation}, 0)",
+        "BankChange": f"IF(bank_change_triggered, {t.points_bank_change}, 0)",
+        "Duplicate": f"IF(duplicate_triggered, {t.points_duplicate}, 0)",
+        "TaxMismatch": f"IF(tax_mismatch_triggered, {t.points_tax}, 0)",
     }
-    given = {name: F.when(F.col(flag), F.lit(p)).otherwise(F.lit(0))
-             for name, (flag, p) in points.items()}
-    total = sum(given.values(), F.lit(0))
-    return flagged.withColumns({
-        "risk_points": F.least(F.lit(DEFAULTS.points_cap), total),
-        "risk_breakdown": F.concat_ws(" ", *[
-            F.concat(F.lit(f"{name}:"), value.cast("string")) for name, value in given.items()]),
+    breakdown = ", ' ', ".join(f"'{name}:', {p}" for name, p in given.items())
+    return enriched.withColumns(
+        {name: F.expr(f"coalesce({rule}, false)") for name, rule in triggers.items()}
+    ).withColumns({
+        "risk_points": F.expr(f"least({t.points_cap}, {' + '.join(given.values())})"),
+        "risk_breakdown": F.expr(f"concat({breakdown})"),
     })
 
 
 def _points_band(high: str, medium: str, low: str) -> Column:
-    points = F.col("risk_points")
-    return (F.when(points > F.lit(int(DEFAULTS.medium_max)), high)
-            .when(points > F.lit(int(DEFAULTS.low_max)), medium).otherwise(low))
+    return F.expr(
+        f"CASE WHEN risk_points > {int(DEFAULTS.medium_max)} THEN '{high}' "
+        f"WHEN risk_points > {int(DEFAULTS.low_max)} THEN '{medium}' ELSE '{low}' END")
 
 
 def points_level() -> Column:
@@ -249,25 +235,23 @@ def registry_risk(
 
     ``noise`` adds a uniform amount in [0, 0.15), as a simulator would.
     """
-    amount = F.col("amount")
-    size = (F.when(amount > 80000.0, F.lit(0.40)).when(amount > 40000.0, F.lit(0.20))
-            .when((amount > 9000.0) & (amount < 10000.0), F.lit(0.30)).otherwise(F.lit(0.0)))
-    is_round = F.when(amount % F.lit(1000.0) == 0, F.lit(0.10)).otherwise(F.lit(0.0))
-    differs = F.coalesce(F.col("bank_account") != F.col("registered_account"), F.lit(True))
-    bank = F.when(differs, F.lit(0.45)).otherwise(F.lit(0.0))
-    night = F.when(F.hour("ts") < 5, F.lit(0.20)).otherwise(F.lit(0.0))
-    total = size + is_round + bank + night
+    total = """
+      CASE WHEN amount > 80000 THEN 0.40D WHEN amount > 40000 THEN 0.20D
+           WHEN amount > 9000 AND amount < 10000 THEN 0.30D ELSE 0D END
+      + IF(amount % 1000 = 0, 0.10D, 0D)
+      + IF(coalesce(bank_account <> registered_account, true), 0.45D, 0D)
+      + IF(hour(ts) < 5, 0.20D, 0D)"""
     if noise:
-        total = total + F.rand(seed) * F.lit(0.15)
-    score = F.col("risk_score")
+        total += f" + rand({int(seed)}) * 0.15D"
+    t = DEFAULTS
+
+    def band(high: str, medium: str, low: str) -> Column:
+        return F.expr(f"CASE WHEN risk_score >= {t.registry_reject}D THEN '{high}' "
+                      f"WHEN risk_score >= {t.registry_review}D THEN '{medium}' ELSE '{low}' END")
+
     rows = join_registry(invoices, registry)
-    return rows.withColumn("risk_score", F.least(F.round(total, 4), F.lit(1.0))).withColumns({
-        "risk_level": (
-            F.when(score >= F.lit(DEFAULTS.registry_reject), "HIGH")
-            .when(score >= F.lit(DEFAULTS.registry_review), "MEDIUM").otherwise("LOW")),
-        "decision": (
-            F.when(score >= F.lit(DEFAULTS.registry_reject), "AUTO_REJECT")
-            .when(score >= F.lit(DEFAULTS.registry_review), "REVIEW_REQUIRED")
-            .otherwise("AUTO_APPROVE")),
-        "is_alert": score >= F.lit(DEFAULTS.registry_alert),
+    return rows.withColumn("risk_score", F.expr(f"least(round({total}, 4), 1D)")).withColumns({
+        "risk_level": band("HIGH", "MEDIUM", "LOW"),
+        "decision": band("AUTO_REJECT", "REVIEW_REQUIRED", "AUTO_APPROVE"),
+        "is_alert": F.expr(f"risk_score >= {t.registry_alert}D"),
     }).drop("registered_account")

@@ -315,7 +315,8 @@ def enrich_semantic(
         F.col("similarity").alias("__similarity"), F.col("other_id").alias("__other"),
     ).where(F.col("__copied") | F.col("__other").isNotNull())
     joined = attach_by_key(
-        texts, matched, ["vendor_id", "semantic_text"], "copies", "invoice_id", how="left")
+        texts, matched, ["vendor_id", "semantic_text"], "copies", "invoice_id", how="left",
+        sizes=groups.select("vendor_id", "semantic_text", "copies"))
     copied = F.coalesce("__copied", F.lit(False))
     copy = F.when(F.col("invoice_id") == F.col("first_id"), F.col("last_id")) \
         .otherwise(F.col("first_id"))

@@ -17,11 +17,8 @@ from ledgerlynx.functions import money
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.schemas import INVOICE_COLUMNS, VENDOR_STATS_COLUMNS
 
-HISTORY_COLUMNS = [
-    "vendor_total_invoices", "vendor_total_amount", "vendor_avg_amount",
-    "vendor_max_amount", "vendor_min_amount", "vendor_stddev_amount",
-    "vendor_last_invoice_time", "vendor_last_bank_account",
-]
+STATS_COLUMNS = [c for c in VENDOR_STATS_COLUMNS if c != "vendor_id"]
+HISTORY_COLUMNS = [f"vendor_{c}" for c in STATS_COLUMNS]
 
 
 # --------------------------------------------------------------- aggregates
@@ -38,35 +35,26 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
     """
     if bank_rule not in ("max", "latest"):
         raise ValueError(f"bank_rule must be 'max' or 'latest', not {bank_rule!r}")
-    amount_cents = money.cents(invoices)
+    c = money.cents_sql(invoices)
     steps = [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(amount_cents).alias("s"),
-        F.sum(amount_cents * amount_cents).alias("ss"),
-        F.max("amount").alias("hi"),
-        F.min("amount").alias("lo"),
-        F.max("ts").alias("last_ts"),
+        "count(1) AS n", f"sum({c}) AS s", f"sum({c} * {c}) AS ss",
+        "max(amount) AS hi", "min(amount) AS lo", "max(ts) AS last_ts",
     ]
+    bank = "max(bank_account)"
     if bank_rule == "latest":
-        steps.append(F.max(F.struct("ts", "invoice_id")).alias("newest"))
-    per_account = invoices.groupBy("vendor_id", "bank_account").agg(*steps)
-    bank = (F.max("bank_account") if bank_rule == "max"
-            else F.max_by("bank_account", "newest"))
-    per_vendor = per_account.groupBy("vendor_id").agg(
-        F.sum("n").alias("total_invoices"),
-        F.sum("s").alias("s"),
-        F.sum("ss").alias("ss"),
-        F.max("hi").alias("max_amount"),
-        F.min("lo").alias("min_amount"),
-        F.max("last_ts").alias("last_invoice_time"),
-        bank.alias("last_bank_account"),
-    )
-    n, s, ss = F.col("total_invoices"), F.col("s"), F.col("ss")
-    return per_vendor.withColumns({
-        "total_amount": money.total_from(s),
-        "avg_amount": money.mean_from(s, n),
-        "stddev_amount": money.stddev_from(s, ss, n),
-    }).select(*VENDOR_STATS_COLUMNS)
+        steps.append("max(struct(ts, invoice_id)) AS newest")
+        bank = "max_by(bank_account, newest)"
+    per_account = invoices.groupBy("vendor_id", "bank_account").agg(*map(F.expr, steps))
+    per_vendor = per_account.groupBy("vendor_id").agg(*map(F.expr, [
+        "sum(n) AS n", "sum(s) AS s", "sum(ss) AS ss", "max(hi) AS max_amount",
+        "min(lo) AS min_amount", "max(last_ts) AS last_invoice_time",
+        f"{bank} AS last_bank_account",
+    ]))
+    return per_vendor.selectExpr(
+        "vendor_id", "n AS total_invoices",
+        f"{money.TOTAL} AS total_amount", f"{money.MEAN} AS avg_amount",
+        "max_amount", "min_amount", "last_invoice_time", "last_bank_account",
+        f"{money.STDDEV} AS stddev_amount")
 
 
 def category_patterns(invoices: DataFrame) -> DataFrame:
@@ -79,7 +67,7 @@ def category_patterns(invoices: DataFrame) -> DataFrame:
     vendor_total = F.sum("count").over(Window.partitionBy("vendor_id"))
     return per_category.select(
         "vendor_id", "category", "count",
-        money.mean_from(F.col("s"), F.col("count")).alias("avg_amount"),
+        F.expr("CAST(s AS DOUBLE) / count / 100D AS avg_amount"),
         (F.col("count") / vendor_total).alias("frequency"),
     )
 
@@ -118,7 +106,7 @@ def velocity(
         end = start + F.expr(f"INTERVAL {window_minutes} MINUTES")
     return grouped.select(
         "vendor_id", "invoice_count",
-        money.total_from(F.col("s")).alias("total_amount"),
+        F.expr(f"{money.TOTAL} AS total_amount"),
         start.alias("window_start"), end.alias("window_end"),
     )
 
@@ -127,17 +115,7 @@ def velocity(
 
 def join_vendor_stats(invoices: DataFrame, stats: DataFrame) -> DataFrame:
     """Each invoice with the statistics of its vendor under ``vendor_*`` names."""
-    renamed = stats.select(
-        "vendor_id",
-        F.col("total_invoices").alias("vendor_total_invoices"),
-        F.col("total_amount").alias("vendor_total_amount"),
-        F.col("avg_amount").alias("vendor_avg_amount"),
-        F.col("max_amount").alias("vendor_max_amount"),
-        F.col("min_amount").alias("vendor_min_amount"),
-        F.col("stddev_amount").alias("vendor_stddev_amount"),
-        F.col("last_invoice_time").alias("vendor_last_invoice_time"),
-        F.col("last_bank_account").alias("vendor_last_bank_account"),
-    )
+    renamed = stats.selectExpr("vendor_id", *[f"{c} AS vendor_{c}" for c in STATS_COLUMNS])
     return attach_by_key(
         invoices, renamed, ["vendor_id"], "vendor_total_invoices", "invoice_id")
 
@@ -200,19 +178,25 @@ def running_history(
     running = joined.withColumns({
         "vendor_total_invoices":
             F.coalesce(F.col("n0"), F.lit(0)) + F.count(F.lit(1)).over(seen),
-        "__s": plus("s0", F.sum("__c")),
-        "__ss": plus("ss0", F.sum(F.col("__c") * F.col("__c"))),
+        "s": plus("s0", F.sum("__c")),
+        "ss": plus("ss0", F.sum(F.col("__c") * F.col("__c"))),
         "vendor_max_amount": F.greatest(F.col("hi0"), F.max("amount").over(seen)),
         "vendor_min_amount": F.least(F.col("lo0"), F.min("amount").over(seen)),
         "vendor_last_invoice_time": F.greatest(F.col("last_ts0"), F.max("ts").over(seen)),
         "vendor_last_bank_account": bank_max if bank_rule == "max" else previous,
     })
-    n, s, ss = F.col("vendor_total_invoices"), F.col("__s"), F.col("__ss")
-    return running.withColumns({
-        "vendor_total_amount": money.total_from(s),
-        "vendor_avg_amount": F.when(n > 0, money.mean_from(s, n)),
-        "vendor_stddev_amount": F.when(n > 0, money.stddev_from(s, ss, n)),
-    }).select(*invoices.columns, *HISTORY_COLUMNS)
+    return running.selectExpr(
+        *invoices.columns, "vendor_total_invoices AS n", "s", "ss",
+        "vendor_max_amount", "vendor_min_amount", "vendor_last_invoice_time",
+        "vendor_last_bank_account",
+    ).selectExpr(
+        *invoices.columns, "n AS vendor_total_invoices",
+        f"{money.TOTAL} AS vendor_total_amount",
+        f"CASE WHEN n > 0 THEN {money.MEAN} END AS vendor_avg_amount",
+        "vendor_max_amount", "vendor_min_amount",
+        "vendor_last_invoice_time", "vendor_last_bank_account",
+        f"CASE WHEN n > 0 THEN {money.STDDEV} END AS vendor_stddev_amount",
+    ).select(*invoices.columns, *HISTORY_COLUMNS)
 
 
 def with_history(
@@ -233,15 +217,13 @@ def with_history(
 
 # ------------------------------------------------------------------- checks
 
-def _deviation_pct() -> Column:
-    amount, mean = F.col("amount"), F.col("vendor_avg_amount")
-    return F.when(mean > 0, (amount - mean) / mean * F.lit(100.0)).otherwise(F.lit(0.0))
+DEVIATION_PCT = """CASE WHEN vendor_avg_amount > 0
+    THEN (amount - vendor_avg_amount) / vendor_avg_amount * 100D ELSE 0D END"""
 
 
-def _bank_changed(earlier_invoices: int = 1) -> Column:
-    known = F.col("vendor_total_invoices") > F.lit(earlier_invoices)
-    differs = F.col("bank_account") != F.col("vendor_last_bank_account")
-    return F.coalesce(known & differs, F.lit(False))
+def _bank_changed(earlier_invoices: int = 1) -> str:
+    return (f"coalesce(vendor_total_invoices > {earlier_invoices} "
+            "AND bank_account <> vendor_last_bank_account, false) AS bank_account_changed")
 
 
 def anomalies(
@@ -256,23 +238,17 @@ def anomalies(
     ``exceeds_historical_max`` can only hold under ``prior``.
     """
     rows = with_history(invoices, stats, history)
-    spread = F.col("vendor_stddev_amount")
-    z = F.when(spread > 0, (F.col("amount") - F.col("vendor_avg_amount")) / spread) \
-        .otherwise(F.lit(0.0))
-    over = F.col("amount") > F.col("vendor_max_amount") * F.lit(DEFAULTS.over_max_factor)
-    flagged = rows.withColumn("amount_z_score", z)
-    return flagged.select(
+    return rows.withColumn("amount_z_score", F.expr(
+        "CASE WHEN vendor_stddev_amount > 0 "
+        "THEN (amount - vendor_avg_amount) / vendor_stddev_amount ELSE 0D END")
+    ).selectExpr(
         *invoices.columns,
-        F.col("vendor_avg_amount").alias("vendor_avg"),
-        F.col("vendor_stddev_amount").alias("vendor_stddev"),
-        F.col("vendor_max_amount").alias("vendor_max"),
-        "vendor_total_invoices",
-        "amount_z_score",
-        (F.abs("amount_z_score") > F.lit(z_threshold)).alias("is_amount_anomaly"),
-        (F.col("vendor_total_invoices") <= F.lit(DEFAULTS.new_vendor_invoices))
-        .alias("is_new_vendor"),
-        F.coalesce(over, F.lit(False)).alias("exceeds_historical_max"),
-    )
+        "vendor_avg_amount AS vendor_avg", "vendor_stddev_amount AS vendor_stddev",
+        "vendor_max_amount AS vendor_max", "vendor_total_invoices", "amount_z_score",
+        f"abs(amount_z_score) > {float(z_threshold)}D AS is_amount_anomaly",
+        f"vendor_total_invoices <= {DEFAULTS.new_vendor_invoices} AS is_new_vendor",
+        f"coalesce(amount > vendor_max_amount * {DEFAULTS.over_max_factor}D, false) "
+        "AS exceeds_historical_max")
 
 
 def bank_changes(
@@ -289,13 +265,10 @@ def bank_changes(
         rows, needed = with_history(invoices, history="prior", bank_rule="previous"), 0
     else:
         rows, needed = with_history(invoices, stats, "final", rule), 1
-    return rows.select(
-        "invoice_id", "vendor_id",
-        F.col("bank_account").alias("current_bank_account"),
-        F.col("vendor_last_bank_account").alias("previous_bank_account"),
-        "vendor_total_invoices",
-        _bank_changed(needed).alias("bank_account_changed"),
-    )
+    return rows.selectExpr(
+        "invoice_id", "vendor_id", "bank_account AS current_bank_account",
+        "vendor_last_bank_account AS previous_bank_account", "vendor_total_invoices",
+        _bank_changed(needed))
 
 
 def deviation(
@@ -304,15 +277,12 @@ def deviation(
     history: str = "final",
 ) -> DataFrame:
     """Distance of the amount from the vendor's mean in percent."""
-    rows = with_history(invoices, stats, history).withColumn(
-        "deviation_percentage", _deviation_pct())
-    distance = F.abs("deviation_percentage")
-    return rows.select(
+    return with_history(invoices, stats, history).selectExpr(
+        "*", f"{DEVIATION_PCT} AS deviation_percentage",
+    ).selectExpr(
         "invoice_id", "vendor_id", "amount", "vendor_avg_amount", "vendor_total_invoices",
-        "deviation_percentage",
-        distance.alias("abs_deviation_percentage"),
-        (distance > F.lit(DEFAULTS.high_deviation_pct)).alias("is_high_deviation"),
-    )
+        "deviation_percentage", "abs(deviation_percentage) AS abs_deviation_percentage",
+        f"abs(deviation_percentage) > {DEFAULTS.high_deviation_pct}D AS is_high_deviation")
 
 
 def enrich_vendor(
@@ -325,13 +295,12 @@ def enrich_vendor(
     rows = with_history(invoices, stats, history, bank_rule)
     carried = [c for c in invoices.columns if c not in INVOICE_COLUMNS]
     needed = 0 if history == "prior" else 1
-    return rows.select(
+    return rows.selectExpr(
         *INVOICE_COLUMNS, *carried,
         "vendor_avg_amount", "vendor_total_invoices", "vendor_total_amount",
         "vendor_max_amount", "vendor_min_amount", "vendor_stddev_amount",
         "vendor_last_bank_account",
-        _deviation_pct().alias("deviation_percentage"),
-        F.try_divide(F.col("amount"), F.col("vendor_avg_amount")).alias("amount_vs_avg_ratio"),
-        F.try_divide(F.col("amount"), F.col("vendor_max_amount")).alias("amount_vs_max_ratio"),
-        _bank_changed(needed).alias("bank_account_changed"),
-    )
+        f"{DEVIATION_PCT} AS deviation_percentage",
+        "try_divide(amount, vendor_avg_amount) AS amount_vs_avg_ratio",
+        "try_divide(amount, vendor_max_amount) AS amount_vs_max_ratio",
+        _bank_changed(needed))

@@ -45,8 +45,7 @@ def as_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("string"))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+table = src.read_table
 
 
 def enriched(spark, d) -> DataFrame:
@@ -186,7 +185,7 @@ def select_rename_display(spark, d):
 def join_vendor_stats(spark, d):
     inv = src.load_invoices(spark, d)
     return rounded(
-        vendor.join_vendor_stats(inv, vendor.vendor_stats(inv)), 4, "vendor_stddev_amount"
+        vendor.join_vendor_stats(inv, vendor.vendor_stats(inv)), 6, "vendor_stddev_amount"
     ).drop("amount_cents", "category", "description", "payment_method")
 
 
@@ -236,7 +235,7 @@ def join_registry(spark, d):
 
 def _stats(spark, d, rule):
     return rounded(
-        vendor.vendor_stats(src.load_invoices(spark, d), rule), 4, "stddev_amount")
+        vendor.vendor_stats(src.load_invoices(spark, d), rule), 6, "stddev_amount")
 
 
 @query
@@ -456,7 +455,7 @@ def velocity_uneven_hop(spark, d):
 def _anomalies(spark, d, history):
     return rounded(
         vendor.anomalies(src.load_invoices(spark, d), history=history),
-        4, "vendor_stddev", "amount_z_score",
+        6, "vendor_stddev", "amount_z_score",
     ).select("invoice_id", "vendor_avg", "vendor_stddev", "vendor_max", "vendor_total_invoices",
              "amount_z_score", "is_amount_anomaly", "is_new_vendor", "exceeds_historical_max")
 
@@ -493,13 +492,13 @@ def deviation(spark, d):
 
 @query
 def enrich_vendor(spark, d):
-    return rounded(enriched(spark, d), 4, "vendor_stddev_amount").drop("amount_cents")
+    return rounded(enriched(spark, d), 6, "vendor_stddev_amount").drop("amount_cents")
 
 
 @query
 def arrival_history(spark, d):
     return rounded(
-        vendor.running_history(src.load_invoices(spark, d)), 4, "vendor_stddev_amount"
+        vendor.running_history(src.load_invoices(spark, d)), 6, "vendor_stddev_amount"
     ).select("invoice_id", "vendor_id", "vendor_total_invoices", "vendor_total_amount",
              "vendor_avg_amount", "vendor_max_amount", "vendor_min_amount",
              "vendor_stddev_amount", "vendor_last_bank_account")
@@ -559,8 +558,9 @@ def realtime_risk(spark, d):
 
 @query
 def realtime_risk_semantic(spark, d):
-    marked = similarity.enrich_semantic(src.load_invoices(spark, d), 0.9)
-    return risk.realtime_risk(vendor.enrich_vendor(marked))
+    inv = src.load_invoices(spark, d)
+    marked = similarity.enrich_semantic(inv, 0.9)
+    return risk.realtime_risk(vendor.enrich_vendor(marked, vendor.vendor_stats(inv)))
 
 
 @query
@@ -659,7 +659,7 @@ def transactions_view(spark, d):
 # ---------------------------------------------------------------- streaming
 
 def _stream(spark, d, name):
-    return spark.readStream.schema(table(spark, d, name).schema) \
+    return spark.readStream.schema(src.TABLES[name]) \
         .option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
@@ -684,7 +684,7 @@ def stream_vendor_stats(spark, d):
     tables.run_to_versions(stream, f"{out}/rows", f"{out}/checkpoint")
     return rounded(
         tables.current_rows(spark, f"{out}/rows", ["vendor_id"], stream.schema),
-        4, "stddev_amount")
+        6, "stddev_amount")
 
 
 @query
@@ -696,7 +696,7 @@ def live_enrichment(spark, d):
     rows = tables.current_rows(
         spark, f"{out}/rows", ["invoice_id"], vendor.enrich_vendor(
             src.load_invoices(spark, d)).schema)
-    return rounded(rows, 4, "vendor_stddev_amount").drop("amount_cents")
+    return rounded(rows, 6, "vendor_stddev_amount").drop("amount_cents")
 
 
 @query
@@ -714,7 +714,7 @@ def stream_arrival(spark, d):
         spark.conf.set(key, before)
     return rounded(
         spark.read.schema(stream_vendor.ARRIVAL_SCHEMA).parquet(f"{out}/rows"),
-        4, "vendor_stddev_amount").drop("amount", "ts", "bank_account")
+        6, "vendor_stddev_amount").drop("amount", "ts", "bank_account")
 
 
 @query

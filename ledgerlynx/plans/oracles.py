@@ -113,7 +113,7 @@ cte("enr", f"""
   FROM inv JOIN vs USING (vendor_id)""", "inv", "vs")
 ENRICHED = """invoice_id, vendor_id, amount, tax, bank_account, ts, description, category,
   payment_method, vendor_avg_amount, vendor_total_invoices, vendor_total_amount,
-  vendor_max_amount, vendor_min_amount, round(vendor_stddev_amount, 4) AS vendor_stddev_amount,
+  vendor_max_amount, vendor_min_amount, round(vendor_stddev_amount, 6) AS vendor_stddev_amount,
   vendor_last_bank_account, deviation_percentage, amount_vs_avg_ratio, amount_vs_max_ratio,
   bank_account_changed"""
 
@@ -374,7 +374,7 @@ oracle("select_rename_display", """SELECT invoice_id AS "INVOICE", vendor_id AS
 oracle("join_vendor_stats", """SELECT invoice_id, vendor_id, amount, tax, bank_account, ts,
   total_invoices AS vendor_total_invoices, total_amount AS vendor_total_amount,
   avg_amount AS vendor_avg_amount, max_amount AS vendor_max_amount,
-  min_amount AS vendor_min_amount, round(stddev_amount, 4) AS vendor_stddev_amount,
+  min_amount AS vendor_min_amount, round(stddev_amount, 6) AS vendor_stddev_amount,
   last_invoice_time AS vendor_last_invoice_time,
   last_bank_account AS vendor_last_bank_account
 FROM inv JOIN vs USING (vendor_id)""", "inv", "vs")
@@ -401,7 +401,7 @@ FROM vecs LEFT JOIN (SELECT * FROM vec_pairs WHERE similarity >= 0.25e0
 oracle("join_registry", "SELECT invoice_id, bank_account, registered_account FROM reg", "reg")
 
 STATS = """SELECT vendor_id, total_invoices, total_amount, avg_amount, max_amount, min_amount,
-  last_invoice_time, last_bank_account, round(stddev_amount, 4) AS stddev_amount FROM """
+  last_invoice_time, last_bank_account, round(stddev_amount, 6) AS stddev_amount FROM """
 oracle("vendor_stats", STATS + "vs", "vs")
 oracle("vendor_stats_latest", STATS + "vs_latest", "vs_latest")
 oracle("stream_vendor_stats", STATS + "vs", "vs")
@@ -526,8 +526,8 @@ PRIOR = ("PARTITION BY vendor_id ORDER BY ts, invoice_id "
          "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
 UP_TO = PRIOR.replace("1 PRECEDING", "CURRENT ROW")
 ANOMALY = """SELECT invoice_id, avg_amount AS vendor_avg,
-  round(stddev_amount, 4) AS vendor_stddev, max_amount AS vendor_max,
-  total_invoices AS vendor_total_invoices, round(z, 4) + 0.0e0 AS amount_z_score,
+  round(stddev_amount, 6) AS vendor_stddev, max_amount AS vendor_max,
+  total_invoices AS vendor_total_invoices, round(z, 6) + 0.0e0 AS amount_z_score,
   abs(z) > 3 AS is_amount_anomaly, total_invoices <= 3 AS is_new_vendor,
   coalesce(amount > max_amount * 1.5e0, false) AS exceeds_historical_max
 FROM (SELECT *, CASE WHEN stddev_amount > 0 THEN (amount - avg_amount) / stddev_amount
@@ -560,7 +560,7 @@ oracle("live_enrichment", f"SELECT {ENRICHED} FROM enr", "enr")
 ARRIVAL = f"""SELECT invoice_id, vendor_id, total_invoices AS vendor_total_invoices,
   total_amount AS vendor_total_amount, avg_amount AS vendor_avg_amount,
   max_amount AS vendor_max_amount, min_amount AS vendor_min_amount,
-  round(stddev_amount, 4) AS vendor_stddev_amount,
+  round(stddev_amount, 6) AS vendor_stddev_amount,
   last_bank_account AS vendor_last_bank_account
 FROM (SELECT invoice_id, vendor_id, {stats_columns('max(bank_account)', UP_TO)} FROM inv)"""
 oracle("arrival_history", ARRIVAL, "inv")

@@ -51,7 +51,7 @@ def score(
     enriched = vendor.enrich_vendor(marked, stats, bank_rule=cfg.bank_rule)
     rows = risk.add_points(enriched)
     rows = risk.add_composite(
-        rows, F.col("is_duplicate"), use_calendar=cfg.use_calendar, score="composite_score")
+        rows, with_duplicates=True, use_calendar=cfg.use_calendar, score="composite_score")
     if cfg.points:
         return rows.withColumns({
             "risk_score": F.col("risk_points") / F.lit(100.0),

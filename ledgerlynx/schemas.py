@@ -34,3 +34,18 @@ VENDOR_STATS_COLUMNS = [
     "vendor_id", "total_invoices", "total_amount", "avg_amount", "max_amount",
     "min_amount", "last_invoice_time", "last_bank_account", "stddev_amount",
 ]
+
+# Tables of a data folder that queries are derived from.
+TABLES = {
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"),
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+        "c_mktsegment STRING"),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+        "props STRING"),
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}

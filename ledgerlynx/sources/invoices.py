@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlynx.operators.relational import parse_timestamps
-from ledgerlynx.schemas import INVOICE_FEED
+from ledgerlynx.schemas import INVOICE_FEED, TABLES
 
 
 def read_invoices(
@@ -55,69 +55,71 @@ def events_as_invoices(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
+# An order table turned into invoices: each order gives one, every 23rd key also an
+# exact copy, every 29th a copy 0.25 % dearer, every 101st an outlier.
+_ORDER_FACTS = [
+    "o_orderkey AS k", "o_custkey AS v",
+    "CAST(floor(o_totalprice * 100 + 0.5D) AS BIGINT) % 10000000 AS c0",
+    "CAST(o_orderdate AS TIMESTAMP) AS day", "o_orderpriority", "c_mktsegment",
+]
+_BASE_CENTS = """CASE WHEN k % 17 = 0 THEN c0 - c0 % 100000
+                      WHEN k % 19 = 0 THEN c0 - c0 % 10000 ELSE c0 END AS base"""
+_VARIANTS = """inline(array_compact(array(
+    named_struct('invoice_id', concat('INV-', k), 'cents', base),
+    CASE WHEN k % 23 = 0 THEN
+      named_struct('invoice_id', concat('INV-', k, '-D'), 'cents', base) END,
+    CASE WHEN k % 29 = 0 THEN
+      named_struct('invoice_id', concat('INV-', k, '-F'),
+                   'cents', base + CAST(floor(base / 400D) AS BIGINT)) END,
+    CASE WHEN k % 101 = 0 THEN
+      named_struct('invoice_id', concat('INV-', k, '-Z'), 'cents', 100000000 + c0) END)))"""
+_INVOICE_FIELDS = [
+    "invoice_id",
+    "concat('VND-', v) AS vendor_id",
+    "cents AS amount_cents",
+    "cents / 100D AS amount",
+    "CAST(floor(cents * (300 + (k * 7919) % 900) / 10000D) AS BIGINT) / 100D AS tax",
+    """CASE WHEN k % 31 = 0 THEN concat('ACC-9', v)
+            WHEN v % 37 = 0 AND day >= TIMESTAMP '1998-01-01 00:00:00' THEN concat('ACC-5', v)
+            ELSE concat('ACC-1', v) END AS bank_account""",
+    "day + make_dt_interval(0, 0, CAST(k % 1440 AS INT)) AS ts",
+    "o_orderpriority AS description",
+    "c_mktsegment AS category",
+    """CASE k % 4 WHEN 0 THEN 'Wire Transfer' WHEN 1 THEN 'Check'
+                  WHEN 2 THEN 'Credit Card' ELSE 'ACH' END AS payment_method""",
+]
+
+
 def orders_as_invoices(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Invoices derived from an order table, with copies, near copies and outliers.
 
-    Each order gives one invoice; every 23rd key an exact copy, every 29th a
-    copy 0.25 % dearer, every 101st an outlier. One scan and one join: the
-    variants are exploded from the joined row.
+    One scan and one join: the variants are exploded from the joined row.
     """
-    o = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"),
-        (F.floor(F.col("o_totalprice") * 100 + 0.5).cast("bigint") % 10_000_000).alias("c0"),
-        F.col("o_orderdate").cast("timestamp").alias("day"),
-        "o_orderpriority", "c_mktsegment")
-    k, v, c0 = F.col("k"), F.col("v"), F.col("c0")
-    cents = (F.when(k % 17 == 0, c0 - c0 % 100_000)
-             .when(k % 19 == 0, c0 - c0 % 10_000).otherwise(c0))
-    o = o.withColumn("base", cents)
-    base = F.col("base")
-
-    def variant(suffix: str, amount: Column) -> Column:
-        return F.struct(
-            F.concat(F.lit("INV-"), k.cast("string"), F.lit(suffix)).alias("invoice_id"),
-            amount.cast("bigint").alias("cents"))
-
-    near = base + F.floor(base / F.lit(400.0)).cast("bigint")
-    variants = F.array_compact(F.array(
-        variant("", base),
-        F.when(k % 23 == 0, variant("-D", base)),
-        F.when(k % 29 == 0, variant("-F", near)),
-        F.when(k % 101 == 0, variant("-Z", F.lit(100_000_000) + c0)),
-    ))
-    rows = o.select("*", F.inline(variants))
-    c = F.col("cents")
-    tax = F.floor(c * (300 + (k * 7919) % 900) / F.lit(10000.0)).cast("bigint") / F.lit(100.0)
-    vendor = v.cast("string")
-    late = F.lit("1998-01-01 00:00:00").cast("timestamp")
-    account = (F.when(k % 31 == 0, F.concat(F.lit("ACC-9"), vendor))
-               .when((v % 37 == 0) & (F.col("day") >= late), F.concat(F.lit("ACC-5"), vendor))
-               .otherwise(F.concat(F.lit("ACC-1"), vendor)))
-    method = (F.when(k % 4 == 0, "Wire Transfer").when(k % 4 == 1, "Check")
-              .when(k % 4 == 2, "Credit Card").otherwise("ACH"))
-    return rows.select(
-        "invoice_id",
-        F.concat(F.lit("VND-"), vendor).alias("vendor_id"),
-        c.alias("amount_cents"),
-        (c / F.lit(100.0)).alias("amount"),
-        tax.alias("tax"),
-        account.alias("bank_account"),
-        (F.col("day") + F.make_dt_interval(mins=(k % 1440).cast("int"))).alias("ts"),
-        F.col("o_orderpriority").alias("description"),
-        F.col("c_mktsegment").alias("category"),
-        method.alias("payment_method"))
+    return (
+        orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+        .selectExpr(*_ORDER_FACTS)
+        .selectExpr("*", _BASE_CENTS)
+        .selectExpr("*", _VARIANTS)
+        .selectExpr(*_INVOICE_FIELDS)
+    )
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a data folder; the known ones need no look at the file footers."""
+    reader = spark.read
+    if name in TABLES:
+        reader = reader.schema(TABLES[name])
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def load_invoices(spark: SparkSession, folder: str) -> DataFrame:
     """Invoices derived from the tables of a data folder."""
     return orders_as_invoices(
-        spark.read.parquet(f"{folder}/orders.parquet"),
-        spark.read.parquet(f"{folder}/customer.parquet"))
+        read_table(spark, folder, "orders"), read_table(spark, folder, "customer"))
 
 
 def load_registry(spark: SparkSession, folder: str) -> DataFrame:
     """The account each vendor has registered."""
-    key = F.col("c_custkey").cast("string")
-    return spark.read.parquet(f"{folder}/customer.parquet").select(
-        F.concat(F.lit("VND-"), key).alias("vendor_id"),
-        F.concat(F.lit("ACC-1"), key).alias("registered_account"))
+    return read_table(spark, folder, "customer").selectExpr(
+        "concat('VND-', c_custkey) AS vendor_id",
+        "concat('ACC-1', c_custkey) AS registered_account")

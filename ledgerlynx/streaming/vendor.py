@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlynx.functions import money
-from ledgerlynx.schemas import VENDOR_STATS_COLUMNS
 
 
 def stream_velocity(
@@ -32,7 +31,7 @@ def stream_velocity(
         .alias("w"),
     ).agg(
         F.count(F.lit(1)).alias("invoice_count"),
-        money.total_from(F.sum(money.cents(invoices))).alias("total_amount"),
+        money.total_of_cents(invoices, "total_amount"),
     ).select(
         "vendor_id", "invoice_count", "total_amount",
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
@@ -40,19 +39,16 @@ def stream_velocity(
 
 def stream_vendor_stats(invoices: DataFrame) -> DataFrame:
     """Vendor statistics kept up to date by the state store (update mode)."""
-    c = money.cents(invoices)
-    n, s, ss = F.col("total_invoices"), F.col("s"), F.col("ss")
-    return invoices.groupBy("vendor_id").agg(
-        F.count(F.lit(1)).alias("total_invoices"),
-        F.sum(c).alias("s"), F.sum(c * c).alias("ss"),
-        F.max("amount").alias("max_amount"), F.min("amount").alias("min_amount"),
-        F.max("ts").alias("last_invoice_time"),
-        F.max("bank_account").alias("last_bank_account"),
-    ).withColumns({
-        "total_amount": money.total_from(s),
-        "avg_amount": money.mean_from(s, n),
-        "stddev_amount": money.stddev_from(s, ss, n),
-    }).select(*VENDOR_STATS_COLUMNS)
+    c = money.cents_sql(invoices)
+    return invoices.groupBy("vendor_id").agg(*map(F.expr, [
+        "count(1) AS n", f"sum({c}) AS s", f"sum({c} * {c}) AS ss",
+        "max(amount) AS max_amount", "min(amount) AS min_amount",
+        "max(ts) AS last_invoice_time", "max(bank_account) AS last_bank_account",
+    ])).selectExpr(
+        "vendor_id", "n AS total_invoices",
+        f"{money.TOTAL} AS total_amount", f"{money.MEAN} AS avg_amount",
+        "max_amount", "min_amount", "last_invoice_time", "last_bank_account",
+        f"{money.STDDEV} AS stddev_amount")
 
 
 ARRIVAL_SCHEMA = T.StructType([
