@@ -3,7 +3,9 @@
 A distributed sum of doubles depends on the order in which partitions are
 merged, and a score next to a threshold may then flip from run to run. Amounts
 are currency values with two decimals, so sums are taken over whole cents in
-DECIMAL and turned back into DOUBLE once.
+64-bit integers, which hash aggregation keeps in place, and turned into DOUBLE
+once. A sum of squares is kept as two integers, the high part and the low 26
+bits. Where a sum does not fit after all, the same sum in DOUBLE is used.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# the square of a greater number of cents does not fit 64 bits
+_LARGEST = 3_000_000_000
+
+
 def cents_sql(df: DataFrame, amount: str = "amount") -> str:
     """Whole cents of an amount; uses ``<amount>_cents`` when it is stored."""
     stored = f"{amount}_cents"
-    value = stored if stored in df.columns else f"round({amount} * 100D)"
-    return f"CAST({value} AS DECIMAL(18,0))"
+    return stored if stored in df.columns else f"CAST(round({amount} * 100D) AS BIGINT)"
 
 
 def cents(df: DataFrame, amount: str = "amount") -> Column:
@@ -24,14 +29,46 @@ def cents(df: DataFrame, amount: str = "amount") -> Column:
 
 def total_of_cents(df: DataFrame, name: str) -> Column:
     """Exact sum of the amounts of a group."""
-    return F.expr(f"CAST(sum({cents_sql(df)}) AS DOUBLE) / 100D AS {name}")
+    c = cents_sql(df)
+    return F.expr(
+        f"coalesce(CAST(try_sum({c}) AS DOUBLE), sum(CAST({c} AS DOUBLE))) / 100D AS {name}")
+
+
+def moment_sums(c: str) -> list[str]:
+    """Aggregates of the cents ``c`` from which mean and deviation follow."""
+    square = f"IF(abs({c}) <= {_LARGEST}L, ({c}) * ({c}), 0L)"
+    return [
+        "count(1) AS n",
+        f"try_sum({c}) AS s", f"sum(CAST({c} AS DOUBLE)) AS s_double",
+        f"try_sum(shiftright({square}, 26)) AS q_high",
+        f"try_sum({square} & 67108863L) AS q_low",
+        f"sum(CAST({c} AS DOUBLE) * CAST({c} AS DOUBLE)) AS q_double",
+        f"max(abs({c})) AS c_max",
+    ]
+
+
+def merged_moment_sums() -> list[str]:
+    """The same aggregates over groups that already have them."""
+    exact = [f"CASE WHEN count({x}) = count(1) THEN try_sum({x}) END AS {x}"
+             for x in ("s", "q_high", "q_low")]
+    return ["sum(n) AS n", *exact, "sum(s_double) AS s_double", "sum(q_double) AS q_double",
+            "max(c_max) AS c_max"]
+
+
+# Results in currency units from the moment sums of n rows.
+_SUM = "coalesce(CAST(s AS DOUBLE), s_double)"
+TOTAL = f"{_SUM} / 100D"
+MEAN = f"{_SUM} / n / 100D"
+_SQUARES = f"""CASE WHEN c_max <= {_LARGEST}L THEN
+    CAST(q_high AS DECIMAL(20,0)) * 67108864BD + CAST(q_low AS DECIMAL(20,0)) END"""
+
+
+def stddev_sql(squares: str, n: str = "n", s: str = "s", fallback: str = "NULL") -> str:
+    """Population standard deviation, from n * squares - s * s in 38 digits."""
+    return f"""sqrt(greatest(0D, coalesce(CAST(try_subtract(
+        try_multiply(CAST({n} AS DECIMAL(18,0)), CAST({squares} AS DECIMAL(38,0))),
+        try_multiply(CAST({s} AS DECIMAL(38,0)), CAST({s} AS DECIMAL(38,0)))) AS DOUBLE),
+        {fallback}))) / {n} / 100D"""
 
 
-# Results in currency units from n rows, their cents s and squared cents ss.
-TOTAL = "CAST(s AS DOUBLE) / 100D"
-MEAN = "CAST(s AS DOUBLE) / n / 100D"
-# Population standard deviation. n * ss - s * s is exact while it fits 38 digits;
-# beyond that the same value is taken in DOUBLE.
-STDDEV = """sqrt(greatest(0D, coalesce(
-    CAST(try_subtract(try_multiply(CAST(n AS DECIMAL(18,0)), ss), try_multiply(s, s)) AS DOUBLE),
-    n * CAST(ss AS DOUBLE) - CAST(s AS DOUBLE) * CAST(s AS DOUBLE)))) / n / 100D"""
+STDDEV = stddev_sql(_SQUARES, fallback="n * q_double - s_double * s_double")

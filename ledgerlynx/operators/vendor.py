@@ -37,8 +37,7 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
         raise ValueError(f"bank_rule must be 'max' or 'latest', not {bank_rule!r}")
     c = money.cents_sql(invoices)
     steps = [
-        "count(1) AS n", f"sum({c}) AS s", f"sum({c} * {c}) AS ss",
-        "max(amount) AS hi", "min(amount) AS lo", "max(ts) AS last_ts",
+        *money.moment_sums(c), "max(amount) AS hi", "min(amount) AS lo", "max(ts) AS last_ts",
     ]
     bank = "max(bank_account)"
     if bank_rule == "latest":
@@ -46,8 +45,8 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
         bank = "max_by(bank_account, newest)"
     per_account = invoices.groupBy("vendor_id", "bank_account").agg(*map(F.expr, steps))
     per_vendor = per_account.groupBy("vendor_id").agg(*map(F.expr, [
-        "sum(n) AS n", "sum(s) AS s", "sum(ss) AS ss", "max(hi) AS max_amount",
-        "min(lo) AS min_amount", "max(last_ts) AS last_invoice_time",
+        *money.merged_moment_sums(), "max(hi) AS max_amount", "min(lo) AS min_amount",
+        "max(last_ts) AS last_invoice_time",
         f"{bank} AS last_bank_account",
     ]))
     return per_vendor.selectExpr(
@@ -60,16 +59,13 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
 def category_patterns(invoices: DataFrame) -> DataFrame:
     """Count, mean amount and share of each category within its vendor."""
     per_category = invoices.groupBy("vendor_id", "category").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.sum(money.cents(invoices)).alias("s"),
-    )
+        F.count(F.lit(1)).alias("count"), money.total_of_cents(invoices, "total"),
+        F.expr(f"try_sum({money.cents_sql(invoices)}) AS s"))
     # the window runs over one row per (vendor, category), not over invoices
-    vendor_total = F.sum("count").over(Window.partitionBy("vendor_id"))
-    return per_category.select(
+    return per_category.selectExpr(
         "vendor_id", "category", "count",
-        F.expr("CAST(s AS DOUBLE) / count / 100D AS avg_amount"),
-        (F.col("count") / vendor_total).alias("frequency"),
-    )
+        "coalesce(CAST(s AS DOUBLE) / count / 100D, total / count) AS avg_amount",
+        "count / sum(count) OVER (PARTITION BY vendor_id) AS frequency")
 
 
 def velocity(
@@ -83,32 +79,28 @@ def velocity(
     hop, and only these counts are copied to the windows that cover them; each
     row is then aggregated once instead of once per window.
     """
-    amount_cents = money.cents(invoices)
+    count, total = F.expr("count(1) AS n"), money.total_of_cents(invoices, "total")
     if window_minutes % hop_minutes:
-        grouped = invoices.groupBy(
+        return invoices.groupBy(
             "vendor_id",
             F.window("ts", f"{window_minutes} minutes", f"{hop_minutes} minutes").alias("w"),
-        ).agg(F.count(F.lit(1)).alias("invoice_count"), F.sum(amount_cents).alias("s"))
-        start, end = F.col("w.start"), F.col("w.end")
-    else:
-        panes = invoices.groupBy(
-            "vendor_id", F.window("ts", f"{hop_minutes} minutes").alias("pane"),
-        ).agg(F.count(F.lit(1)).alias("n"), F.sum(amount_cents).alias("s"))
-        first = F.col("pane.start") - F.expr(f"INTERVAL {window_minutes - hop_minutes} MINUTES")
-        grouped = (
-            panes.select("vendor_id", "n", "s", F.explode(F.sequence(
-                first, F.col("pane.start"), F.expr(f"INTERVAL {hop_minutes} MINUTES"))
-            ).alias("window_start"))
-            .groupBy("vendor_id", "window_start")
-            .agg(F.sum("n").alias("invoice_count"), F.sum("s").alias("s"))
-        )
-        start = F.col("window_start")
-        end = start + F.expr(f"INTERVAL {window_minutes} MINUTES")
-    return grouped.select(
-        "vendor_id", "invoice_count",
-        F.expr(f"{money.TOTAL} AS total_amount"),
-        start.alias("window_start"), end.alias("window_end"),
-    )
+        ).agg(count, total).selectExpr(
+            "vendor_id", "n AS invoice_count", "total AS total_amount",
+            "w.start AS window_start", "w.end AS window_end")
+    c = money.cents_sql(invoices)
+    panes = invoices.groupBy(
+        "vendor_id", F.window("ts", f"{hop_minutes} minutes").alias("pane"),
+    ).agg(count, F.expr(f"sum(CAST({c} AS DECIMAL(18,0))) AS s"))
+    return panes.selectExpr(
+        "vendor_id", "n", "s",
+        f"explode(sequence(pane.start - INTERVAL {window_minutes - hop_minutes} MINUTES, "
+        f"pane.start, INTERVAL {hop_minutes} MINUTES)) AS window_start",
+    ).groupBy("vendor_id", "window_start").agg(
+        F.expr("sum(n) AS invoice_count"), F.expr("sum(s) AS s"),
+    ).selectExpr(
+        "vendor_id", "invoice_count", "CAST(s AS DOUBLE) / 100D AS total_amount",
+        "window_start",
+        f"window_start + INTERVAL {window_minutes} MINUTES AS window_end")
 
 
 # ------------------------------------------------------------------ history
@@ -142,7 +134,7 @@ def running_history(
     start_of_time = F.lit("0001-01-01 00:00:00").cast("timestamp")
     rows = invoices.withColumns({
         "__chunk": F.coalesce(F.date_trunc(grain, "ts"), start_of_time),
-        "__c": money.cents(invoices),
+        "__c": money.cents(invoices).cast("decimal(18,0)"),
     })
     place = F.struct("ts", "invoice_id")
     chunks = rows.groupBy("vendor_id", "__chunk").agg(
@@ -191,11 +183,11 @@ def running_history(
         "vendor_last_bank_account",
     ).selectExpr(
         *invoices.columns, "n AS vendor_total_invoices",
-        f"{money.TOTAL} AS vendor_total_amount",
-        f"CASE WHEN n > 0 THEN {money.MEAN} END AS vendor_avg_amount",
+        "CAST(s AS DOUBLE) / 100D AS vendor_total_amount",
+        "CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n / 100D END AS vendor_avg_amount",
         "vendor_max_amount", "vendor_min_amount",
         "vendor_last_invoice_time", "vendor_last_bank_account",
-        f"CASE WHEN n > 0 THEN {money.STDDEV} END AS vendor_stddev_amount",
+        f"CASE WHEN n > 0 THEN {money.stddev_sql('ss')} END AS vendor_stddev_amount",
     ).select(*invoices.columns, *HISTORY_COLUMNS)
 
 

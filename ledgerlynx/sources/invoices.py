@@ -64,15 +64,16 @@ _ORDER_FACTS = [
 ]
 _BASE_CENTS = """CASE WHEN k % 17 = 0 THEN c0 - c0 % 100000
                       WHEN k % 19 = 0 THEN c0 - c0 % 10000 ELSE c0 END AS base"""
-_VARIANTS = """inline(array_compact(array(
-    named_struct('invoice_id', concat('INV-', k), 'cents', base),
-    CASE WHEN k % 23 = 0 THEN
-      named_struct('invoice_id', concat('INV-', k, '-D'), 'cents', base) END,
-    CASE WHEN k % 29 = 0 THEN
-      named_struct('invoice_id', concat('INV-', k, '-F'),
-                   'cents', base + CAST(floor(base / 400D) AS BIGINT)) END,
-    CASE WHEN k % 101 = 0 THEN
-      named_struct('invoice_id', concat('INV-', k, '-Z'), 'cents', 100000000 + c0) END)))"""
+_VARIANT = "explode(array(0, 1, 2, 3)) AS variant"
+_VARIANT_EXISTS = """variant = 0 OR (variant = 1 AND k % 23 = 0) OR (variant = 2 AND k % 29 = 0)
+                     OR (variant = 3 AND k % 101 = 0)"""
+_VARIANT_FIELDS = [
+    "*",
+    """concat('INV-', k, CASE variant WHEN 1 THEN '-D' WHEN 2 THEN '-F' WHEN 3 THEN '-Z'
+                          ELSE '' END) AS invoice_id""",
+    """CASE variant WHEN 2 THEN base + CAST(floor(base / 400D) AS BIGINT)
+                    WHEN 3 THEN 100000000 + c0 ELSE base END AS cents""",
+]
 _INVOICE_FIELDS = [
     "invoice_id",
     "concat('VND-', v) AS vendor_id",
@@ -93,13 +94,15 @@ _INVOICE_FIELDS = [
 def orders_as_invoices(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Invoices derived from an order table, with copies, near copies and outliers.
 
-    One scan and one join: the variants are exploded from the joined row.
+    One scan and one join: the variants are made from the joined row.
     """
     return (
         orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
         .selectExpr(*_ORDER_FACTS)
         .selectExpr("*", _BASE_CENTS)
-        .selectExpr("*", _VARIANTS)
+        .selectExpr("*", _VARIANT)
+        .where(_VARIANT_EXISTS)
+        .selectExpr(*_VARIANT_FIELDS)
         .selectExpr(*_INVOICE_FIELDS)
     )
 

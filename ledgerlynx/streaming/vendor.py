@@ -41,8 +41,7 @@ def stream_vendor_stats(invoices: DataFrame) -> DataFrame:
     """Vendor statistics kept up to date by the state store (update mode)."""
     c = money.cents_sql(invoices)
     return invoices.groupBy("vendor_id").agg(*map(F.expr, [
-        "count(1) AS n", f"sum({c}) AS s", f"sum({c} * {c}) AS ss",
-        "max(amount) AS max_amount", "min(amount) AS min_amount",
+        *money.moment_sums(c), "max(amount) AS max_amount", "min(amount) AS min_amount",
         "max(ts) AS last_invoice_time", "max(bank_account) AS last_bank_account",
     ])).selectExpr(
         "vendor_id", "n AS total_invoices",
