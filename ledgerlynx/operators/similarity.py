@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerlynx.config import DEFAULTS
 from ledgerlynx.functions.skew import attach_by_key
+from ledgerlynx.functions.vectors import norm
 from ledgerlynx.operators.embedding import (
     Embedder, compute_embeddings, embed_text_labelled, embedder_named)
 
@@ -209,7 +210,7 @@ def best_matches(
         # by id, so that the first of several equal maxima has the smallest id
         pdf = pdf.sort_values("__id", kind="stable").reset_index(drop=True)
         unit, ids = _unit_vectors(pdf["__vec"]), pdf["__id"].to_numpy()
-        found = []
+        found = [(ids[:0], np.zeros(0), ids[:0])]
 
         def report(scores: np.ndarray, here: np.ndarray, there: np.ndarray) -> None:
             best = scores.argmax(axis=1)
@@ -226,9 +227,8 @@ def best_matches(
                 scores = np.round(unit[left] @ unit[right].T, DECIMALS)
                 report(scores, left, right)
                 report(scores.T, right, left)
-        parts = list(zip(*found)) or [[], [], []]
-        join = [np.concatenate(p) if len(p) else np.array([]) for p in parts]
-        return pd.DataFrame({"id": join[0], "similarity": join[1], "other_id": join[2]})
+        here, similarity, there = (np.concatenate(column) for column in zip(*found))
+        return pd.DataFrame({"id": here, "similarity": similarity, "other_id": there})
 
     candidates = units.groupBy("__task").applyInPandas(match, schema)
     return candidates.groupBy("id").agg(
@@ -401,24 +401,18 @@ def similar_approx(
     cut into parts like any other block.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    length = F.sqrt(F.aggregate(
-        vector_col, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = rows.select(
-        id_col, block,
-        F.transform(vector_col, lambda x: x.cast("double")).alias("__unit"),
-        length.alias("__len"),
-    ).where(F.col("__len") > 0).withColumn(
-        "__unit", F.transform("__unit", lambda x: x / F.col("__len")))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    length = norm(F.col(vector_col))
+    unit = rows.where(length > 0).select(
+        id_col, block, F.transform(
+            vector_col, lambda x: F.try_divide(x.cast("double"), length)).alias("__unit"))
     features = unit.withColumn("__features", array_to_vector("__unit"))
     lsh = BucketedRandomProjectionLSH(
         inputCol="__features", outputCol="__hashes", bucketLength=bucket_length,
         numHashTables=tables, seed=seed)
     hashed = lsh.fit(features).transform(features).select(
         id_col, block, "__unit", F.posexplode("__hashes").alias("__table", "__hash"))
-    from pyspark.ml.functions import vector_to_array
-
     bucket = F.struct(
         F.col(block).alias("block"), F.col("__table").alias("t"),
         vector_to_array("__hash")[0].cast("bigint").alias("h"))

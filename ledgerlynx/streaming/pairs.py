@@ -27,8 +27,8 @@ def stream_duplicates(
     length = norm(F.col("embedding"))
     unit = rows.select(
         "invoice_id", "vendor_id", "amount", "ts",
-        F.when(length > 0, F.transform("embedding", lambda x: x / length))
-        .otherwise(F.transform("embedding", lambda x: F.lit(0.0))).alias("unit"))
+        F.transform("embedding", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+        .alias("unit"))
     a, b = (unit.select(*[F.col(c).alias(f"{c}_{i}") for c in unit.columns]) for i in (1, 2))
     reach = F.expr(f"INTERVAL {time_window_hours} HOURS")
     similarity = F.round(dot(F.col("unit_1"), F.col("unit_2")), 6)
