@@ -406,7 +406,8 @@ def similar_approx(
     length = norm(F.col(vector_col))
     unit = rows.where(length > 0).select(
         id_col, block, F.transform(
-            vector_col, lambda x: F.try_divide(x.cast("double"), length)).alias("__unit"))
+            vector_col, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0)))
+        .alias("__unit"))
     features = unit.withColumn("__features", array_to_vector("__unit"))
     lsh = BucketedRandomProjectionLSH(
         inputCol="__features", outputCol="__hashes", bucketLength=bucket_length,
