@@ -141,10 +141,9 @@ def group_size_pivot(decided: DataFrame) -> DataFrame:
     ]
     daily = decided.where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).agg(
         F.max("risk_score").alias("highest"), *counts)
-    highest = daily.select(F.max("highest")).scalar()
-    return daily.select("day", *[
-        F.when(highest <= 1.0, F.col(f"{name} 1")).otherwise(F.col(f"{name} 100")).alias(name)
-        for name in TREND_BUCKETS])
+    return daily.withColumn("highest", F.expr("max(highest) OVER ()")).select("day", *[
+        F.when(F.col("highest") <= 1.0, F.col(f"{name} 1"))
+        .otherwise(F.col(f"{name} 100")).alias(name) for name in TREND_BUCKETS])
 
 
 def risk_trend_7d(decided: DataFrame, end: dt.date, days: int = 7) -> DataFrame:

@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.functions.vectors import cosine
+from ledgerlynx.functions import vectors
 from ledgerlynx.operators import (
     decisions as dec, duplicates, embedding, explain, relational, reports, risk, similarity, vendor)
 from ledgerlynx.plans import scoring
 from ledgerlynx.session import ROCKSDB_STATE, scratch_path
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
-from ledgerlynx.streaming import live, pairs, tables
+from ledgerlynx.streaming import live, outputs, pairs, tables
 from ledgerlynx.streaming import vendor as stream_vendor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,9 @@ QUERIES: dict[str, Query] = {}
 TREND_END = dt.date(1998, 6, 30)
 PAIR_THRESHOLD = 0.25
 CROSS_THRESHOLD = 0.4
+DECISION_FIELDS = (
+    "invoice_id string, amount double, risk_score double, risk_level string, "
+    "decision string, decision_confidence double, decision_reason string")
 
 
 def query(fn: Query) -> Query:
@@ -99,10 +102,7 @@ def read_jsonl_latest(spark, d):
 @query
 def write_jsonl(spark, d):
     paths = scoring.run_batch(src.load_invoices(spark, d), scratch_path(spark, "out"))
-    return spark.read.schema(
-        "invoice_id string, amount double, risk_score double, risk_level string, "
-        "decision string, decision_confidence double, decision_reason string"
-    ).json(paths["autonomous_decisions"])
+    return spark.read.schema(DECISION_FIELDS).json(paths["autonomous_decisions"])
 
 
 @query
@@ -217,9 +217,9 @@ def join_left_dup_flag(spark, d):
 
 @query
 def join_left_semantic(spark, d):
-    vectors = table(spark, d, "embeddings")
-    best = similarity.best_matches(vectors, "vec_id", "embedding", PAIR_THRESHOLD, "label")
-    return vectors.join(best, F.col("vec_id") == F.col("id"), "left").select(
+    rows = table(spark, d, "embeddings")
+    best = similarity.best_matches(rows, "vec_id", "embedding", PAIR_THRESHOLD, "label")
+    return rows.join(best, F.col("vec_id") == F.col("id"), "left").select(
         "vec_id", "label", F.col("id").isNotNull().alias("has_match"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         F.coalesce("other_id", F.lit(-1)).alias("match_id"))
@@ -396,11 +396,11 @@ def embed_lexical(spark, d):
 
 
 @query
-def cosine_similarity(spark, d):
+def cosine(spark, d):
     """Each vector against itself read backwards."""
-    vectors = table(spark, d, "embeddings")
-    return rounded(vectors.select(
-        "vec_id", cosine(F.col("embedding"), F.reverse("embedding")).alias("similarity")),
+    rows = table(spark, d, "embeddings")
+    return rounded(rows.select(
+        "vec_id", vectors.cosine(F.col("embedding"), F.reverse("embedding")).alias("similarity")),
         6, "similarity")
 
 
@@ -429,9 +429,9 @@ def enrich_semantic(spark, d):
 
 @query
 def find_similar(spark, d):
-    vectors = table(spark, d, "embeddings")
+    rows = table(spark, d, "embeddings")
     return similarity.find_similar(
-        vectors, vectors, "vec_id", "vec_id", threshold=CROSS_THRESHOLD)
+        rows, rows, "vec_id", "vec_id", threshold=CROSS_THRESHOLD)
 
 
 @query
@@ -622,8 +622,8 @@ def format_alert_text(spark, d):
 
 @query
 def monitoring_tables(spark, d):
-    out = scoring.monitoring_tables(scoring.build(src.load_invoices(spark, d)))
-    return rounded(out["vendor_risk_summary"], 6, "avg_risk_score")
+    views = scoring.monitoring_tables(scoring.build(src.load_invoices(spark, d)))
+    return rounded(views["vendor_risk_summary"], 6, "avg_risk_score")
 
 
 @query
@@ -699,6 +699,15 @@ def live_enrichment(spark, d):
     return rounded(rows, 6, "vendor_stddev_amount").drop("amount_cents")
 
 
+@query
+def stream_outputs(spark, d):
+    """All six outputs kept up to date on a stream; the decisions are read back."""
+    out = scratch_path(spark, "stream")
+    outputs.run_stream(_stream_invoices(spark, d), f"{out}/out", f"{out}/state")
+    schema = jsonl.T.StructType.fromDDL(DECISION_FIELDS)
+    return jsonl.read_jsonl_latest(spark, f"{out}/out/autonomous_decisions.jsonl", schema)
+
+
 @query
 def stream_arrival(spark, d):
     key = "spark.sql.streaming.stateStore.providerClass"

@@ -342,7 +342,8 @@ REASON = """CASE WHEN risk_score < 0.3e0 THEN 'Low risk score - invoice meets al
   ELSE 'Moderate risk - requires manual verification' END"""
 CONFIDENCE = """CASE WHEN risk_score < 0.3e0 THEN (1.0e0 - risk_score) * 100.0e0
   WHEN risk_score >= 0.7e0 THEN risk_score * 100.0e0 ELSE 50.0e0 END"""
-oracle("write_jsonl", f"""SELECT invoice_id, amount, risk_score, risk_level, decision,
+for written in ("write_jsonl", "stream_outputs"):
+    oracle(written, f"""SELECT invoice_id, amount, risk_score, risk_level, decision,
   {CONFIDENCE} AS decision_confidence, {REASON} AS decision_reason FROM decided""", "decided")
 oracle("append_decisions",
        "SELECT invoice_id, risk_score, decision FROM reg WHERE risk_score >= 0.6e0", "reg")
@@ -493,7 +494,7 @@ FROM (SELECT doc_id, list_transform(range(8,16), lambda i:
 oracle("embed_distinct", f"""SELECT md5(text) AS text_md5, n_rows, {ELEMENTS}
 FROM (SELECT text, count(*) AS n_rows, {HASH8.format(t='text')} AS e
       FROM documents GROUP BY text)""")
-oracle("cosine_similarity", f"""SELECT vec_id,
+oracle("cosine", f"""SELECT vec_id,
   {COS.format(a='e', b='list_reverse(e)')} + 0.0e0 AS similarity FROM vecs""", "vecs")
 DETECT = """SELECT id_a AS invoice_id_1, id_b AS invoice_id_2, amount_a AS amount_1,
   amount_b AS amount_2, ts_a AS ts_1, ts_b AS ts_2, sim AS similarity

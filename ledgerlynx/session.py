@@ -42,7 +42,6 @@ def shared_folder(spark: SparkSession) -> str:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="ledgerlynx-")
-        spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from conftest import same
 from ledgerlynx.operators import similarity, vendor
+from ledgerlynx.plans import scoring
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
-from ledgerlynx.streaming import live, pairs, tables
+from ledgerlynx.streaming import live, outputs, pairs, tables
 from ledgerlynx.streaming import vendor as stream_vendor
 
 
@@ -62,6 +63,18 @@ def test_live_enrichment_retries_are_idempotent(spark, invoices, tmp_path):
     assert same(want, tables.current_rows(spark, rows, ["invoice_id"], want.schema))
 
 
+def test_all_outputs_on_a_stream_equal_batch(spark, invoices, feed, tmp_path):
+    out = str(tmp_path / "out")
+    outputs.run_stream(feed(), out, str(tmp_path / "state"))
+    tables_ = scoring.build(invoices)
+    for name, key in (("autonomous_decisions", "invoice_id"), ("vendor_stats", "vendor_id"),
+                      ("realtime_risk_scores", "invoice_id"),
+                      ("all_invoices_explained", "invoice_id")):
+        want = tables_[name]
+        got = jsonl.read_jsonl_latest(spark, f"{out}/{name}.jsonl", want.schema, key)
+        assert same(want, got), name
+
+
 def test_vendor_stats_stream(spark, invoices, feed, tmp_path):
     stream = stream_vendor.stream_vendor_stats(feed())
     tables.run_to_versions(stream, str(tmp_path / "rows"), str(tmp_path / "cp"))
