@@ -27,6 +27,7 @@ from ledgerlynx.operators.embedding import (
     Embedder, compute_embeddings, embed_text_labelled, embedder_named)
 
 PART_ROWS = 1024
+SMALL_UNIT = 4096  # pairs
 DECIMALS = 6
 
 _UNIT = ["__block", "__slot", "__kind", "__i", "__j"]
@@ -58,6 +59,49 @@ def _unit_slices(pdf: pd.DataFrame):
             yield left, rows[side[rows] == 1]
 
 
+def _small_pairs(units, start, n_left, right, n_right, triangle):
+    """Row numbers of all pairs of the given units, without a loop over them."""
+    total = n_left[units] * n_right[units]
+    u = np.repeat(units, total)
+    place = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    i, j = np.divmod(place, n_right[u])
+    once = ~triangle[u] | (i < j)
+    return (start[u] + i)[once], (right[u] + j)[once]
+
+
+def _scored_pairs(pdf: pd.DataFrame, unit: np.ndarray, threshold: float):
+    """Pairs at the threshold in a task whose rows are sorted by unit and side.
+
+    Small units are paired together in chunks, large ones multiplied one by one.
+    """
+    code, side = pdf["__unit"].to_numpy(), pdf["__side"].to_numpy()
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    size = np.diff(np.r_[start, len(code)])
+    n_left = np.add.reduceat((side == 0).astype(np.int64), start)
+    triangle = ((pdf["__kind"].to_numpy() == _IN_SLOT)
+                & (pdf["__i"].to_numpy() == pdf["__j"].to_numpy()))[start]
+    right = np.where(triangle, start, start + n_left)
+    n_right = np.where(triangle, n_left, size - n_left)
+    work = np.where(triangle & (n_left < 2), 0, n_left * n_right)
+
+    small = np.flatnonzero((work > 0) & (work <= SMALL_UNIT))
+    step = np.cumsum(work[small]) // max(SMALL_UNIT, 2_000_000 // unit.shape[1])
+    for units in np.split(small, np.flatnonzero(np.diff(step)) + 1):
+        a, b = _small_pairs(units, start, n_left, right, n_right, triangle)
+        scores = np.round(np.einsum("ij,ij->i", unit[a], unit[b]), DECIMALS)
+        keep = scores >= threshold
+        yield a[keep], b[keep], scores[keep]
+    for u in np.flatnonzero(work > SMALL_UNIT):
+        a0, b0 = start[u], right[u]
+        scores = np.round(
+            unit[a0:a0 + n_left[u]] @ unit[b0:b0 + n_right[u]].T, DECIMALS)
+        keep = scores >= threshold
+        if triangle[u]:
+            keep = np.triu(keep, 1)
+        a, b = np.nonzero(keep)
+        yield a0 + a, b0 + b, scores[a, b]
+
+
 def _units(
     rows: DataFrame,
     id_col: str,
@@ -152,25 +196,17 @@ def similar_pairs(
     reach = None if window_seconds is None else window_seconds * 1_000_000
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = _unit_vectors(pdf["__vec"])
+        pdf["__unit"] = pdf.groupby(_UNIT, sort=False, dropna=False).ngroup()
+        pdf = pdf.sort_values(["__unit", "__side"], kind="stable").reset_index(drop=True)
         ids, us = pdf["__id"].to_numpy(), pdf["__us"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for left, right in _unit_slices(pdf):
-            columns = left if right is None else right
-            scores = np.round(unit[left] @ unit[columns].T, DECIMALS)
-            keep = scores >= threshold
-            if right is None:
-                keep = np.triu(keep, 1)
-            a, b = np.nonzero(keep)
-            sims = scores[a, b]
-            a, b = left[a], columns[b]
+        none = np.zeros(0, dtype=np.int64)
+        found = [(none, none, np.zeros(0))]
+        for a, b, sims in _scored_pairs(pdf, _unit_vectors(pdf["__vec"]), threshold):
             ok = ids[a] != ids[b]
             if reach is not None:
                 ok &= np.abs(us[a] - us[b]) <= reach
             found.append((a[ok], b[ok], sims[ok]))
-        a = np.concatenate([f[0] for f in found])
-        b = np.concatenate([f[1] for f in found])
-        sims = np.concatenate([f[2] for f in found])
+        a, b, sims = (np.concatenate(column) for column in zip(*found))
         if both_directions:
             a, b, sims = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([sims, sims])
         else:
