@@ -124,7 +124,8 @@ def running_history(
     all rows of a busy vendor into one task, so the history is cut into
     calendar chunks of ``grain``: chunk totals are running-summed per vendor
     (one row per chunk), and a window inside each (vendor, chunk) adds the rows
-    since the chunk began. All the statistics combine exactly.
+    since the chunk began. All the statistics combine exactly. Rows without a
+    timestamp come first and form one chunk per vendor.
 
     ``bank_rule``: ``max`` is the greatest account so far, ``previous`` the
     account of the invoice just before this one.

@@ -120,7 +120,8 @@ def run_batch(
 
     The statistics and the scored rows are written once to the shared folder
     and read back: six outputs then scan a table instead of repeating joins,
-    and a lost executor costs a re-read, not the whole lineage.
+    and a lost executor costs a re-read, not the whole lineage. The two scratch
+    tables stay there for inspection; drop them when the outputs are accepted.
     """
     spark = invoices.sparkSession
     stats_path, scored_path = scratch_path(spark, "stats"), scratch_path(spark, "scored")
