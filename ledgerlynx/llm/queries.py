@@ -47,7 +47,7 @@ levels AS (
   FROM sources
   WINDOW before AS (ORDER BY 2.0e0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(most, weight * (SELECT min(unit) FROM levels WHERE weight * unit <= most)) AS target
+  SELECT source, source_size, least(most, weight * (SELECT unit FROM levels WHERE weight * unit <= most ORDER BY 2.0e0 * source_size / weight, source LIMIT 1)) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
