@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import fmindex, mixing, radix
+from ledgerlynx.llm import fmindex, forest, langid, mixing, radix, secret_scan, sitetree
+from ledgerlynx.llm.common import id_remainder, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +88,42 @@ def op10_fm_decontaminate(spark, folder):
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        fmindex.items_sha256(F.col("items")).alias("items_sha256"),
                        (n_hit > 0).alias("contaminated"))
+
+
+@query
+def op2_secret_ledger(spark, folder):
+    found = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("findings", lambda f: f["kind"].isin([r.kind for r in secret_scan.BASE]))
+
+    def count(kind: str):
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(r.kind) for r in secret_scan.BASE],
+                        F.sha2(secret_scan.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.span_text(F.col("findings")).alias("spans"))
+
+
+@query
+def op3_language_codes(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang") \
+        .withColumn("held_out", id_remainder(F.col("doc_id"), 3) == 1)
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.with_language(docs.select("doc_id", "held_out", "text"), F.col("text"), model) \
+        .select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op8_site_style_tree(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return sitetree.extract(pages).select("doc.page_id", "doc.url", F.col("main_text").alias("text"),
+                                          F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_lsh_forest_join(spark, folder):
+    rows = numbered(table(spark, folder, "documents"), "op5-docs", ["doc_id", "text"])
+    found = forest.jaccard_join(rows, F.col("doc.text"))
+    ids = rows.select("row", "doc.doc_id")
+    name = lambda column: ids.select(F.col("row").alias(f"{column}_row"), F.col("doc_id").alias(f"{column}_id"))
+    return found.join(ids, "row").join(name("class"), "class_row").join(name("text"), "text_row") \
+        .select("doc_id", "class_id", "text_id", "n_links", "n_texts")
