@@ -37,7 +37,8 @@ def radix_groups(rows: DataFrame, first: int = FIRST_BYTES, growth: int = GROWTH
         groups = written(
             at.groupBy(*split).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             .select(*split, F.monotonically_increasing_id().alias("next")), "radix-groups")
-        placed = at.join(groups, split, "left")
+        # always the same kind of join, so that cost follows the input evenly
+        placed = at.join(groups.hint("merge"), split, "left")
         more = F.col("next").isNotNull() & (F.col("len") > width)
         after = written(placed.select(
             "carry", F.col("next").alias("grp"), more.alias("open"),
