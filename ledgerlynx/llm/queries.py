@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import fmindex, forest, langid, mixing, radix, secret_scan, sitetree
+from ledgerlynx.llm import fmindex, forest, langid, mixing, mixlm, radix, secret_scan, sitetree
 from ledgerlynx.llm.common import id_remainder, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,14 @@ def op5_lsh_forest_join(spark, folder):
     name = lambda column: ids.select(F.col("row").alias(f"{column}_row"), F.col("doc_id").alias(f"{column}_id"))
     return found.join(ids, "row").join(name("class"), "class_row").join(name("text"), "text_row") \
         .select("doc_id", "class_id", "text_id", "n_links", "n_texts")
+
+
+@query
+def op7_context_mixing(spark, folder):
+    rows = numbered(table(spark, folder, "documents"), "op7-docs", ["doc_id", "text"]) \
+        .select("row", "doc.doc_id", "doc.text") \
+        .withColumn("held_out", id_remainder(F.col("doc_id"), 5) == 1)
+    model = mixlm.train(rows.where("NOT held_out"), F.col("text"), F.xxhash64("doc_id"))
+    return mixlm.score_texts(rows, F.col("text"), model).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        "base_score", "score", "bits_per_byte")

@@ -223,16 +223,17 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", gamma: float = GAMMA) -> DataFrame:
-    """``host, node, pages, importance`` of every node of the merged trees.
+    """``host, node, pages, style, importance`` of every node of the merged trees.
 
     Pages of a host whose elements have the same path of names and classes meet
-    in one node. With m pages at a node, its presentation importance is the
-    entropy (base m) of the child sequences seen there, and its content
+    in one node. With m pages at a node, its presentation importance ``style`` is
+    the entropy (base m) of the child sequences seen there, and its content
     importance 1 minus the mean entropy of its texts over the pages that show
     them, log(n) / log(m) for a text on n pages: varied branches carry content,
-    repeated ones are furniture. A node with texts has the content importance,
-    other nodes gamma times their own plus (1 - gamma) times the mean of the
-    nodes below. Only counts are shuffled, added up in each task first.
+    repeated ones are furniture. ``importance`` of a node with texts is gamma times
+    its content and 1 - gamma times its parent's presentation; null without
+    texts. A branch is unimportant when all its nodes with texts are, so those
+    decide. Only counts are shuffled, added up in each task first.
     """
     read = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
     counts = read.mapInPandas(_statistics, _STATS).groupBy("host", "node", "parent", "feature", "presentation") \
@@ -240,19 +241,17 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     counts = written(counts, "style-counts")
     at = ["host", "node", "parent"]
     m = counts.where("presentation").groupBy(*at).agg(F.sum("n").alias("pages"))
-    joined = counts.join(m, at)
     log_m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     share = F.col("n") / F.col("pages")
-    own = joined.groupBy(*at, "pages").agg(
+    repeated = F.least(F.lit(1.0), F.log(F.col("n").cast("double")) / log_m)
+    own = written(counts.join(m, at).groupBy(*at, "pages").agg(
         F.sum(F.when(F.col("presentation"), -share * F.log(share) / log_m)).alias("style"),
-        F.sum(F.when(~F.col("presentation"), F.col("n"))).alias("texts"),
-        F.sum(F.when(~F.col("presentation"), F.col("n") * F.log(F.col("n").cast("double")) / log_m)).alias("repeated"))
-    own = own.withColumn("own", F.when(F.col("pages") == 1, F.lit(1.0)).when(
-        F.col("texts") > 0, 1 - F.least(F.lit(1.0), F.col("repeated") / F.col("texts"))).otherwise(F.col("style")))
-    below = own.groupBy("host", F.col("parent").alias("node")).agg(F.avg("own").alias("below"))
-    return own.join(below, ["host", "node"], "left").select(
-        "host", "node", "pages", F.when(F.col("texts") > 0, F.col("own")).otherwise(
-            gamma * F.col("own") + (1 - gamma) * F.coalesce("below", "own")).alias("importance"))
+        (1 - F.sum(F.when(~F.col("presentation"), F.col("n") * repeated))
+         / F.sum(F.when(~F.col("presentation"), F.col("n")))).alias("content")), "style-nodes")
+    above = own.select("host", F.col("node").alias("parent"), F.col("style").alias("above"))
+    return own.join(above, ["host", "parent"], "left").select(
+        "host", "node", "pages", "style",
+        (gamma * F.col("content") + (1 - gamma) * F.coalesce("above", F.lit(1.0))).alias("importance"))
 
 
 def main_blocks(page: str | None, low: set[int]) -> list[str]:
@@ -261,19 +260,11 @@ def main_blocks(page: str | None, low: set[int]) -> list[str]:
     that counts, and the tree does not overrule the mark."""
     nodes, blocks = parse(page)
     marked = any(n.main and not n.noise for n in nodes)
-    kept = []
-    for node, text in blocks:
-        if node.noise or (marked and not node.main):
-            continue
-        if not marked and low:
-            at, out = node, False
-            while at is not None and not out:
-                out = _hash(at.style) in low
-                at = at.parent
-            if out:
-                continue
-        kept.append(text)
-    return kept
+    kept = [(n, t) for n, t in blocks if not n.noise and (n.main or not marked)]
+    if low and not marked:
+        # where a host's pages are copies of each other nothing is important: then all stays
+        kept = [(n, t) for n, t in kept if _hash(n.style) not in low] or kept
+    return [t for _, t in kept]
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", low: float = LOW,
