@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import fmindex, forest, langid, mixing, mixlm, radix, secret_scan, sitetree
+from ledgerlynx.llm import chains, edits, fmindex, forest, langid, mixing, mixlm, radix, secret_scan, sitetree
 from ledgerlynx.llm.common import id_remainder, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +138,40 @@ def op7_context_mixing(spark, folder):
     return mixlm.score_texts(rows, F.col("text"), model).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
         "base_score", "score", "bits_per_byte")
+
+
+def revisions(text):
+    """The edits of the count query: a deletion, a replacement and an insertion in each text,
+    at places that depend on its length."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    third, half, end = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int"), F.floor(n * 5 / 6).cast("int")
+    change = lambda a, b, t: F.struct(a.alias("start"), b.alias("end"), t.alias("text"))
+    return F.array(change(third, F.least(third + 7, half), F.lit("")),
+                   change(half, F.least(half + 5, end), F.concat(F.lit("revised "), F.substring(text, 1, 20))),
+                   change(end, end, F.lit("\n\nAdded: it's 2024's note.")))
+
+
+@query
+def op6_edit_counts(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    trees = edits.with_trees(docs, F.col("text"))
+    out = edits.apply_edits(trees, F.col("text"), revisions(F.col("text")))
+    return out.select("doc_id", F.col("tree.sums")[1].alias("n_tokens"),
+                      F.col("edited.tree.sums")[1].alias("n_tokens_edited"),
+                      F.length("edited.text").cast("long").alias("n_chars_edited"),
+                      F.col("edited.encoded_anew").cast("long").alias("n_chars_encoded_anew"))
+
+
+@query
+def op9_collinear_chains(spark, folder):
+    rows = numbered(table(spark, folder, "documents"), "op9-docs", ["doc_id", "text"])
+    found = chains.repeated_passages(rows, F.col("doc.text"))
+    ids = rows.select("row", "doc.doc_id")
+    pairs = found.where("size(others) > 0").select("row", F.explode("others").alias("other")) \
+        .join(ids.select(F.col("row").alias("other"), F.col("doc_id").alias("other_id")), "other") \
+        .groupBy("row").agg(F.array_sort(F.collect_set("other_id")).alias("other_ids"))
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])))
+    return found.join(ids, "row").join(pairs, "row", "left").select(
+        "doc_id", "n_words", n.alias("n_repeated"), spans.alias("spans"),
+        F.coalesce("other_ids", F.array().cast("array<bigint>")).alias("other_ids"))
