@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlynx.llm.common import as_rows, doc_field, written
 
@@ -211,13 +210,14 @@ _HITS = "array<struct<start:int,end:int>>"
 
 
 def _scanner(shared, shard_symbols: int):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"n_words long, spans {_HITS}, items array<string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         phrases = shared.value
         for batch in batches:
             out = {"n_words": np.zeros(len(batch), np.int64), "spans": [[] for _ in range(len(batch))],
                    "items": [[] for _ in range(len(batch))]}
             shard, first, symbols = [], 0, 0
-            for i, text in enumerate(batch.pop("__text")):
+            for i, text in enumerate(batch):
                 words = words_of(text)
                 out["n_words"][i] = len(words)
                 shard.append(words)
@@ -227,7 +227,7 @@ def _scanner(shared, shard_symbols: int):
                         out["spans"][first + doc] = [{"start": int(a), "end": int(b)} for a, b in spans]
                         out["items"][first + doc] = sorted(str(phrases.ids[x]) for x in items)
                     shard, first, symbols = [], i + 1, 0
-            yield batch.assign(**out)
+            yield pd.DataFrame(out)
     return scan
 
 
@@ -240,7 +240,8 @@ def find_passages(rows: DataFrame, text: Column, benchmark: DataFrame, item_col:
 
     The benchmark is a query set against all documents: it goes to the tasks in
     blocks of at most ``block_bytes`` of text (or one item), each block in a pass
-    of its own, and the hits of the passes are merged by row.
+    of its own, and the hits of the passes are merged by row. Several passes read
+    a written copy of the rows, so that a row keeps its number.
     """
     spark = rows.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")) \
@@ -248,16 +249,16 @@ def find_passages(rows: DataFrame, text: Column, benchmark: DataFrame, item_col:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     keep = list(keep or rows.columns)
-    found = None
+    rows, found = rows.withColumn("__text", text), None
+    if n_blocks > 1:
+        rows = written(rows.select(*keep, "__text"), "fm-rows")
     for block in range(n_blocks):
         of_block = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block)
         shared = spark.sparkContext.broadcast(
             Phrases(sorted({(r["item"], r["text"]) for r in of_block.toLocalIterator()}), window))
-        read = rows.select(*keep, text.alias("__text"))
-        schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("n_words", T.LongType()),
-                               T.StructField("spans", T._parse_datatype_string(_HITS)),
-                               T.StructField("items", T._parse_datatype_string("array<string>"))])
-        hits = read.mapInPandas(_scanner(shared, shard_symbols), schema)
+        # only texts go to the shards; the other columns stay where they are
+        hits = rows.select(*keep, _scanner(shared, shard_symbols)("__text").alias("__hit")) \
+            .select(*keep, "__hit.n_words", "__hit.spans", "__hit.items")
         if n_blocks == 1:
             return hits
         part = written(hits, "fm-hits")
@@ -302,8 +303,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     rows = as_rows(docs)
     if benchmark.isEmpty():
         return docs
-    hits = find_passages(written(rows.withColumn("row", F.monotonically_increasing_id()), "fm-docs"),
-                         doc_field(text_col), benchmark, **options)
+    hits = find_passages(rows.withColumn("row", F.monotonically_increasing_id()), doc_field(text_col), benchmark,
+                         **options)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:

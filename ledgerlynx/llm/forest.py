@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm.common import written
+from ledgerlynx.llm.common import dropped, written
 from ledgerlynx.llm.components import components
 from ledgerlynx.llm.tokens import mixed, shingles, slices, words
 
@@ -240,6 +240,7 @@ def jaccard_join(rows: DataFrame, text: Column, k: int = SHINGLE, threshold: flo
     found = work.repartition("unit").sortWithinPartitions("unit").mapInPandas(
         _verifier(threshold), "row long, links long, link_rows long, root long")
     found = written(found, "forest-links")
+    dropped(leaves, first, members, payload)
     classes = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("row").agg(F.sum("links").alias("n_texts"), F.sum("link_rows").alias("link_rows"))
     per_text = texts.join(linked, F.col("text_row") == F.col("row"), "left").drop("row") \
