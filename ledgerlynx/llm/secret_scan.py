@@ -83,6 +83,8 @@ def _blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sent.clear()
                 sent.add(blob)
                 new.append(i)
+        if not new:
+            continue
         part = batch.iloc[new]
         yield pd.DataFrame({"blob": part["blob"], "data": [
             zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in part["text"]]})
@@ -104,7 +106,8 @@ def _scanner(rules: tuple[Rule, ...]):
                 out["blob"].append(blob)
                 out["rules"].append(list(todo))
                 out["findings"].append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-            yield pd.DataFrame(out)
+            if out["blob"]:
+                yield pd.DataFrame(out)
     return scan
 
 
