@@ -271,3 +271,13 @@ def test_edits_as_a_table(spark, documents):
     joined = edits.join_edits(edits.with_trees(docs, F.col("text")), table, "doc_id")
     got = {r.doc_id: r.edited.text for r in edits.apply_edits(joined, F.col("text"), F.col("edits")).collect()}
     assert got == {1: " 2 three", 2: "four"}
+
+
+def test_batches_without_results():
+    import pandas as pd
+    import pyarrow as pa
+
+    few = pd.DataFrame({"row": [1, 1], "other": [2, 2], "pos": [3, 4], "other_pos": [5, 6]})
+    parts = list(chains._chainer(50)(iter([few, few.iloc[:0]])))
+    assert all(len(pa.array(p["xs"], type=pa.list_(pa.int32()))) == 0 for p in parts)
+    assert list(secret_scan._scanner(secret_scan.RULES)(iter([few.iloc[:0].assign(blob=[], data=[], todo=[])]))) == []
