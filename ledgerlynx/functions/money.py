@@ -1,74 +1,89 @@
 """Exact money arithmetic.
 
 A distributed sum of doubles depends on the order in which partitions are
-merged, and a score next to a threshold may then flip from run to run. Amounts
-are currency values with two decimals, so sums are taken over whole cents in
-64-bit integers, which hash aggregation keeps in place, and turned into DOUBLE
-once. A sum of squares is kept as two integers, the high part and the low 26
-bits. Where a sum does not fit after all, the same sum in DOUBLE is used.
+merged, and a score next to a threshold may then flip from run to run. So each
+amount is taken as the decimal number it is written as, with up to ten
+decimals, and all sums are decimal and exact: in any order, for any currency
+or unit price, in one way for every size. Each result is turned into DOUBLE
+once, at the end.
+
+An amount is cut into its whole part a and its fraction b (0 <= b < 1), and its
+square into a*a + 2*a*b + b*b, so that squares fit 38 digits: amounts below 1e14
+in up to 1e10 rows of a group. A group with an amount beyond that (or one that
+is no number) has no exact sums; its statistics are NULL, never a guess.
+NULL amounts add nothing to a sum but count as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# the square of a greater number of cents does not fit 64 bits
-_LARGEST = 3_000_000_000
+DECIMAL = "DECIMAL(24,10)"
+#: Running sums of a history and their decimal types.
+MOMENTS = ("sa", "sb", "aa", "ab", "bb")
 
 
-def cents_sql(df: DataFrame, amount: str = "amount") -> str:
-    """Whole cents of an amount; uses ``<amount>_cents`` when it is stored."""
-    stored = f"{amount}_cents"
-    return stored if stored in df.columns else f"CAST(round({amount} * 100D) AS BIGINT)"
+def exact_sql(amount: str = "amount") -> str:
+    """The amount as a decimal; NULL if it is NULL, no number, or has more than 14 whole digits."""
+    return f"try_cast({amount} AS {DECIMAL})"
 
 
-def cents(df: DataFrame, amount: str = "amount") -> Column:
-    return F.expr(cents_sql(df, amount))
+def _lost(amount: str) -> str:
+    return f"{amount} IS NOT NULL AND {exact_sql(amount)} IS NULL"
 
 
-def total_of_cents(df: DataFrame, name: str) -> Column:
+def moment_columns(amount: str = "amount") -> dict[str, Column]:
+    """Per row the decimal parts that are summed; NULL where the amount has none."""
+    d = exact_sql(amount)
+    a = f"CAST(floor({d}) AS DECIMAL(15,0))"
+    b = f"CAST({d} - floor({d}) AS DECIMAL(11,10))"
+    return {
+        "sa": F.expr(a), "sb": F.expr(b), "aa": F.expr(f"CAST({a} * {a} AS DECIMAL(29,0))"),
+        "ab": F.expr(f"CAST({a} * {b} AS DECIMAL(26,10))"),
+        "bb": F.expr(f"CAST({b} * {b} AS DECIMAL(21,20))"), "lost": F.expr(f"IF({_lost(amount)}, 1L, 0L)"),
+    }
+
+
+def total(name: str, amount: str = "amount") -> Column:
     """Exact sum of the amounts of a group."""
-    c = cents_sql(df)
-    return F.expr(
-        f"coalesce(CAST(try_sum({c}) AS DOUBLE), sum(CAST({c} AS DOUBLE))) / 100D AS {name}")
+    return F.expr(f"IF(count_if({_lost(amount)}) = 0, CAST(try_sum({exact_sql(amount)}) AS DOUBLE), NULL) AS {name}")
 
 
-def moment_sums(c: str) -> list[str]:
-    """Aggregates of the cents ``c`` from which mean and deviation follow."""
-    square = f"IF(abs({c}) <= {_LARGEST}L, ({c}) * ({c}), 0L)"
-    return [
-        "count(1) AS n",
-        f"try_sum({c}) AS s", f"sum(CAST({c} AS DOUBLE)) AS s_double",
-        f"try_sum(shiftright({square}, 26)) AS q_high",
-        f"try_sum({square} & 67108863L) AS q_low",
-        f"sum(CAST({c} AS DOUBLE) * CAST({c} AS DOUBLE)) AS q_double",
-        f"max(abs({c})) AS c_max",
-    ]
+def moment_sums(amount: str = "amount") -> list[Column]:
+    """Aggregates from which sum, mean and deviation follow."""
+    parts = moment_columns(amount)
+    return [F.count(F.lit(1)).alias("n"), F.sum(parts["lost"]).alias("lost"),
+            *[F.try_sum(parts[m]).alias(m) for m in MOMENTS]]
 
 
-def merged_moment_sums() -> list[str]:
+def merged_moment_sums() -> list[Column]:
     """The same aggregates over groups that already have them."""
-    exact = [f"CASE WHEN count({x}) = count(1) THEN try_sum({x}) END AS {x}"
-             for x in ("s", "q_high", "q_low")]
-    return ["sum(n) AS n", *exact, "sum(s_double) AS s_double", "sum(q_double) AS q_double",
-            "max(c_max) AS c_max"]
+    return [F.sum("n").alias("n"), F.sum("lost").alias("lost"), *[F.try_sum(m).alias(m) for m in MOMENTS]]
+
 
+# Results from the moment sums of n rows. Narrow types keep all ten decimals of a product.
+TOTAL = "IF(lost = 0, CAST(try_cast(sa AS DECIMAL(27,0)) + try_cast(sb AS DECIMAL(27,10)) AS DOUBLE), NULL)"
+MEAN = f"IF(n > 0, {TOTAL} / n, NULL)"
+_N = "CAST(n AS DECIMAL(18,0))"
+_PIVOT = f"try_cast(floor({TOTAL} / n) AS DECIMAL(15,0))"
 
-# Results in currency units from the moment sums of n rows.
-_SUM = "coalesce(CAST(s AS DOUBLE), s_double)"
-TOTAL = f"{_SUM} / 100D"
-MEAN = f"{_SUM} / n / 100D"
-_SQUARES = f"""CASE WHEN c_max <= {_LARGEST}L THEN
-    CAST(q_high AS DECIMAL(20,0)) * 67108864BD + CAST(q_low AS DECIMAL(20,0)) END"""
 
+def stddev_sql(high: str, low: str) -> str:
+    """Population standard deviation of a group with greatest amount ``high`` and least ``low``.
 
-def stddev_sql(squares: str, n: str = "n", s: str = "s", fallback: str = "NULL") -> str:
-    """Population standard deviation, from n * squares - s * s in 38 digits."""
-    return f"""sqrt(greatest(0D, coalesce(CAST(try_subtract(
-        try_multiply(CAST({n} AS DECIMAL(18,0)), CAST({squares} AS DECIMAL(38,0))),
-        try_multiply(CAST({s} AS DECIMAL(38,0)), CAST({s} AS DECIMAL(38,0)))) AS DOUBLE),
-        {fallback}))) / {n} / 100D"""
+    The squares are taken around a whole number next to the mean, exactly, so
+    large amounts close together lose nothing. Equal amounts have exactly 0.
+    """
+    sa = "try_cast(sa AS DECIMAL(27,0))"
+    whole = f"aa - 2BD * {_PIVOT} * {sa} + {_N} * {_PIVOT} * {_PIVOT}"
+    mixed = f"try_cast(ab AS DECIMAL(36,10)) - try_cast({_PIVOT} * try_cast(sb AS DECIMAL(22,10)) AS DECIMAL(36,10))"
+    around = f"(CAST({whole} AS DOUBLE) + 2D * CAST({mixed} AS DOUBLE) + CAST(bb AS DOUBLE)) / n"
+    off = f"(CAST({sa} - {_N} * {_PIVOT} AS DOUBLE) + CAST(sb AS DOUBLE)) / n"
+    return (f"CASE WHEN n > 0 AND lost = 0 AND {high} = {low} THEN 0D "
+            f"WHEN n > 0 AND lost = 0 THEN sqrt({_no_less_than_zero(f'{around} - ({off}) * ({off})')}) END")
 
 
-STDDEV = stddev_sql(_SQUARES, fallback="n * q_double - s_double * s_double")
+def _no_less_than_zero(x: str) -> str:
+    # greatest() skips NULL, which would turn an unknown deviation into 0
+    return f"IF({x} < 0D, 0D, {x})"

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.config import DEFAULTS
+from ledgerlynx.config import DEFAULTS, Thresholds
 from ledgerlynx.functions.text import float_text
 
 
-def decisions(scored: DataFrame) -> DataFrame:
+def decisions(scored: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Every column plus the decision, its confidence, flags and reason."""
     def pick(approved: str, rejected: str, review: str) -> Column:
         return F.expr(
-            f"CASE WHEN risk_score < {DEFAULTS.approve_max / 100.0}D THEN {approved} "
-            f"WHEN risk_score >= {DEFAULTS.reject_min / 100.0}D THEN {rejected} "
+            f"CASE WHEN risk_score < {t.approve_max / 100.0}D THEN {approved} "
+            f"WHEN risk_score >= {t.reject_min / 100.0}D THEN {rejected} "
             f"ELSE {review} END")
 
     return scored.withColumns({

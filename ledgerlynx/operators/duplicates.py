@@ -18,7 +18,7 @@ def dup_key_counts(invoices: DataFrame, fields: Sequence[str] | None = None) ->
     return invoices.groupBy(*(fields or EXACT_FIELDS)).agg(
         F.count(F.lit(1)).alias("duplicate_count"),
         F.min("invoice_id").alias("first_invoice_id"),
-        money.total_of_cents(invoices, "group_total"),
+        money.total("group_total"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.text import float_text, or_blank
 from ledgerlynx.functions.vectors import hash_vector
 
@@ -65,18 +66,23 @@ def model_embedder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[fl
 
 
 def lexical_embedder(num_features: int = 256) -> Embedder:
-    """Hashed word counts of unit length; compares wording, not meaning."""
+    """Hashed word counts, weighed by how few rows hold a word, of unit length;
+    compares wording, not meaning. The weights are fitted on the rows given."""
 
     def embed(df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
-        from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+        from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
         from pyspark.ml.functions import vector_to_array
 
         words = RegexTokenizer(inputCol=text_col, outputCol="__words", pattern=r"\W+")
         counts = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=num_features)
-        unit = Normalizer(inputCol="__counts", outputCol="__unit")
-        vectors = unit.transform(counts.transform(words.transform(df)))
+        unit = Normalizer(inputCol="__weighed", outputCol="__unit")
+        counted = counts.transform(words.transform(df.fillna("", subset=[text_col])))
+        if counted.isEmpty():
+            return df.withColumn(out, F.lit(None).cast(VECTOR))
+        weighed = IDF(inputCol="__counts", outputCol="__weighed").fit(counted).transform(counted)
+        vectors = unit.transform(weighed)
         return vectors.withColumn(out, vector_to_array("__unit")) \
-            .drop("__words", "__counts", "__unit")
+            .drop("__words", "__counts", "__weighed", "__unit")
 
     return embed
 
@@ -92,7 +98,7 @@ def embedder_named(embedder: str | Embedder) -> Embedder:
 
 def compute_embeddings(invoices: DataFrame, embedder: str | Embedder = "hash") -> DataFrame:
     """Invoices with ``text`` and its ``embedding``."""
-    return embedder_named(embedder)(embed_text_pipe(invoices), "text", "embedding")
+    return embed_once(embed_text_pipe(invoices), "text", embedder)
 
 
 def embed_distinct(
@@ -108,3 +114,24 @@ def embed_distinct(
     """
     distinct = df.groupBy(text_col).agg(F.count(F.lit(1)).alias("n_rows"))
     return embedder_named(embedder)(distinct, text_col, out)
+
+
+def embed_once(
+    df: DataFrame,
+    text_col: str,
+    embedder: str | Embedder = "hash",
+    out: str = "embedding",
+) -> DataFrame:
+    """``df`` with the vector of its text; a model sees each distinct text once.
+
+    Vectors are joined back by text, and a text that very many rows share is
+    spread over several tasks. The digest is an expression of the row and cheaper
+    than a join.
+    """
+    if embedder == "hash":
+        return hash_embedder(df, text_col, out)
+    vectors = embed_distinct(df, text_col, embedder, out)
+    numbered = df.withColumn("__spread", F.monotonically_increasing_id())
+    return attach_by_key(numbered, vectors, [text_col], "n_rows", "__spread", null_safe=True,
+                         sizes=df.groupBy(text_col).agg(F.count(F.lit(1)).alias("n_rows"))) \
+        .drop("__spread", "n_rows")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.config import DEFAULTS
+from ledgerlynx.config import DEFAULTS, Thresholds
 from ledgerlynx.functions.columns import col_or
 from ledgerlynx.functions.text import fixed, float_text, grouped
 from ledgerlynx.operators.risk import similarity_of
@@ -162,23 +162,23 @@ def explain_model(
 
 def audit_text(
     points: Column, deviation_pct: Column, bank_changed: Column,
-    similarity: Column, tax_mismatch: Column,
+    similarity: Column, tax_mismatch: Column, t: Thresholds = DEFAULTS,
 ) -> Column:
     """Three- to four-sentence explanation from the facts of a row (points 0-100)."""
     distance = F.abs(deviation_pct)
     factors = F.array_compact(F.array(
-        F.when(distance > F.lit(DEFAULTS.deviation_pct), F.concat(
+        F.when(distance > F.lit(t.deviation_pct), F.concat(
             F.lit("amount deviation of "), fixed(distance, 1),
             F.lit("% from vendor's historical average"))),
         F.when(bank_changed, F.lit("recent bank account change")),
-        F.when(similarity > F.lit(DEFAULTS.similarity), F.concat(
+        F.when(similarity > F.lit(t.similarity), F.concat(
             F.lit("high similarity ("), fixed(similarity, 2),
             F.lit(") to existing invoices"))),
         F.when(tax_mismatch, F.lit("tax calculation inconsistency")),
     ))
     n = F.size(factors)
-    band = (F.when(points >= F.lit(DEFAULTS.audit_high), "high")
-            .when(points >= F.lit(DEFAULTS.audit_medium), "medium").otherwise("low"))
+    band = (F.when(points >= F.lit(t.audit_high), "high")
+            .when(points >= F.lit(t.audit_medium), "medium").otherwise("low"))
     listed = F.concat(
         F.array_join(F.slice(factors, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "),
         F.lit(", and "), F.try_element_at(factors, F.lit(-1)))
@@ -197,7 +197,7 @@ def audit_text(
         F.lit("."))
 
 
-def explain_audit(scored: DataFrame) -> DataFrame:
+def explain_audit(scored: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Every column plus ``risk_explanation``.
 
     Points come from ``risk_points``, or from ``risk_score`` where a frame has
@@ -207,7 +207,7 @@ def explain_audit(scored: DataFrame) -> DataFrame:
     tax = col_or(scored, "tax_mismatch", col_or(scored, "tax_mismatch_triggered", False))
     return scored.withColumn("risk_explanation", audit_text(
         points.cast("double"), F.col("deviation_percentage"), F.col("bank_account_changed"),
-        F.expr(similarity_of(scored)), tax))
+        F.expr(similarity_of(scored)), tax, t))
 
 
 def format_alert_text(explanations: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def format_alert_text(explanations: DataFrame) -> DataFrame:
     return explanations.select(
         "invoice_id", "vendor_id", "risk_level", score.alias("risk_score"),
         F.concat(
-            F.lit("\U0001F6A8 "), F.col("risk_level"), F.lit(" RISK ALERT\n\nInvoice: "),
+            F.lit("🚨 "), F.col("risk_level"), F.lit(" RISK ALERT\n\nInvoice: "),
             F.col("invoice_id"), F.lit("\nVendor: "), F.col("vendor_id"),
             F.lit("\nRisk Score: "), score, F.lit("\n\nExplanation:\n"), F.col("explanation"),
             F.lit("\n\nKey Factors: "), F.col("key_factors"),

@@ -26,20 +26,20 @@ def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def _amount_sum(df: DataFrame) -> Column:
-    return money.total_of_cents(df, "total_amount")
+def _amount_sum() -> Column:
+    return money.total("total_amount")
 
 
 def risk_summary(scored: DataFrame) -> DataFrame:
     """Count, mean score and amount per level."""
     return scored.groupBy("risk_level").agg(
         _rows().alias("count"), F.avg("risk_score").alias("avg_risk_score"),
-        _amount_sum(scored))
+        _amount_sum())
 
 
 def alert_summary_amount(explanations: DataFrame) -> DataFrame:
     """Count and amount per level; the amount is 0 where the frame has none."""
-    amount = (_amount_sum(explanations) if "amount" in explanations.columns
+    amount = (_amount_sum() if "amount" in explanations.columns
               else F.lit(0.0).alias("total_amount"))
     return explanations.groupBy("risk_level").agg(_rows().alias("count"), amount)
 
@@ -56,7 +56,7 @@ def vendor_risk_summary(scored: DataFrame) -> DataFrame:
         _rows().alias("total_invoices"),
         count_true(F.col("risk_level") == "HIGH").alias("high_risk_count"),
         F.avg("risk_score").alias("avg_risk_score"),
-        _amount_sum(scored))
+        _amount_sum())
 
 
 def batch_report(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.config import DEFAULTS
+from ledgerlynx.config import DEFAULTS, Thresholds
 from ledgerlynx.functions.columns import col_or
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.text import float_text
@@ -120,9 +120,10 @@ def add_composite(
     weights: dict[str, float] | None = None,
     use_calendar: bool = False,
     score: str = "risk_score",
+    t: Thresholds = DEFAULTS,
 ) -> DataFrame:
     """The row plus its component scores, their weighted sum and its level."""
-    w = weights or DEFAULTS.composite_weights
+    w = weights or t.composite_weights
     parts = enriched.withColumns({
         "amount_risk": amount_risk_score(),
         "vendor_risk": vendor_risk_score(),
@@ -136,9 +137,10 @@ def add_composite(
                for name in ("amount", "vendor", "temporal", "pattern")]
     return scored.withColumns({
         "risk_level": F.expr(
-            f"CASE WHEN {score} >= {DEFAULTS.medium_max / 100.0}D THEN 'HIGH' "
-            f"WHEN {score} >= {DEFAULTS.low_max / 100.0}D THEN 'MEDIUM' ELSE 'LOW' END"),
+            f"CASE WHEN {score} >= {t.medium_max / 100.0}D THEN 'HIGH' "
+            f"WHEN {score} >= {t.low_max / 100.0}D THEN 'MEDIUM' ELSE 'LOW' END"),
         "risk_factors": F.concat_ws(",", *factors),
+        # fixed values: confidence by the number of invoices
         "confidence": F.expr(
             "CASE WHEN vendor_total_invoices > 10 THEN 0.9D "
             "WHEN vendor_total_invoices > 5 THEN 0.7D ELSE 0.5D END"),
@@ -161,9 +163,8 @@ def composite_risk(
         "risk_score", "risk_level", "risk_factors", "confidence")
 
 
-def add_points(enriched: DataFrame) -> DataFrame:
+def add_points(enriched: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """The row plus the four triggers, ``risk_points`` (0-100) and the breakdown."""
-    t = DEFAULTS
     triggers = {
         "deviation_triggered": f"abs(deviation_percentage) > {t.deviation_pct}D",
         "bank_change_triggered": "bank_account_changed",
@@ -186,18 +187,18 @@ def add_points(enriched: DataFrame) -> DataFrame:
     })
 
 
-def _points_band(high: str, medium: str, low: str) -> Column:
+def _points_band(high: str, medium: str, low: str, t: Thresholds) -> Column:
     return F.expr(
-        f"CASE WHEN risk_points > {int(DEFAULTS.medium_max)} THEN '{high}' "
-        f"WHEN risk_points > {int(DEFAULTS.low_max)} THEN '{medium}' ELSE '{low}' END")
+        f"CASE WHEN risk_points > {t.medium_max}D THEN '{high}' "
+        f"WHEN risk_points > {t.low_max}D THEN '{medium}' ELSE '{low}' END")
 
 
-def points_level() -> Column:
-    return _points_band("High", "Medium", "Low")
+def points_level(t: Thresholds = DEFAULTS) -> Column:
+    return _points_band("High", "Medium", "Low", t)
 
 
-def points_decision() -> Column:
-    return _points_band("Reject", "Review", "Approve")
+def points_decision(t: Thresholds = DEFAULTS) -> Column:
+    return _points_band("Reject", "Review", "Approve", t)
 
 
 def realtime_risk(enriched: DataFrame) -> DataFrame:
@@ -228,22 +229,16 @@ def join_registry(invoices: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_risk(
     invoices: DataFrame,
     registry: DataFrame,
-    noise: bool = False,
-    seed: int = 0,
+    t: Thresholds = DEFAULTS,
 ) -> DataFrame:
-    """Score against the registered account, amount bands, round sums and night hours.
-
-    ``noise`` adds a uniform amount in [0, 0.15), as a simulator would.
-    """
+    """Score against the registered account, amount bands, round sums and night hours."""
+    # fixed values: bands and parts of the score
     total = """
       CASE WHEN amount > 80000 THEN 0.40D WHEN amount > 40000 THEN 0.20D
            WHEN amount > 9000 AND amount < 10000 THEN 0.30D ELSE 0D END
       + IF(amount % 1000 = 0, 0.10D, 0D)
       + IF(coalesce(bank_account <> registered_account, true), 0.45D, 0D)
       + IF(hour(ts) < 5, 0.20D, 0D)"""
-    if noise:
-        total += f" + rand({int(seed)}) * 0.15D"
-    t = DEFAULTS
 
     def band(high: str, medium: str, low: str) -> Column:
         return F.expr(f"CASE WHEN risk_score >= {t.registry_reject}D THEN '{high}' "

@@ -24,7 +24,7 @@ from ledgerlynx.config import DEFAULTS
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.vectors import norm
 from ledgerlynx.operators.embedding import (
-    Embedder, compute_embeddings, embed_text_labelled, embedder_named)
+    Embedder, compute_embeddings, embed_once, embed_text_labelled, embedder_named)
 
 PART_ROWS = 1024
 SMALL_UNIT = 4096  # pairs
@@ -47,6 +47,12 @@ def _unit_vectors(vectors: pd.Series) -> np.ndarray:
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
+def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All cosines of two sets of unit vectors. The sum of each pair is taken as for
+    single pairs (``ij,ij->i``), so a score does not depend on the size of its unit."""
+    return np.round(np.einsum("ik,jk->ij", left, right, optimize=False), DECIMALS)
+
+
 def _unit_slices(pdf: pd.DataFrame):
     """Row numbers of the two sides of every unit in a task."""
     side = pdf["__side"].to_numpy()
@@ -93,8 +99,7 @@ def _scored_pairs(pdf: pd.DataFrame, unit: np.ndarray, threshold: float):
         yield a[keep], b[keep], scores[keep]
     for u in np.flatnonzero(work > SMALL_UNIT):
         a0, b0 = start[u], right[u]
-        scores = np.round(
-            unit[a0:a0 + n_left[u]] @ unit[b0:b0 + n_right[u]].T, DECIMALS)
+        scores = _cosines(unit[a0:a0 + n_left[u]], unit[b0:b0 + n_right[u]])
         keep = scores >= threshold
         if triangle[u]:
             keep = np.triu(keep, 1)
@@ -120,7 +125,7 @@ def _units(
         F.col(vector_col).alias("__vec"),
         (F.unix_micros(ts_col) if timed else F.lit(0).cast("bigint")).alias("__us"),
         *[F.col(c).alias(f"__p_{c}") for c in payload],
-    ).where(F.col("__block").isNotNull())
+    )
     slot = (F.floor(F.col("__us") / F.lit(window_seconds * 1_000_000)) if timed
             else F.lit(0)).cast("bigint")
     base = base.withColumn("__slot", slot)
@@ -132,7 +137,8 @@ def _units(
     bins = F.greatest(F.lit(1), F.ceil(
         sizes.select(F.sum("__n")).scalar() / F.lit(8 * part_rows))).cast("bigint")
 
-    sized = attach_by_key(base, sizes, ["__block"], "__n", "__id")
+    # rows without a block (an invoice without a vendor) form one block
+    sized = attach_by_key(base, sizes, ["__block"], "__n", "__id", null_safe=True)
     part = F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
     other = F.sequence(F.lit(0), F.col("__parts") - 1)
 
@@ -229,17 +235,19 @@ def best_matches(
     threshold: float,
     block: str,
     part_rows: int = PART_ROWS,
+    all_ids: bool = False,
 ) -> DataFrame:
     """For each id its most similar other id of the block, if at the threshold.
 
     Equal similarities go to the smaller id. Each unit reports one candidate
-    per row, so the output stays linear in the input.
+    per row, so the output stays linear in the input. ``all_ids`` also lists ids
+    without a match and adds ``nonzero``: whether the id's vector is not zero.
     """
     units = _units(rows, id_col, vector_col, F.col(block), (), part_rows, None, None)
     fields = {f.name: f.dataType for f in units.schema.fields}
     schema = T.StructType([
         T.StructField("id", fields["__id"]), T.StructField("similarity", T.DoubleType()),
-        T.StructField("other_id", fields["__id"]),
+        T.StructField("other_id", fields["__id"]), T.StructField("nonzero", T.BooleanType()),
     ])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +255,7 @@ def best_matches(
         pdf = pdf.sort_values("__id", kind="stable").reset_index(drop=True)
         unit, ids = _unit_vectors(pdf["__vec"]), pdf["__id"].to_numpy()
         found = [(ids[:0], np.zeros(0), ids[:0])]
+        alone = [(ids[:0], np.zeros(0, bool))]
 
         def report(scores: np.ndarray, here: np.ndarray, there: np.ndarray) -> None:
             best = scores.argmax(axis=1)
@@ -256,22 +265,28 @@ def best_matches(
 
         for left, right in _unit_slices(pdf):
             if right is None:
-                scores = np.round(unit[left] @ unit[left].T, DECIMALS)
+                scores = _cosines(unit[left], unit[left])
+                if all_ids:
+                    alone.append((ids[left], unit[left].any(axis=1)))
                 scores[ids[left][:, None] == ids[left][None, :]] = -np.inf
                 report(scores, left, left)
             elif len(left) and len(right):
-                scores = np.round(unit[left] @ unit[right].T, DECIMALS)
+                scores = _cosines(unit[left], unit[right])
                 report(scores, left, right)
                 report(scores.T, right, left)
         here, similarity, there = (np.concatenate(column) for column in zip(*found))
-        return pd.DataFrame({"id": here, "similarity": similarity, "other_id": there})
+        matches = pd.DataFrame({"id": here, "similarity": similarity, "other_id": there, "nonzero": None})
+        if not all_ids:
+            return matches
+        own, nonzero = (np.concatenate(column) for column in zip(*alone))
+        return pd.concat([matches, pd.DataFrame(
+            {"id": own, "similarity": None, "other_id": None, "nonzero": nonzero})])
 
     candidates = units.groupBy("__task").applyInPandas(match, schema)
-    return candidates.groupBy("id").agg(
-        F.min(F.struct((-F.col("similarity")).alias("rank"), "other_id")).alias("best")
-    ).select(
-        "id", (-F.col("best.rank")).alias("similarity"),
-        F.col("best.other_id").alias("other_id"))
+    match_of = F.when(F.col("similarity").isNotNull(), F.struct((-F.col("similarity")).alias("rank"), "other_id"))
+    best = candidates.groupBy("id").agg(F.min(match_of).alias("best"), F.max("nonzero").alias("nonzero")).select(
+        "id", (-F.col("best.rank")).alias("similarity"), F.col("best.other_id").alias("other_id"), "nonzero")
+    return best if all_ids else best.drop("nonzero")
 
 
 # ---------------------------------------------------------------- operators
@@ -307,8 +322,7 @@ def semantic_duplicates(
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Ordered pairs of invoices of one vendor whose labelled texts are similar."""
-    embedded = embedder_named(embedder)(
-        embed_text_labelled(invoices), "semantic_text", "embedding")
+    embedded = embed_once(embed_text_labelled(invoices), "semantic_text", embedder)
     pairs = similar_pairs(
         embedded, "invoice_id", "embedding", similarity_threshold, "vendor_id",
         ["description", "amount"], part_rows=part_rows)
@@ -342,17 +356,18 @@ def enrich_semantic(
         F.count(F.lit(1)).alias("copies"),
         F.min("invoice_id").alias("first_id"), F.max("invoice_id").alias("last_id"))
     vectors = embedder_named(embedder)(groups, "semantic_text", "embedding")
+    # the vectors stay inside the comparison, so that each text meets the embedder once
     others = best_matches(
-        vectors, "first_id", "embedding", similarity_threshold, "vendor_id", part_rows)
-    self_similar = F.exists("embedding", lambda x: x != 0) & F.lit(similarity_threshold <= 1.0)
-    matched = vectors.join(others.withColumnRenamed("id", "first_id"), "first_id", "left").select(
+        vectors, "first_id", "embedding", similarity_threshold, "vendor_id", part_rows, all_ids=True)
+    self_similar = F.col("nonzero") & F.lit(similarity_threshold <= 1.0)
+    matched = groups.join(others.withColumnRenamed("id", "first_id"), "first_id", "left").select(
         "vendor_id", "semantic_text", "copies", "first_id", "last_id",
         ((F.col("copies") > 1) & self_similar).alias("__copied"),
         F.col("similarity").alias("__similarity"), F.col("other_id").alias("__other"),
     ).where(F.col("__copied") | F.col("__other").isNotNull())
     joined = attach_by_key(
         texts, matched, ["vendor_id", "semantic_text"], "copies", "invoice_id", how="left",
-        sizes=groups.select("vendor_id", "semantic_text", "copies"))
+        sizes=groups.select("vendor_id", "semantic_text", "copies"), null_safe=True)
     copied = F.coalesce("__copied", F.lit(False))
     copy = F.when(F.col("invoice_id") == F.col("first_id"), F.col("last_id")) \
         .otherwise(F.col("first_id"))
@@ -407,7 +422,7 @@ def find_similar(
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({query_id: [], "match_id": [], "similarity": []})
-        scores = np.round(_unit_vectors(a["vec"]) @ _unit_vectors(b["vec"]).T, DECIMALS)
+        scores = _cosines(_unit_vectors(a["vec"]), _unit_vectors(b["vec"]))
         i, j = np.nonzero(scores >= threshold)
         return pd.DataFrame({
             query_id: a["id"].to_numpy()[i], "match_id": b["id"].to_numpy()[j],

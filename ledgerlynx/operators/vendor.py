@@ -35,17 +35,15 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
     """
     if bank_rule not in ("max", "latest"):
         raise ValueError(f"bank_rule must be 'max' or 'latest', not {bank_rule!r}")
-    c = money.cents_sql(invoices)
-    steps = [
-        *money.moment_sums(c), "max(amount) AS hi", "min(amount) AS lo", "max(ts) AS last_ts",
-    ]
+    steps = ["max(amount) AS hi", "min(amount) AS lo", "max(ts) AS last_ts"]
     bank = "max(bank_account)"
     if bank_rule == "latest":
         steps.append("max(struct(ts, invoice_id)) AS newest")
         bank = "max_by(bank_account, newest)"
-    per_account = invoices.groupBy("vendor_id", "bank_account").agg(*map(F.expr, steps))
-    per_vendor = per_account.groupBy("vendor_id").agg(*map(F.expr, [
-        *money.merged_moment_sums(), "max(hi) AS max_amount", "min(lo) AS min_amount",
+    per_account = invoices.groupBy("vendor_id", "bank_account").agg(
+        *money.moment_sums(), *map(F.expr, steps))
+    per_vendor = per_account.groupBy("vendor_id").agg(*money.merged_moment_sums(), *map(F.expr, [
+        "max(hi) AS max_amount", "min(lo) AS min_amount",
         "max(last_ts) AS last_invoice_time",
         f"{bank} AS last_bank_account",
     ]))
@@ -53,18 +51,17 @@ def vendor_stats(invoices: DataFrame, bank_rule: str = "max") -> DataFrame:
         "vendor_id", "n AS total_invoices",
         f"{money.TOTAL} AS total_amount", f"{money.MEAN} AS avg_amount",
         "max_amount", "min_amount", "last_invoice_time", "last_bank_account",
-        f"{money.STDDEV} AS stddev_amount")
+        f"{money.stddev_sql('max_amount', 'min_amount')} AS stddev_amount")
 
 
 def category_patterns(invoices: DataFrame) -> DataFrame:
     """Count, mean amount and share of each category within its vendor."""
     per_category = invoices.groupBy("vendor_id", "category").agg(
-        F.count(F.lit(1)).alias("count"), money.total_of_cents(invoices, "total"),
-        F.expr(f"try_sum({money.cents_sql(invoices)}) AS s"))
+        F.count(F.lit(1)).alias("count"), money.total("total"))
     # the window runs over one row per (vendor, category), not over invoices
     return per_category.selectExpr(
         "vendor_id", "category", "count",
-        "coalesce(CAST(s AS DOUBLE) / count / 100D, total / count) AS avg_amount",
+        "total / count AS avg_amount",
         "count / sum(count) OVER (PARTITION BY vendor_id) AS frequency")
 
 
@@ -79,7 +76,7 @@ def velocity(
     hop, and only these counts are copied to the windows that cover them; each
     row is then aggregated once instead of once per window.
     """
-    count, total = F.expr("count(1) AS n"), money.total_of_cents(invoices, "total")
+    count, total = F.expr("count(1) AS n"), money.total("total")
     if window_minutes % hop_minutes:
         return invoices.groupBy(
             "vendor_id",
@@ -87,18 +84,18 @@ def velocity(
         ).agg(count, total).selectExpr(
             "vendor_id", "n AS invoice_count", "total AS total_amount",
             "w.start AS window_start", "w.end AS window_end")
-    c = money.cents_sql(invoices)
     panes = invoices.groupBy(
         "vendor_id", F.window("ts", f"{hop_minutes} minutes").alias("pane"),
-    ).agg(count, F.expr(f"sum(CAST({c} AS DECIMAL(18,0))) AS s"))
+    ).agg(*money.moment_sums()[:4])
     return panes.selectExpr(
-        "vendor_id", "n", "s",
+        "vendor_id", "n", "sa", "sb", "lost",
         f"explode(sequence(pane.start - INTERVAL {window_minutes - hop_minutes} MINUTES, "
         f"pane.start, INTERVAL {hop_minutes} MINUTES)) AS window_start",
     ).groupBy("vendor_id", "window_start").agg(
-        F.expr("sum(n) AS invoice_count"), F.expr("sum(s) AS s"),
+        F.expr("sum(n) AS invoice_count"), F.expr("try_sum(sa) AS sa"), F.expr("try_sum(sb) AS sb"),
+        F.expr("sum(lost) AS lost"),
     ).selectExpr(
-        "vendor_id", "invoice_count", "CAST(s AS DOUBLE) / 100D AS total_amount",
+        "vendor_id", "invoice_count", f"{money.TOTAL} AS total_amount",
         "window_start",
         f"window_start + INTERVAL {window_minutes} MINUTES AS window_end")
 
@@ -109,7 +106,7 @@ def join_vendor_stats(invoices: DataFrame, stats: DataFrame) -> DataFrame:
     """Each invoice with the statistics of its vendor under ``vendor_*`` names."""
     renamed = stats.selectExpr("vendor_id", *[f"{c} AS vendor_{c}" for c in STATS_COLUMNS])
     return attach_by_key(
-        invoices, renamed, ["vendor_id"], "vendor_total_invoices", "invoice_id")
+        invoices, renamed, ["vendor_id"], "vendor_total_invoices", "invoice_id", null_safe=True)
 
 
 def running_history(
@@ -133,14 +130,11 @@ def running_history(
     if bank_rule not in ("max", "previous"):
         raise ValueError(f"bank_rule must be 'max' or 'previous', not {bank_rule!r}")
     start_of_time = F.lit("0001-01-01 00:00:00").cast("timestamp")
-    rows = invoices.withColumns({
-        "__chunk": F.coalesce(F.date_trunc(grain, "ts"), start_of_time),
-        "__c": money.cents(invoices).cast("decimal(18,0)"),
-    })
+    parts = {f"__{m}": c for m, c in money.moment_columns().items()}
+    rows = invoices.withColumns({"__chunk": F.coalesce(F.date_trunc(grain, "ts"), start_of_time), **parts})
     place = F.struct("ts", "invoice_id")
     chunks = rows.groupBy("vendor_id", "__chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("__c").alias("s"),
-        F.sum(F.col("__c") * F.col("__c")).alias("ss"),
+        F.count(F.lit(1)).alias("n"), *[F.try_sum(p).alias(p) for p in parts],
         F.max("amount").alias("hi"), F.min("amount").alias("lo"),
         F.max("ts").alias("last_ts"), F.max("bank_account").alias("bank_max"),
         F.max_by(F.struct("bank_account"), place).alias("bank_last"),
@@ -148,47 +142,41 @@ def running_history(
     before = (Window.partitionBy("vendor_id").orderBy("__chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = chunks.select(
-        "vendor_id", "__chunk",
-        F.sum("n").over(before).alias("n0"), F.sum("s").over(before).alias("s0"),
-        F.sum("ss").over(before).alias("ss0"),
+        F.col("vendor_id").alias("__vendor"), F.col("__chunk").alias("__start"),
+        F.sum("n").over(before).alias("n0"), *[F.try_sum(p).over(before).alias(f"{p}0") for p in parts],
         F.max("hi").over(before).alias("hi0"), F.min("lo").over(before).alias("lo0"),
         F.max("last_ts").over(before).alias("last_ts0"),
         F.max("bank_max").over(before).alias("bank_max0"),
         F.last("bank_last").over(before).alias("bank_last0"),
     )
-    joined = rows.join(offsets, ["vendor_id", "__chunk"], "left")
+    # invoices without a vendor share one history, as any other vendor's do
+    joined = rows.join(offsets, F.col("vendor_id").eqNullSafe(F.col("__vendor"))
+                       & (F.col("__chunk") == F.col("__start")), "left")
 
     ordered = Window.partitionBy("vendor_id", "__chunk").orderBy("ts", "invoice_id")
     seen = ordered.rowsBetween(Window.unboundedPreceding, 0 if include_self else -1)
 
-    def plus(base: str, here: Column) -> Column:
-        zero = F.lit(0).cast("decimal(38,0)")
-        return F.coalesce(F.col(base), zero) + F.coalesce(here.over(seen), zero)
+    def plus(part: str) -> Column:
+        base, here = F.col(f"{part}0"), F.try_sum(part).over(seen)
+        return F.coalesce(base + here, base, here, F.lit(0))
 
     bank_max = F.greatest(F.col("bank_max0"), F.max("bank_account").over(seen))
     previous = F.when(F.row_number().over(ordered) == 1, F.col("bank_last0.bank_account")) \
         .otherwise(F.lag("bank_account").over(ordered))
-    running = joined.withColumns({
-        "vendor_total_invoices":
-            F.coalesce(F.col("n0"), F.lit(0)) + F.count(F.lit(1)).over(seen),
-        "s": plus("s0", F.sum("__c")),
-        "ss": plus("ss0", F.sum(F.col("__c") * F.col("__c"))),
-        "vendor_max_amount": F.greatest(F.col("hi0"), F.max("amount").over(seen)),
-        "vendor_min_amount": F.least(F.col("lo0"), F.min("amount").over(seen)),
-        "vendor_last_invoice_time": F.greatest(F.col("last_ts0"), F.max("ts").over(seen)),
-        "vendor_last_bank_account": bank_max if bank_rule == "max" else previous,
-    })
+    running = joined.select(
+        *invoices.columns,
+        (F.coalesce(F.col("n0"), F.lit(0)) + F.count(F.lit(1)).over(seen)).alias("n"),
+        *[plus(f"__{m}").alias(m) for m in (*money.MOMENTS, "lost")],
+        F.greatest(F.col("hi0"), F.max("amount").over(seen)).alias("vendor_max_amount"),
+        F.least(F.col("lo0"), F.min("amount").over(seen)).alias("vendor_min_amount"),
+        F.greatest(F.col("last_ts0"), F.max("ts").over(seen)).alias("vendor_last_invoice_time"),
+        (bank_max if bank_rule == "max" else previous).alias("vendor_last_bank_account"))
     return running.selectExpr(
-        *invoices.columns, "vendor_total_invoices AS n", "s", "ss",
-        "vendor_max_amount", "vendor_min_amount", "vendor_last_invoice_time",
-        "vendor_last_bank_account",
-    ).selectExpr(
         *invoices.columns, "n AS vendor_total_invoices",
-        "CAST(s AS DOUBLE) / 100D AS vendor_total_amount",
-        "CASE WHEN n > 0 THEN CAST(s AS DOUBLE) / n / 100D END AS vendor_avg_amount",
+        f"{money.TOTAL} AS vendor_total_amount", f"{money.MEAN} AS vendor_avg_amount",
         "vendor_max_amount", "vendor_min_amount",
         "vendor_last_invoice_time", "vendor_last_bank_account",
-        f"CASE WHEN n > 0 THEN {money.stddev_sql('ss')} END AS vendor_stddev_amount",
+        f"{money.stddev_sql('vendor_max_amount', 'vendor_min_amount')} AS vendor_stddev_amount",
     ).select(*invoices.columns, *HISTORY_COLUMNS)
 
 

@@ -8,6 +8,7 @@ changed on the way out.
 import datetime as dt
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,15 @@ QUERIES: dict[str, Query] = {}
 TREND_END = dt.date(1998, 6, 30)
 PAIR_THRESHOLD = 0.25
 CROSS_THRESHOLD = 0.4
-DECISION_FIELDS = (
-    "invoice_id string, amount double, risk_score double, risk_level string, "
-    "decision string, decision_confidence double, decision_reason string")
+# key and one value of each output
+OUTPUT_FIELDS = {
+    "high_risk_alerts": "invoice_id string, risk_score double",
+    "explanations": "invoice_id string, explanation string",
+    "vendor_stats": "vendor_id string, total_amount double",
+    "autonomous_decisions": "invoice_id string, risk_score double",
+    "all_invoices_explained": "invoice_id string, risk_explanation string",
+    "realtime_risk_scores": "invoice_id string, risk_score double",
+}
 
 
 def query(fn: Query) -> Query:
@@ -102,7 +109,23 @@ def read_jsonl_latest(spark, d):
 @query
 def write_jsonl(spark, d):
     paths = scoring.run_batch(src.load_invoices(spark, d), scratch_path(spark, "out"))
-    return spark.read.schema(DECISION_FIELDS).json(paths["autonomous_decisions"])
+    return digests(spark, paths)
+
+
+def digests(spark, paths, latest=False):
+    """Every output read back: its rows, distinct ids and a few of its values, added up."""
+    found = []
+    for name, path in sorted(paths.items()):
+        fields = OUTPUT_FIELDS[name]
+        schema = jsonl.T.StructType.fromDDL(fields)
+        rows = jsonl.read_jsonl_latest(spark, path, schema, key=fields.split()[0]) if latest \
+            else spark.read.schema(schema).json(path)
+        key, value = fields.split()[0], fields.split(",")[1].split()[0]
+        size = F.col(value) if "double" in fields.split(",")[1] else F.length(value).cast("double")
+        found.append(rows.agg(
+            F.lit(name).alias("output"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"),
+            F.coalesce(F.round(F.sum(size.cast("decimal(28,6)")).cast("double"), 2), F.lit(0.0)).alias("amount")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
@@ -110,9 +133,10 @@ def append_decisions(spark, d):
     out = scratch_path(spark, "decisions")
     sinks.append_decisions(
         registry_scored(spark, d).drop("is_alert"), f"{out}/all", f"{out}/alerts", batch_id=0)
-    return spark.read.schema(
-        "invoice_id string, risk_score double, decision string").json(f"{out}/alerts") \
-        .select("invoice_id", "risk_score", "decision")
+    fields = "invoice_id string, risk_score double, decision string"
+    logs = [spark.read.schema(fields).json(f"{out}/{log}").select(
+        F.lit(log).alias("log"), "invoice_id", "risk_score", "decision") for log in ("all", "alerts")]
+    return logs[0].unionByName(logs[1])
 
 
 @query
@@ -149,7 +173,7 @@ def select_project(spark, d):
 
 @query
 def filter_high_risk(spark, d):
-    return relational.filter_high_risk(weighted(spark, d)).select(
+    return relational.filter_high_risk(scored(spark, d)).select(
         "invoice_id", "risk_score", "risk_level")
 
 
@@ -392,7 +416,8 @@ def embed_distinct(spark, d):
 def embed_lexical(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     out = embedding.lexical_embedder()(docs, "text", "embedding")
-    return out.select("doc_id", F.array_size("embedding").alias("width"))
+    # unit vectors, zeros for a text without words
+    return out.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
 
 
 @query
@@ -436,8 +461,18 @@ def find_similar(spark, d):
 
 @query
 def similar_approx(spark, d):
-    return similarity.similar_approx(
-        table(spark, d, "embeddings"), "vec_id", "embedding", PAIR_THRESHOLD, "label")
+    """By label: exact pairs, approximate pairs that are none of them, and whether the recall is 0.6 or more
+    (over all labels)."""
+    exact = join_vendor_selfpairs(spark, d).select("id_a", "id_b", F.col("block").alias("label"), F.lit(1).alias("exact"))
+    approx = similarity.similar_approx(
+        table(spark, d, "embeddings"), "vec_id", "embedding", PAIR_THRESHOLD, "label") \
+        .select("id_a", "id_b", F.col("block").alias("label"), F.lit(1).alias("approx"))
+    both = exact.join(approx, ["id_a", "id_b", "label"], "full")
+    per_label = both.groupBy("label").agg(
+        F.count("exact").alias("n_exact"), F.count_if(F.col("exact").isNull()).alias("n_wrong"),
+        F.count_if(F.col("exact").isNotNull() & F.col("approx").isNotNull()).alias("n_found"))
+    recall = per_label.select(F.sum("n_found") / F.sum("n_exact")).scalar()
+    return per_label.select("label", "n_exact", "n_wrong", (recall >= F.lit(0.6)).alias("recall_reached"))
 
 
 # --------------------------------------------------------- vendor behaviour
@@ -623,7 +658,13 @@ def format_alert_text(spark, d):
 @query
 def monitoring_tables(spark, d):
     views = scoring.monitoring_tables(scoring.build(src.load_invoices(spark, d)))
-    return rounded(views["vendor_risk_summary"], 6, "avg_risk_score")
+    key = {"alert_summary": "risk_level", "vendor_risk_summary": "vendor_id", "vendor_stats": "vendor_id",
+           "all_risk_scores": "invoice_id", "high_risk_alerts": "invoice_id"}
+    value = {"alert_summary": "avg_score", "vendor_risk_summary": "avg_risk_score", "vendor_stats": "avg_amount",
+             "all_risk_scores": "risk_score", "high_risk_alerts": "risk_score"}
+    rows = [v.select(F.lit(name).alias("view"), F.col(key[name]).alias("key"), F.col(value[name]).alias("value"))
+            for name, v in views.items()]
+    return rounded(reduce(DataFrame.unionByName, rows), 6, "value")
 
 
 @query
@@ -701,11 +742,35 @@ def live_enrichment(spark, d):
 
 @query
 def stream_outputs(spark, d):
-    """All six outputs kept up to date on a stream; the decisions are read back."""
+    """All six outputs kept up to date on a stream of several batches, read back."""
+    return digests(spark, _streamed(spark, d), latest=True)
+
+
+def _streamed(spark, d):
+    """The invoices in four batches by time: later ones withdraw alerts of earlier ones."""
     out = scratch_path(spark, "stream")
-    outputs.run_stream(_stream_invoices(spark, d), f"{out}/out", f"{out}/state")
-    schema = jsonl.T.StructType.fromDDL(DECISION_FIELDS)
-    return jsonl.read_jsonl_latest(spark, f"{out}/out/autonomous_decisions.jsonl", schema)
+    invoices = src.load_invoices(spark, d)
+    for q in range(4):
+        invoices.where(F.expr(f"CASE WHEN ts < '1996-01-01' THEN 0 WHEN ts < '1998-01-01' THEN 1 "
+                              f"WHEN ts < '2000-01-01' THEN 2 ELSE 3 END = {q}")) \
+            .coalesce(1).write.mode("append").parquet(f"{out}/feed")
+    feed = spark.readStream.schema(invoices.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/feed")
+    outputs.run_stream(feed, f"{out}/out", f"{out}/state")
+    return {name: f"{out}/out/{name}.jsonl" for name in sinks.OUTPUT_NAMES}
+
+
+def _latest(spark, d, name, fields):
+    return jsonl.read_jsonl_latest(spark, _streamed(spark, d)[name], jsonl.T.StructType.fromDDL(fields))
+
+
+@query
+def stream_alerts(spark, d):
+    return _latest(spark, d, "high_risk_alerts", "invoice_id string, risk_score double, risk_level string")
+
+
+@query
+def stream_explanations(spark, d):
+    return _latest(spark, d, "explanations", "invoice_id string, explanation string")
 
 
 @query
@@ -735,3 +800,20 @@ def stream_duplicates(spark, d):
         stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"),
         f"{out}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+# -------------------------------------------------- odd amounts and vendors
+
+@query
+def vendor_stats_fine_amounts(spark, d):
+    """Statistics of amounts with five decimals."""
+    fine = src.load_invoices(spark, d).withColumn("amount", F.expr("amount_cents / 100000D")).drop("amount_cents")
+    return rounded(vendor.vendor_stats(fine), 6, "stddev_amount")
+
+
+@query
+def decisions_null_vendor(spark, d):
+    """Invoices of every seventh vendor lack the vendor and still get a decision."""
+    rows = src.load_invoices(spark, d).withColumn("vendor_id", F.expr(
+        "IF(CAST(substring(vendor_id, 5) AS BIGINT) % 7 = 0, NULL, vendor_id)"))
+    return dec.decisions(scoring.score(rows)).select("invoice_id", "vendor_id", "risk_points", "decision")

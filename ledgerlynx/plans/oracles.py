@@ -88,7 +88,7 @@ def stats_columns(bank: str, window: str = "") -> str:
     return f"""
       {n} AS total_invoices,
       CAST({s} AS DOUBLE) / 100.0e0 AS total_amount,
-      CAST({s} AS DOUBLE) / {n} / 100.0e0 AS avg_amount,
+      CAST({s} AS DOUBLE) / 100.0e0 / {n} AS avg_amount,
       max(amount){o} AS max_amount, min(amount){o} AS min_amount,
       max(ts){o} AS last_invoice_time, {bank}{o} AS last_bank_account,
       sqrt(CAST({n} * {ss} - {s} * {s} AS DOUBLE)) / {n} / 100.0e0 AS stddev_amount"""
@@ -342,11 +342,31 @@ REASON = """CASE WHEN risk_score < 0.3e0 THEN 'Low risk score - invoice meets al
   ELSE 'Moderate risk - requires manual verification' END"""
 CONFIDENCE = """CASE WHEN risk_score < 0.3e0 THEN (1.0e0 - risk_score) * 100.0e0
   WHEN risk_score >= 0.7e0 THEN risk_score * 100.0e0 ELSE 50.0e0 END"""
-for written in ("write_jsonl", "stream_outputs"):
-    oracle(written, f"""SELECT invoice_id, amount, risk_score, risk_level, decision,
-  {CONFIDENCE} AS decision_confidence, {REASON} AS decision_reason FROM decided""", "decided")
-oracle("append_decisions",
-       "SELECT invoice_id, risk_score, decision FROM reg WHERE risk_score >= 0.6e0", "reg")
+
+
+
+def digest(name: str, key: str, amount: str, source: str) -> str:
+    return (f"SELECT '{name}' AS output, count(*) AS n_rows, count(DISTINCT {key}) AS n_keys, "
+            f"coalesce(round(CAST(sum(CAST({amount} AS DECIMAL(28,6))) AS DOUBLE), 2), 0.0e0) AS amount FROM {source}")
+
+
+DIGESTS = " UNION ALL ".join([
+    digest("high_risk_alerts", "invoice_id", "risk_score", "scored WHERE risk_score >= 0.6e0"),
+    digest("explanations", "invoice_id", "length(explanation)", f"""(SELECT *, {rule_columns('risk_level')}
+      FROM (SELECT *, {FACTOR} AS factor FROM scored) WHERE risk_score >= 0.6e0)"""),
+    digest("vendor_stats", "vendor_id", "total_amount", "vs"),
+    digest("autonomous_decisions", "invoice_id", "risk_score", "decided"),
+    digest("all_invoices_explained", "invoice_id", "length(risk_explanation)",
+           "(SELECT * FROM (" + audit("0.0e0") + "scored))))"),
+    digest("realtime_risk_scores", "invoice_id", "risk_score", "scored"),
+])
+oracle("write_jsonl", DIGESTS, "decided", "vs")
+oracle("stream_outputs", DIGESTS, "decided", "vs")
+oracle("stream_alerts", "SELECT invoice_id, risk_score, risk_level FROM scored WHERE risk_score >= 0.6e0", "scored")
+oracle("stream_explanations", f"""SELECT invoice_id, explanation FROM (SELECT *, {rule_columns('risk_level')}
+  FROM (SELECT *, {FACTOR} AS factor FROM scored) WHERE risk_score >= 0.6e0)""", "scored")
+oracle("append_decisions", """SELECT 'all' AS log, invoice_id, risk_score, decision FROM reg
+UNION ALL SELECT 'alerts', invoice_id, risk_score, decision FROM reg WHERE risk_score >= 0.6e0""", "reg")
 ALERT = """SELECT invoice_id, vendor_id, amount, risk_score, risk_level,
   concat('HIGH RISK: Invoice ', invoice_id, ' from vendor ', vendor_id,
          ' flagged with risk score ', CAST(risk_score AS VARCHAR)) AS alert_message,
@@ -361,8 +381,8 @@ oracle("select_extend", """SELECT * REPLACE (lower(category) AS category),
   amount - tax AS net_amount FROM inv""", "inv")
 oracle("select_project", """SELECT invoice_id AS id, vendor_id AS vendor,
   CASE WHEN amount <> 0 THEN tax / amount END AS tax_share FROM inv""", "inv")
-oracle("filter_high_risk", """SELECT invoice_id, composite_score AS risk_score,
-  weighted_level AS risk_level FROM weighted WHERE composite_score >= 0.6e0""", "weighted")
+oracle("filter_high_risk",
+       "SELECT invoice_id, risk_score, risk_level FROM scored WHERE risk_score >= 0.6e0", "scored")
 oracle("filter_bool", """SELECT invoice_id, vendor_id, deviation_percentage FROM enr
 WHERE abs(deviation_percentage) > 50""", "enr")
 PAIR25 = "SELECT * FROM vec_pairs WHERE similarity >= 0.25e0"
@@ -382,7 +402,7 @@ FROM inv JOIN vs USING (vendor_id)""", "inv", "vs")
 PATTERNS = """SELECT vendor_id, category, count, avg_amount,
   count / CAST(sum(count) OVER (PARTITION BY vendor_id) AS DOUBLE) AS frequency
 FROM (SELECT vendor_id, category, count(*) AS count,
-        CAST(sum(amount_cents) AS DOUBLE) / count(*) / 100.0e0 AS avg_amount
+        CAST(sum(amount_cents) AS DOUBLE) / 100.0e0 / count(*) AS avg_amount
       FROM inv GROUP BY vendor_id, category)"""
 oracle("category_patterns", PATTERNS, "inv")
 oracle("join_category_totals",
@@ -423,7 +443,14 @@ VENDOR_RISKS = f"""SELECT vendor_id, count(*) AS total_invoices,
   {rounded('avg(risk_score)', 6, 'avg_risk_score')}, {TOTAL}
 FROM scored GROUP BY vendor_id"""
 oracle("vendor_risk_summary", VENDOR_RISKS, "scored")
-oracle("monitoring_tables", VENDOR_RISKS, "scored")
+oracle("monitoring_tables", f"""
+SELECT 'alert_summary' AS view, risk_level AS key, {rounded('avg(risk_score)', 6, 'value')}
+  FROM scored WHERE risk_score >= 0.6e0 GROUP BY risk_level
+UNION ALL SELECT 'vendor_risk_summary', vendor_id, round(avg(risk_score), 6) + 0.0e0 FROM scored GROUP BY vendor_id
+UNION ALL SELECT 'vendor_stats', vendor_id, round(avg_amount, 6) + 0.0e0 FROM vs
+UNION ALL SELECT 'all_risk_scores', invoice_id, round(risk_score, 6) + 0.0e0 FROM scored
+UNION ALL SELECT 'high_risk_alerts', invoice_id, round(risk_score, 6) + 0.0e0 FROM scored WHERE risk_score >= 0.6e0""",
+       "scored", "vs")
 REPORT = f"""SELECT count(*) AS total_flagged,
   count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk_count,
   count(*) FILTER (WHERE risk_level = 'MEDIUM') AS medium_risk_count,
@@ -634,3 +661,28 @@ oracle("transactions_view", """SELECT invoice_id AS "INVOICE", vendor_id AS "VEN
   CASE decision WHEN 'AUTO_APPROVE' THEN 'Approved' WHEN 'AUTO_REJECT' THEN 'Rejected'
     WHEN 'REVIEW_REQUIRED' THEN 'Pending' END AS "STATUS",
   strftime(ts, '%H:%M') AS "TIME" FROM reg""", "reg")
+
+oracle("vendor_stats_fine_amounts", STATS + """(SELECT vendor_id, count(*) AS total_invoices,
+    CAST(sum(amount_cents) AS DOUBLE) / 100000.0e0 AS total_amount,
+    CAST(sum(amount_cents) AS DOUBLE) / 100000.0e0 / count(*) AS avg_amount,
+    max(amount_cents / 100000.0e0) AS max_amount, min(amount_cents / 100000.0e0) AS min_amount,
+    max(ts) AS last_invoice_time, max(bank_account) AS last_bank_account,
+    sqrt(CAST(count(*) * sum(CAST(amount_cents AS HUGEINT) * amount_cents)
+      - sum(amount_cents) * sum(amount_cents) AS DOUBLE)) / count(*) / 100000.0e0 AS stddev_amount
+  FROM inv GROUP BY vendor_id)""", "inv")
+# the shared steps over invoices of which some have no vendor
+cte("nv_inv", """SELECT * REPLACE (CASE WHEN CAST(substr(vendor_id, 5) AS BIGINT) % 7 = 0 THEN NULL
+  ELSE vendor_id END AS vendor_id) FROM inv""", "inv")
+cte("nv_vs", f"SELECT vendor_id, {stats_columns('max(bank_account)')} FROM nv_inv GROUP BY vendor_id", "nv_inv")
+cte("nv_enr", f"""SELECT nv_inv.*, avg_amount AS vendor_avg_amount, total_invoices AS vendor_total_invoices,
+    {DEVIATION} AS deviation_percentage,
+    coalesce(total_invoices > 1 AND bank_account <> last_bank_account, false) AS bank_account_changed
+  FROM nv_inv JOIN nv_vs ON nv_inv.vendor_id IS NOT DISTINCT FROM nv_vs.vendor_id""", "nv_inv", "nv_vs")
+cte("nv_points", points("nv_enr", "0.0e0"), "nv_enr")
+oracle("decisions_null_vendor", f"""SELECT invoice_id, vendor_id, risk_points, {decide('risk_score')} AS decision
+FROM nv_points""", "nv_points")
+
+oracle("similar_approx", f"""SELECT label, count(*) AS n_exact, CAST(0 AS BIGINT) AS n_wrong,
+  true AS recall_reached FROM (SELECT block AS label FROM ({PAIR25})) GROUP BY label""", "vec_pairs")
+oracle("embed_lexical", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\w') THEN 1.0e0 ELSE 0.0e0 END AS length
+FROM documents""")

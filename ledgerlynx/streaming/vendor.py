@@ -1,8 +1,10 @@
 """Vendor operators on a stream."""
 
+import itertools
 import math
+import operator
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ def stream_velocity(
         .alias("w"),
     ).agg(
         F.count(F.lit(1)).alias("invoice_count"),
-        money.total_of_cents(invoices, "total_amount"),
+        money.total("total_amount"),
     ).select(
         "vendor_id", "invoice_count", "total_amount",
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
@@ -39,15 +41,14 @@ def stream_velocity(
 
 def stream_vendor_stats(invoices: DataFrame) -> DataFrame:
     """Vendor statistics kept up to date by the state store (update mode)."""
-    c = money.cents_sql(invoices)
-    return invoices.groupBy("vendor_id").agg(*map(F.expr, [
-        *money.moment_sums(c), "max(amount) AS max_amount", "min(amount) AS min_amount",
+    return invoices.groupBy("vendor_id").agg(*money.moment_sums(), *map(F.expr, [
+        "max(amount) AS max_amount", "min(amount) AS min_amount",
         "max(ts) AS last_invoice_time", "max(bank_account) AS last_bank_account",
     ])).selectExpr(
         "vendor_id", "n AS total_invoices",
         f"{money.TOTAL} AS total_amount", f"{money.MEAN} AS avg_amount",
         "max_amount", "min_amount", "last_invoice_time", "last_bank_account",
-        f"{money.STDDEV} AS stddev_amount")
+        f"{money.stddev_sql('max_amount', 'min_amount')} AS stddev_amount")
 
 
 ARRIVAL_SCHEMA = T.StructType([
@@ -65,14 +66,40 @@ ARRIVAL_SCHEMA = T.StructType([
     T.StructField("vendor_last_bank_account", T.StringType()),
 ])
 
+# sums are whole numbers of any length, kept as text, in the order of money.MOMENTS
 _STATE = T.StructType([
     T.StructField("n", T.LongType()),
-    T.StructField("s", T.DecimalType(38, 0)),
-    T.StructField("ss", T.DecimalType(38, 0)),
+    T.StructField("sums", T.StringType()),
+    T.StructField("lost", T.LongType()),
     T.StructField("hi", T.DoubleType()),
     T.StructField("lo", T.DoubleType()),
     T.StructField("bank", T.StringType()),
 ])
+_UNIT = 10**10  # amounts have ten exact decimals, as in the batch form
+
+
+def _moments(amount: float) -> tuple[int, ...]:
+    """The parts of ``money.moment_columns`` in units of their last decimal, and whether
+    the amount has none; a missing amount adds nothing."""
+    if pd.isna(amount):
+        return 0, 0, 0, 0, 0, 0
+    if abs(amount) >= 1e14:
+        return 0, 0, 0, 0, 0, 1
+    a, b = divmod(int((Decimal(repr(float(amount))) * _UNIT).to_integral_value(ROUND_HALF_UP)), _UNIT)
+    return a, b, a * a, a * b, b * b, 0
+
+
+def _statistics(n: int, sa: int, sb: int, aa: int, ab: int, bb: int, lost: int, flat: bool):
+    """Total, mean and deviation, by the steps of ``money.stddev_sql``."""
+    if lost:
+        return None, None, None
+    total = (sa * _UNIT + sb) / _UNIT
+    if flat:
+        return total, total / n, 0.0
+    pivot = math.floor(total / n)
+    around = (float(aa - 2 * pivot * sa + n * pivot * pivot) + 2.0 * ((ab - pivot * sb) / _UNIT) + bb / _UNIT**2) / n
+    off = (float(sa - n * pivot) + sb / _UNIT) / n
+    return total, total / n, math.sqrt(max(0.0, around - off * off))
 
 
 class ArrivalHistory(StatefulProcessor):
@@ -82,24 +109,21 @@ class ArrivalHistory(StatefulProcessor):
         self._history = handle.getValueState("history", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "invoice_id"], kind="stable")
-        n, s, ss, hi, lo, bank = 0, 0, 0, -math.inf, math.inf, None
+        # rows without a timestamp come first, as in the batch form
+        batch = pd.concat(list(rows)).sort_values(["ts", "invoice_id"], kind="stable", na_position="first")
+        n, sums, lost, hi, lo, bank = 0, "0,0,0,0,0", 0, None, None, None
         if self._history.exists():
-            n, s, ss, hi, lo, bank = self._history.get()
-        cents = batch["cents"].astype(object).map(int)
-        counts = n + np.arange(1, len(batch) + 1)
-        sums = int(s) + cents.cumsum()
-        squares = int(ss) + (cents * cents).cumsum()
-        highs = np.maximum(batch["amount"].cummax(), hi)
-        lows = np.minimum(batch["amount"].cummin(), lo)
-        banks, top = [], bank
-        for account in batch["bank_account"]:
-            if account is not None and (top is None or account > top):
-                top = account
-            banks.append(top)
-        spread = [
-            math.sqrt(max(float(int(k) * int(q) - int(t) * int(t)), 0.0)) / k / 100.0
-            for k, q, t in zip(counts, squares, sums)]
+            n, sums, lost, hi, lo, bank = self._history.get()
+        so_far = list(itertools.accumulate(
+            [(*map(int, sums.split(",")), lost), *map(_moments, batch["amount"])],
+            lambda x, y: tuple(map(operator.add, x, y))))[1:]
+        counts = np.arange(n + 1, n + len(batch) + 1)
+        highs = self._so_far(batch["amount"], hi, np.fmax)
+        lows = self._so_far(batch["amount"], lo, np.fmin)
+        banks = list(itertools.accumulate(
+            [bank, *batch["bank_account"]], lambda a, b: b if a is None or (b is not None and b > a) else a))[1:]
+        totals, means, spreads = zip(*(_statistics(int(k), *m, h == w)
+                                       for k, m, h, w in zip(counts, so_far, highs, lows)))
         yield pd.DataFrame({
             "vendor_id": key[0],
             "invoice_id": batch["invoice_id"].to_numpy(),
@@ -107,16 +131,21 @@ class ArrivalHistory(StatefulProcessor):
             "ts": batch["ts"].to_numpy(),
             "bank_account": batch["bank_account"].to_numpy(),
             "vendor_total_invoices": counts,
-            "vendor_total_amount": [float(t) / 100.0 for t in sums],
-            "vendor_avg_amount": [float(t) / k / 100.0 for t, k in zip(sums, counts)],
-            "vendor_max_amount": np.asarray(highs),
-            "vendor_min_amount": np.asarray(lows),
-            "vendor_stddev_amount": spread,
+            "vendor_total_amount": totals,
+            "vendor_avg_amount": means,
+            "vendor_max_amount": highs,
+            "vendor_min_amount": lows,
+            "vendor_stddev_amount": spreads,
             "vendor_last_bank_account": banks,
         })
-        self._history.update((
-            int(counts[-1]), Decimal(int(sums.iloc[-1])), Decimal(int(squares.iloc[-1])),
-            float(np.asarray(highs)[-1]), float(np.asarray(lows)[-1]), top))
+        known = [None if np.isnan(x[-1]) else float(x[-1]) for x in (highs, lows)]
+        *exact, lost = so_far[-1]
+        self._history.update((int(counts[-1]), ",".join(map(str, exact)), lost, *known, banks[-1]))
+
+    @staticmethod
+    def _so_far(amounts: pd.Series, before: float | None, pick) -> np.ndarray:
+        start = np.nan if before is None else before
+        return pick.accumulate(np.concatenate([[start], amounts.to_numpy(np.float64)]))[1:]
 
     def close(self) -> None:
         pass
@@ -130,9 +159,7 @@ def stream_arrival_history(invoices: DataFrame) -> DataFrame:
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; a large backlog is a job
     for the batch form. Needs the RocksDB state store.
     """
-    rows = invoices.select(
-        "vendor_id", "invoice_id", "amount", "ts", "bank_account",
-        money.cents(invoices).cast("bigint").alias("cents"))
+    rows = invoices.select("vendor_id", "invoice_id", "amount", "ts", "bank_account")
     return rows.groupBy("vendor_id").transformWithStateInPandas(
         statefulProcessor=ArrivalHistory(), outputStructType=ARRIVAL_SCHEMA,
         outputMode="Append", timeMode="None")
