@@ -108,8 +108,11 @@ def temporal_risk(invoices: DataFrame, use_calendar: bool = False,
 
 
 def pattern_risk(invoices: DataFrame, duplicate_info: DataFrame | None = None) -> DataFrame:
+    """Pattern score; rows that carry ``is_duplicate`` (``exact_duplicates`` marks them) need
+    no ``duplicate_info``, which is for a table of its own and costs a join."""
     if duplicate_info is None:
-        return invoices.select("invoice_id", pattern_risk_score().alias("pattern_risk_score"))
+        marked = "is_duplicate" in invoices.columns
+        return invoices.select("invoice_id", pattern_risk_score(marked).alias("pattern_risk_score"))
     return join_left_dup_flag(invoices, duplicate_info).select(
         "invoice_id", pattern_risk_score(True).alias("pattern_risk_score"))
 
@@ -153,11 +156,12 @@ def composite_risk(
     weights: dict[str, float] | None = None,
     use_calendar: bool = False,
 ) -> DataFrame:
-    """Weighted 0-1 score with its level, factors and confidence."""
+    """Weighted 0-1 score with its level, factors and confidence; ``is_duplicate`` of the
+    rows counts, or the one joined from ``duplicate_info``."""
     if duplicate_info is not None:
         enriched = join_left_dup_flag(enriched, duplicate_info)
     return add_composite(
-        enriched, duplicate_info is not None, weights, use_calendar).select(
+        enriched, "is_duplicate" in enriched.columns, weights, use_calendar).select(
         "invoice_id", "vendor_id", "amount", "tax", "bank_account", "ts", "description",
         "amount_risk", "vendor_risk", "temporal_risk", "pattern_risk",
         "risk_score", "risk_level", "risk_factors", "confidence")

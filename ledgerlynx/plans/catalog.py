@@ -563,9 +563,8 @@ def temporal_risk_calendar(spark, d):
 
 @query
 def pattern_risk(spark, d):
-    inv = src.load_invoices(spark, d)
-    return rounded(risk.pattern_risk(inv, duplicates.exact_duplicates(inv)),
-                   6, "pattern_risk_score")
+    marked = duplicates.exact_duplicates(src.load_invoices(spark, d))
+    return rounded(risk.pattern_risk(marked), 6, "pattern_risk_score")
 
 
 @query
@@ -575,9 +574,9 @@ def pattern_risk_plain(spark, d):
 
 @query
 def composite_risk(spark, d):
-    inv = src.load_invoices(spark, d)
+    marked = duplicates.exact_duplicates(src.load_invoices(spark, d))
     return rounded(
-        risk.composite_risk(vendor.enrich_vendor(inv), duplicates.exact_duplicates(inv)),
+        risk.composite_risk(vendor.enrich_vendor(marked)),
         6, "amount_risk", "vendor_risk", "pattern_risk", "risk_score").drop("risk_factors")
 
 
