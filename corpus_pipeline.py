@@ -17,9 +17,21 @@ from ledgerlynx.llm import fmindex, forest, langid, mixing, radix
 from ledgerlynx.llm.common import as_rows, doc_field, id_remainder, numbered, written
 
 
+#: Rows that go to a Python worker at once: texts can be long, and a batch stands in
+#: memory on both sides.
+BATCH_ROWS = 1000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: ``und`` and ambiguous ones go. Where no row has a label
     nothing can be learned and all stay."""
+    _bounded_batches(spark)
     model = langid.train(docs.where(id_remainder(F.col("doc_id"), 3) != 1))
     if not model.langs:
         return docs
@@ -34,6 +46,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 or more the first document."""
+    _bounded_batches(spark)
     rows = numbered(docs, "near-docs")
     found = forest.jaccard_join(rows, doc_field("text"))
     drop = written(found.where("row <> class_row").select("row"), "near-drop")
@@ -42,6 +55,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents of which no word is left go."""
+    _bounded_batches(spark)
     return fmindex.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
