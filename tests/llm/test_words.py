@@ -214,6 +214,24 @@ def test_whole_copies_and_ties(documents):
     assert chains.repeated_passages(rows.limit(0), F.col("text")).count() == 0
 
 
+def test_halves_in_earlier_documents(documents):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    near = passage[:29] + ["other"] + passage[30:]
+    halves = [fill(10) + passage[:30] + fill(10), fill(10) + passage[30:] + fill(10)]
+    # a few documents with halves, and far more of them than there are leads
+    for first, second, many in ((passage, passage, 1), (passage, near, 1), (passage * 2, passage * 2, 12)):
+        texts = [h if many == 1 else fill(10) + h[10:-10] + fill(10) for h in halves for _ in range(many)]
+        texts += [fill(20) + first + fill(20), fill(30) + second + fill(5)]
+        rows = documents([(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]).selectExpr("doc_id AS row", "text")
+        got = {r.row: r for r in chains.repeated_passages(rows, F.col("text")).collect()}
+        n = len(texts)
+        for row, at, size in ((n - 2, 20, len(first)), (n - 1, 30, len(second))):
+            assert [(s.start, s.end) for s in got[row].spans] == [(at, at + size)], (many, row)
+        assert all(not got[i].spans for i in range(n - 2))
+
+
 def test_chain_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(40):
