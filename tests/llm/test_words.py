@@ -232,6 +232,28 @@ def test_halves_in_earlier_documents(documents):
         assert all(not got[i].spans for i in range(n - 2))
 
 
+def test_passages_apart_and_with_differing_words_between(documents):
+    rng = random.Random(6)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    header, footer = ([f"{c}{i}" for i in range(100)] for c in "hf")
+    for gap in (70, 50, 30):  # beyond and within MAX_GAP: both passages, not the words between
+        a, b = (fill(7) + header + fill(gap) + footer[:60] + fill(9) for _ in range(2))
+        rows = documents([(i, " ".join(t), "en", "s") for i, t in enumerate((a, b))]).selectExpr("doc_id AS row", "text")
+        for r in chains.repeated_passages(rows, F.col("text")).collect():
+            assert [(s.start, s.end) for s in r.spans] == [(7, 107), (107 + gap, 167 + gap)], gap
+
+
+def test_segments_reach_the_identity():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        same = rng.random(300) < np.repeat(rng.random(6), 50)
+        for p, q in chains.segments(same, 50, 0.8):
+            assert q - p >= 50 and same[p:q].mean() >= 0.8 and same[p] and same[q - 1]
+    every_fifth = np.arange(100) % 5 != 0
+    assert chains.segments(every_fifth, 50, 0.8) in ([(1, 100)], [(1, 95)])
+    assert chains.segments(np.zeros(100, bool), 50, 0.8) == []
+
+
 def test_chain_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(40):
