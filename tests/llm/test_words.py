@@ -254,6 +254,24 @@ def test_segments_reach_the_identity():
     assert chains.segments(np.zeros(100, bool), 50, 0.8) == []
 
 
+def test_recall_of_changed_copies(documents):
+    rng = random.Random(7)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    docs, where = [], {}
+    for every in (5, 6, 7, 10):
+        for _ in range(20):
+            passage = fill(100)
+            changed = [fill(1)[0] if i % every == every - 1 else v for i, v in enumerate(passage)]
+            for p in (passage, changed):
+                at = rng.randrange(5, 60)
+                where[len(docs)] = (at, at + 100)
+                docs.append((len(docs), " ".join(fill(at) + p + fill(20)), "en", "s"))
+    rows = documents(docs).selectExpr("doc_id AS row", "text")
+    found = chains.repeated_passages(rows, F.col("text")).collect()
+    whole = [r for r in found if r.spans and r.spans[0].start <= where[r.row][0] + 5 and r.spans[-1].end >= where[r.row][1] - 5]
+    assert len(whole) >= 0.9 * len(docs)
+
+
 def test_chain_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(40):
