@@ -82,8 +82,9 @@ def edited(text: str, ends: list[int], sums: np.ndarray, edits: list[tuple[int,
 
     Edits are ranges of the old text that do not overlap, applied from the last
     to the first so earlier positions stay. Where a pre-token ends depends on the
-    text from its start to one character past its end, so splitting starts anew
-    at the leaf that holds the character before the edit, and stops at the
+    text from its start to two characters past its end (a blank given up before a word,
+    the letters of 're), so splitting starts anew at the leaf that holds the second
+    character before the edit, and stops at the
     first old leaf border behind the edit at which a new pre-token starts.
     """
     size = len(sums) // 2
@@ -94,7 +95,7 @@ def edited(text: str, ends: list[int], sums: np.ndarray, edits: list[tuple[int,
         end = max(start, min(end, len(text)))
         text = text[:start] + new + text[end:]
         shift = len(new) - (end - start)
-        first = int(np.searchsorted(ends, start - 1, "right")) if start > 0 else 0
+        first = int(np.searchsorted(ends, start - 2, "right")) if start > 1 else 0
         first = min(first, len(ends))
         begin = ends[first - 1] if first else 0
         behind = int(np.searchsorted(ends, end, "left"))  # first old border at or behind the edit

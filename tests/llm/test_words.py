@@ -312,6 +312,24 @@ def test_edits_match_a_full_count(spark, documents):
         assert sum(r.edited.tree.sums[len(r.edited.tree.sums) // 2:]) == n_new
 
 
+@pytest.mark.parametrize("leaf", [1, 2])
+def test_edits_at_leaf_borders(monkeypatch, leaf):
+    monkeypatch.setattr(edits, "LEAF", leaf)
+    with open(edits.RANKS, "rb") as f:
+        counter = edits.Counter(f.read())
+    rng = random.Random(4)
+    bits = [" ", "  ", "\n", "'", "r", "e", "re", "v", "ll", "x", " x", "1", "."]
+    cases = [("  x", [(2, 3, "")]), ("'rx", [(2, 3, "e")])]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 9)))
+        cut = sorted(rng.choices(range(len(text) + 1), k=2))
+        cases.append((text, [(*cut, "".join(rng.choices(bits, k=rng.randrange(3))))]))
+    for text, change in cases:
+        ends, counts = edits.leaves_of(text, counter)
+        new, _, sums, _ = edits.edited(text, ends, edits.grown(counts), change, counter)
+        assert sums[1] == counter(counter.split(new)), (text, change)
+
+
 def test_small_edits_encode_little(spark, folder):
     got = QUERIES["op6_edit_counts"](spark, folder).toPandas()
     long = got[got.n_chars_edited > 10_000]
