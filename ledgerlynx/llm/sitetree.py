@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlynx.llm.common import as_rows, doc_field, written
@@ -184,7 +184,15 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_STATS = "host string, node long, parent long, feature long, presentation boolean, n long"
+def _host(url: Column) -> Column:
+    @F.pandas_udf("string")
+    def host(urls: pd.Series) -> pd.Series:
+        return urls.map(host_of, na_action=None)
+
+    return host(url)
+
+
+_STATS = "host string, node long, parent long, feature long, presentation boolean, n double"
 
 
 def _hash(text: str) -> int:
@@ -192,7 +200,7 @@ def _hash(text: str) -> int:
 
 
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many pages of a batch show each style, and each text, at each node."""
+    """How many pages of a batch show each style, and each text, at each node; of m copies each counts 1 / m."""
     known: dict[str, int] = {}
 
     def number(text: str) -> int:
@@ -205,8 +213,7 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         seen: dict[tuple, int] = {}
-        for url, page in zip(batch["url"], batch["html"]):
-            host = host_of(url)
+        for host, page, copies in zip(batch["host"], batch["html"], batch["copies"]):
             nodes, blocks = parse(page)
             found = set()
             for node in nodes:
@@ -216,7 +223,7 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parent = number(node.parent.style) if node.parent is not None else 0
                 found.add((host, number(node.style), parent, _hash(text), False))
             for key in found:
-                seen[key] = seen.get(key, 0) + 1
+                seen[key] = seen.get(key, 0) + 1 / copies
         columns = list(zip(*seen)) if seen else [[]] * 5
         yield pd.DataFrame({"host": list(columns[0]), "node": list(columns[1]), "parent": list(columns[2]),
                             "feature": list(columns[3]), "presentation": list(columns[4]), "n": list(seen.values())})
@@ -233,17 +240,21 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
     repeated ones are furniture. ``importance`` of a node with texts is gamma times
     its content and 1 - gamma times its parent's presentation; null without
     texts. A branch is unimportant when all its nodes with texts are, so those
-    decide. Only counts are shuffled, added up in each task first.
+    decide. Pages of a host with the same html weigh together as one page. Of pages without
+    copies only digests and counts are shuffled, added up in each task first.
     """
-    read = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    counts = read.mapInPandas(_statistics, _STATS).groupBy("host", "node", "parent", "feature", "presentation") \
-        .agg(F.sum("n").alias("n"))
+    read = pages.select(_host(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
+    read = read.withColumn("digest", F.xxhash64("html", "host"))
+    copies = written(read.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "style-copies")
+    counts = read.join(copies, "digest", "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies")) \
+        .mapInPandas(_statistics, _STATS).groupBy("host", "node", "parent", "feature", "presentation") \
+        .agg(F.round(F.sum("n"), 6).alias("n"))
     counts = written(counts, "style-counts")
     at = ["host", "node", "parent"]
-    m = counts.where("presentation").groupBy(*at).agg(F.sum("n").alias("pages"))
+    m = counts.where("presentation").groupBy(*at).agg(F.round(F.sum("n"), 5).alias("pages"))
     log_m = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
     share = F.col("n") / F.col("pages")
-    repeated = F.least(F.lit(1.0), F.log(F.col("n").cast("double")) / log_m)
+    repeated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log("n") / log_m))
     own = written(counts.join(m, at).groupBy(*at, "pages").agg(
         F.sum(F.when(F.col("presentation"), -share * F.log(share) / log_m)).alias("style"),
         (1 - F.sum(F.when(~F.col("presentation"), F.col("n") * repeated))
@@ -281,16 +292,12 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", low:
     unimportant = written(tree.where((F.col("pages") >= least_pages) & (F.col("importance") < low))
                           .groupBy("host").agg(F.collect_set("node").alias("low")), "style-low")
 
-    @F.pandas_udf("string")
-    def host(urls: pd.Series) -> pd.Series:
-        return urls.map(host_of, na_action=None)
-
     @F.pandas_udf("string")
     def text(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for page, low in parts:
             yield pd.Series(["\n".join(main_blocks(p, set(x) if x is not None else set())) for p, x in zip(page, low)],
                             dtype=object)
 
-    rows = as_rows(pages, __host=host(F.col(f"doc.`{url_col}`")))
+    rows = as_rows(pages, __host=_host(F.col(f"doc.`{url_col}`")))
     joined = rows.join(unimportant.withColumnRenamed("host", "__host"), "__host", "left")
     return joined.select("doc", text(doc_field(html_col), F.col("low")).alias("main_text"))

@@ -66,6 +66,15 @@ def test_tree_removes_what_a_host_repeats(spark):
     assert len([t for t in tree if t.importance < sitetree.LOW]) == 2 and max(t.importance for t in tree) > 0.8
 
 
+def test_copies_of_a_page_weigh_once(spark):
+    page = "<html><body><div class=x1>Menu one</div><p class=x4>May {}</p><div class=x2><p>{}</p></div>"
+    rows = [(i, f"http://a.b/{i}", page.format(1, "the copied story")) for i in range(90)]
+    rows += [(i, f"http://a.b/{i}", page.format(i, f"story number {i}")) for i in range(90, 100)]
+    got = {r.doc.page_id: r.main_text for r in sitetree.extract(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+    assert got[0] == "May 1\nthe copied story"
+    assert all(got[i] == f"May {i}\nstory number {i}" for i in range(90, 100))
+
+
 def test_host():
     assert [sitetree.host_of(u) for u in ("HTTP://u:p@A.b:8/x", "//c.d?x", "e.f/g", None, "")] == ["a.b", "c.d", "", "", ""]
 
