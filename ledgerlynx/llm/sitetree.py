@@ -19,8 +19,8 @@ from ledgerlynx.llm.common import as_rows, doc_field, written
 GAMMA, LEAST_PAGES, LOW = 0.9, 4, 0.3
 
 # The names that HTML and common page templates give to these parts.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object embed canvas audio video "
-                   "map select option datalist".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object embed canvas audio video "
+                   "map select option datalist annotation annotation-xml".split())
 NOISE_TAGS = frozenset("nav footer aside form button input textarea label fieldset dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert "
                         "toolbar".split())
@@ -29,11 +29,14 @@ NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "consent notice notices gdpr popup modal overlay comment comments disqus reply replies "
                         "footer masthead share sharing social related recommended newsletter subscribe signup "
                         "login search form toolbar pagination pager".split())
+# a name that begins so tells what the page has elsewhere, or has not
+MODIFIERS = frozenset("has with no without hide".split())
 MAIN_TAGS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext mspace mfrac msqrt "
+                   "mroot msub msup msubsup munder mover munderover mstyle semantics annotation".split())
 # an opening tag on the left ends open elements of the names on the right
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
            "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
@@ -47,10 +50,11 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
 class Node:
-    __slots__ = ("tag", "style", "noise", "main", "parent", "children")
+    __slots__ = ("tag", "style", "noise", "named", "main", "parent", "children")
 
-    def __init__(self, tag: str, style: str, noise: bool, main: bool, parent: Node | None):
-        self.tag, self.style, self.noise, self.main, self.parent = tag, style, noise, main, parent
+    def __init__(self, tag: str, style: str, noise: bool, named: bool, main: bool, parent: Node | None):
+        # noise by its tag, role or attributes (noise), or only by its class or id (named)
+        self.tag, self.style, self.noise, self.named, self.main, self.parent = tag, style, noise, named, main, parent
         self.children: list[str] = []
 
 
@@ -59,24 +63,26 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1 << 14)
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Style of an element, whether it names itself noise, whether it marks the main part."""
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Style of an element, whether it is noise by tag, role or attributes, whether
+    its class or id names it so, whether it marks the main part."""
     a = _attributes(attributes) if "=" in attributes or "hidden" in attributes else {}
     names = " ".join(sorted(a.get("class", "").lower().split()))
-    words = set(_SPLIT.split(names)) | set(_SPLIT.split(a.get("id", "").lower()))
+    split = [_SPLIT.split(name) for name in [*names.split(), a.get("id", "").lower()]]
+    words = {w for part in split if part[0] not in MODIFIERS for w in part}
     noise = (tag in HIDDEN or tag in NOISE_TAGS or a.get("role", "").lower() in NOISE_ROLES
-             or (bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main"))
              or "hidden" in a or a.get("aria-hidden") == "true"
              or "display:none" in a.get("style", "").replace(" ", ""))
-    return tag + ("." + names if names else ""), noise, tag in MAIN_TAGS or a.get("role", "").lower() == "main"
+    named = bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main")
+    return tag + ("." + names if names else ""), noise, named, tag in MAIN_TAGS or a.get("role", "").lower() == "main"
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
-    style, noise, main = _kind(tag, attributes)
+    style, noise, named, main = _kind(tag, attributes)
     parent.children.append(style)
     # a page's header is furniture, an article's header is not
     return Node(tag, parent.style + "/" + style, noise or parent.noise or (tag == "header" and not parent.main),
-                main or parent.main, parent)
+                named or parent.named, main or parent.main, parent)
 
 
 def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -86,7 +92,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
     a ``<`` that starts no tag is text. Comments and markup are no text.
     """
     page = page or ""
-    root = Node("", "", False, False, None)
+    root = Node("", "", False, False, False, None)
     nodes, blocks, open_, parts = [root], [], [root], []
     block_of = root
 
@@ -115,7 +121,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
             attributes = m[3]
             if tag in INLINE and tag != "br":
                 node = _element(tag, attributes, open_[-1])
-                if node.noise and not open_[-1].noise:
+                if _out(node) and not _out(open_[-1]):
                     flush()  # an inline advert or hidden piece is no part of the block around it
                 nodes.append(node)
                 if tag not in VOID:
@@ -143,7 +149,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
             if tag in INLINE:
                 if any(n.tag not in INLINE for n in open_[deep:]):
                     continue  # it would close blocks
-                if any(n.noise for n in open_[deep:]) and not open_[deep - 1].noise:
+                if any(_out(n) for n in open_[deep:]) and not _out(open_[deep - 1]):
                     flush()
                 del open_[deep:]
             else:
@@ -153,11 +159,15 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[Node, str]]]:
     return nodes, blocks
 
 
+def _out(node: Node) -> bool:
+    return node.noise or node.named
+
+
 def _block(open_: list[Node]) -> Node:
     """The innermost open element that is a block, or noise."""
     for node in reversed(open_):
         if node.tag not in INLINE:
-            return open_[-1] if open_[-1].noise and not node.noise else node
+            return open_[-1] if _out(open_[-1]) and not _out(node) else node
     return open_[0]
 
 
@@ -266,16 +276,28 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", g
 
 
 def main_blocks(page: str | None, low: set[int]) -> list[str]:
-    """Texts of the main blocks: not in a branch that names itself noise, not in a
-    branch the tree found unimportant. Where the page marks its main part only
-    that counts, and the tree does not overrule the mark."""
+    """Texts of the main blocks: not in a branch that is noise, not in a branch the
+    tree found unimportant. Where the page marks its main part only that counts, and
+    the tree judges the branches inside it too.
+
+    Classes and ids are a first guess: where they would leave no marked main
+    part, or no text that the tree finds important, they do not hold.
+    """
     nodes, blocks = parse(page)
-    marked = any(n.main and not n.noise for n in nodes)
-    kept = [(n, t) for n, t in blocks if not n.noise and (n.main or not marked)]
-    if low and not marked:
-        # where a host's pages are copies of each other nothing is important: then all stays
-        kept = [(n, t) for n, t in kept if _hash(n.style) not in low] or kept
-    return [t for _, t in kept]
+    blocks = [(n, t) for n, t in blocks if not n.noise]
+    important = [(n, t) for n, t in blocks if _hash(n.style) not in low] if low else blocks
+    marks = [n for n in nodes if n.main and not n.noise]
+    trusted = bool(marks) and all(n.named for n in marks)
+    if marks:
+        blocks, important = ([(n, t) for n, t in part if n.main] for part in (blocks, important))
+    # where a host's pages are copies of each other nothing is important: then all stays
+    for part in (important, blocks):
+        kept = [(n, t) for n, t in part if trusted or not n.named]
+        if kept:
+            return [t for _, t in kept]
+        if part is important and low and part:
+            return [t for _, t in part]
+    return []
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", low: float = LOW,

@@ -75,6 +75,23 @@ def test_copies_of_a_page_weigh_once(spark):
     assert all(got[i] == f"May {i}\nstory number {i}" for i in range(90, 100))
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div class='layout has-sidebar with-nav no-comments'><div class=sidebar>no</div><p>yes</p></div>", ["yes"]),
+    ("<div class=sidebar-layout><div class=x>Menu</div><article><p>yes</p></article></div>", ["yes"]),
+    ("<article><p>a</p></article><div class=related><article>teaser</article></div>", ["a"]),
+    ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>", ["let x=1 be"]),
+])
+def test_names_are_a_first_guess(page, want):
+    assert sitetree.main_blocks(page, set()) == want
+
+
+def test_tree_judges_marked_pages_too(spark):
+    page = "<html><body><main><div class=x1>Buy our paper</div><p>story number {}</p></main>"
+    rows = [(i, f"http://a.b/{i}", page.format(i)) for i in range(8)]
+    got = sitetree.extract(spark.createDataFrame(rows, PAGE).repartition(3)).collect()
+    assert {r.doc.page_id: r.main_text for r in got} == {i: f"story number {i}" for i in range(8)}
+
+
 def test_host():
     assert [sitetree.host_of(u) for u in ("HTTP://u:p@A.b:8/x", "//c.d?x", "e.f/g", None, "")] == ["a.b", "c.d", "", "", ""]
 
