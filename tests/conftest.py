@@ -51,9 +51,3 @@ def make(spark):
         return spark.createDataFrame([tuple(r[c] for c in INVOICE_COLUMNS) for r in full], schema)
 
     return build
-
-
-def same(a, b):
-    """Both frames hold the same rows."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

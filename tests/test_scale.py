@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import same
+from helpers import same
 from ledgerlynx.functions.skew import attach_by_key, heavy_keys
 from ledgerlynx.functions.text import fixed, float_text
 from ledgerlynx.operators import duplicates, risk, similarity, vendor

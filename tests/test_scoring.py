@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import same
+from helpers import same
 from ledgerlynx.operators import decisions as dec
 from ledgerlynx.operators import duplicates, explain, relational, reports, risk, vendor
 from ledgerlynx.plans import scoring

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import same
+from helpers import same
 from ledgerlynx.operators import similarity, vendor
 from ledgerlynx.plans import scoring
 from ledgerlynx.sources import invoices as src
