@@ -1,13 +1,15 @@
-"""The ten operators over the given tables, and SQL for those that SQL can express."""
+"""The operators over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import chains, edits, fmindex, forest, langid, mixing, mixlm, radix, secret_scan, sitetree
+from ledgerlynx.llm import bands, chains, edits, fmindex, forest, langid, mixing, mixlm, periodic, radix, secret_scan, sitetree
 from ledgerlynx.llm.common import id_remainder, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +177,48 @@ def op9_collinear_chains(spark, folder):
     return found.join(ids, "row").join(pairs, "row", "left").select(
         "doc_id", "n_words", n.alias("n_repeated"), spans.alias("spans"),
         F.coalesce("other_ids", F.array().cast("array<bigint>")).alias("other_ids"))
+
+
+def planted_period(text, doc_id):
+    """The text; one in ten (by crc32 of its id) repeats a piece of itself up to its end."""
+
+    @F.pandas_udf("string")
+    def plant(texts: pd.Series, ids: pd.Series) -> pd.Series:
+        out = texts.tolist()
+        for i, key in enumerate(ids):
+            h = zlib.crc32((key or "").encode())
+            words = out[i].encode().split() if h % 10 == 0 and out[i] else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                period = 1 + (n - a) // (3 + g % 8)
+                out[i] = b" ".join(words[:a] + [words[a + k % period] for k in range(n - a)]).decode()
+        return pd.Series(out, dtype=object)
+
+    return plant(text, doc_id.cast("string"))  # as text: a null would turn whole numbers into doubles
+
+
+@query
+def op11_periodic_runs(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic.with_runs(docs, planted_period(F.col("text"), F.col("doc_id")))
+    runs = F.col("periodic.runs")
+    lines = F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.when(F.size(runs) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    best = found.withColumn("best", periodic.strongest(runs))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return best.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), sha(every).alias("runs_sha256"),
+        sha(F.col("periodic.collapsed")).alias("collapsed_sha256"), F.col("periodic.n_words").alias("n_words"))
+
+
+@query
+def op13_compression_bands(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = bands.with_bands(bands.with_counts(docs, F.col("text")), F.col("text")).select("doc_id", "counts.*", "bands.*")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & (F.col("verdict") == "keep")).alias("kept"),
+        F.round("ratio", 6).alias("ratio"), "band", "n_chunks", "n_repetitive_chunks", "n_incompressible_chunks", "verdict")
