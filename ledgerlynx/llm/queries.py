@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm import bands, chains, edits, fmindex, forest, langid, mixing, mixlm, periodic, radix, secret_scan, sitetree
+from ledgerlynx.llm import alignment, bands, chains, edits, fmindex, forest, langid, mixing, mixlm, periodic, radix, secret_scan, sitetree
 from ledgerlynx.llm.common import id_remainder, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +213,15 @@ def op11_periodic_runs(spark, folder):
         sha(F.col("periodic.collapsed")).alias("collapsed_sha256"), F.col("periodic.n_words").alias("n_words"))
 
 
+@query
+def op12_tokenizer_spans(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = alignment.aligned(docs, F.col("text"), with_ends=False)
+    digest = F.when(F.col("n_groups") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    short = found.select("doc.doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs", "times")
+    return alignment.with_link_counts(short)
+
+
 @query
 def op13_compression_bands(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
