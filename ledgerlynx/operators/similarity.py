@@ -7,9 +7,12 @@ above the threshold leave the task. No unit grows with the size of its block,
 no candidate pairs are materialised, and nothing is left out: every pair of
 rows of a block meets in exactly one unit. Small blocks share tasks.
 
-The work for one block is still quadratic in its rows, as in any exact
-comparison of arbitrary vectors. A time window removes most of it where it
-applies; ``similar_approx`` trades recall for speed.
+A block of more than one part is first split by the metric partition of
+``metric.py``: its rows meet only where the triangle inequality admits a pair at
+the threshold, which still loses none. How much that saves depends on the data: the work
+on clustered vectors grows with the size of the clusters, that on vectors all
+within the threshold's distance stays quadratic, as their pairs are. A time
+window removes most of it where it applies; ``similar_approx`` trades recall for speed.
 """
 
 from collections.abc import Sequence
@@ -23,12 +26,14 @@ from pyspark.sql import types as T
 from ledgerlynx.config import DEFAULTS
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.vectors import norm
+from ledgerlynx.operators import metric
 from ledgerlynx.operators.embedding import (
     Embedder, compute_embeddings, embed_once, embed_text_labelled, embedder_named)
+from ledgerlynx.session import scratch_path
 
 PART_ROWS = 1024
 SMALL_UNIT = 4096  # pairs
-DECIMALS = 6
+DECIMALS = metric.DECIMALS
 
 _UNIT = ["__block", "__slot", "__kind", "__i", "__j"]
 _IN_SLOT, _NEXT_SLOT = 0, 1
@@ -36,17 +41,6 @@ _IN_SLOT, _NEXT_SLOT = 0, 1
 
 # ------------------------------------------------------------ units of work
 
-def _unit_vectors(vectors: pd.Series) -> np.ndarray:
-    """Rows scaled to length one; missing, empty and zero vectors become zeros."""
-    width = max((len(v) for v in vectors if v is not None), default=0)
-    out = np.zeros((len(vectors), max(width, 1)))
-    for row, v in enumerate(vectors):
-        if v is not None and len(v):
-            out[row, :] = v
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
-
-
 def _cosines(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """All cosines of two sets of unit vectors. The sum of each pair is taken as for
     single pairs (``ij,ij->i``), so a score does not depend on the size of its unit."""
@@ -107,6 +101,12 @@ def _scored_pairs(pdf: pd.DataFrame, unit: np.ndarray, threshold: float):
         yield a0 + a, b0 + b, scores[a, b]
 
 
+def _entry(slot_at: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
+    return F.struct(
+        slot_at.alias("slot"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"),
+        side.cast("int").alias("side"))
+
+
 def _units(
     rows: DataFrame,
     id_col: str,
@@ -116,6 +116,7 @@ def _units(
     part_rows: int,
     ts_col: str | None,
     window_seconds: int | None,
+    partition: metric.Partition | None = None,
 ) -> DataFrame:
     """Copy every row to the units it takes part in and name the task of each."""
     timed = window_seconds is not None
@@ -139,22 +140,19 @@ def _units(
 
     # rows without a block (an invoice without a vendor) form one block
     sized = attach_by_key(base, sizes, ["__block"], "__n", "__id", null_safe=True)
+    if partition is not None:
+        return _metric_units(sized, part_rows, partition)
     part = F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
     other = F.sequence(F.lit(0), F.col("__parts") - 1)
 
-    def entry(slot_at: Column, kind: int, i: Column, j: Column, side: Column) -> Column:
-        return F.struct(
-            slot_at.alias("slot"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"),
-            side.cast("int").alias("side"))
-
-    places = F.transform(other, lambda j: entry(
+    places = F.transform(other, lambda j: _entry(
         F.col("__slot"), _IN_SLOT, F.least(part, j), F.greatest(part, j), part > j))
     if timed:
         places = F.concat(
             places,
-            F.transform(other, lambda j: entry(
+            F.transform(other, lambda j: _entry(
                 F.col("__slot"), _NEXT_SLOT, part, j, F.lit(0))),
-            F.transform(other, lambda j: entry(
+            F.transform(other, lambda j: _entry(
                 F.col("__slot") - 1, _NEXT_SLOT, j, part, F.lit(1))),
         )
     placed = sized.withColumn("__at", F.explode(places)).select(
@@ -168,6 +166,80 @@ def _units(
     return placed.withColumn("__task", task).drop("__parts")
 
 
+def _in_regions(sized: DataFrame, part_rows: int, partition: metric.Partition) -> tuple[DataFrame, DataFrame]:
+    """Rows at their own region and at those they visit, and the sizes of regions that have rows of
+    their own. A block of one part is one region."""
+    regions = F.when(F.col("__parts") == 1, F.array(F.lit(0))) \
+        .otherwise(partition.regions_column(F.col("__vec")))
+    at = sized.select(*sized.drop("__parts", "__n", "__most", "__slot").columns,
+                      F.posexplode(regions).alias("__visit", "__slot"))
+    sizes = at.groupBy("__block", "__slot").agg(
+        F.count_if(F.col("__visit") == 0).alias("__own"), F.count_if(F.col("__visit") > 0).alias("__guests"),
+        F.count(F.lit(1)).alias("__all")).where("__own > 0")
+    return at, sizes.withColumns({n: F.ceil(F.col(c) / F.lit(part_rows)).cast("int")
+                                  for n, c in (("__parts", "__own"), ("__guest_parts", "__guests"))})
+
+
+def _metric_units(sized: DataFrame, part_rows: int, partition: metric.Partition) -> DataFrame:
+    """Units of a metric partition: parts of a region's own rows with each other, and with parts of
+    the rows that visit it. Visitors are not compared with each other."""
+    at, sizes = _in_regions(sized, part_rows, partition)
+    bins = F.greatest(F.lit(1), F.ceil(
+        sizes.select(F.sum("__all")).scalar() / F.lit(8 * part_rows))).cast("bigint")
+    placed = attach_by_key(at, sizes, ["__block", "__slot"], "__all", "__id", null_safe=True)
+    slot, guest_parts = F.col("__slot").cast("bigint"), F.col("__guest_parts")
+    own = F.pmod(F.xxhash64("__id"), F.col("__parts")).cast("int")
+    guest = F.pmod(F.xxhash64("__id"), F.greatest(guest_parts, F.lit(1))).cast("int")
+    owns = F.sequence(F.lit(0), F.col("__parts") - 1)
+    guests = F.when(guest_parts > 0, F.sequence(F.lit(0), F.greatest(guest_parts, F.lit(1)) - 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    places = F.when(F.col("__visit") == 0, F.concat(
+        F.transform(owns, lambda j: _entry(slot, _IN_SLOT, F.least(own, j), F.greatest(own, j), own > j)),
+        F.transform(guests, lambda j: _entry(slot, _NEXT_SLOT, own, j, F.lit(0))),
+    )).otherwise(F.transform(owns, lambda j: _entry(slot, _NEXT_SLOT, j, guest, F.lit(1))))
+    kept = [c for c in at.columns if c not in ("__visit", "__slot")]
+    units = placed.select(*kept, "__all", F.inline(places).alias("__slot", "__kind", "__i", "__j", "__side"))
+    task = F.when(F.col("__all") <= part_rows, F.pmod(F.xxhash64("__block", "__slot"), bins)) \
+        .otherwise(F.xxhash64(*_UNIT))
+    return units.withColumn("__task", task).drop("__all")
+
+
+def _partitioned(rows: DataFrame, id_col: str, vector_col: str, block: Column, threshold: float, part_rows: int,
+                 pivots: int, sizes_of: DataFrame | None = None) -> tuple[DataFrame, metric.Partition | None]:
+    """Rows and the partition for them, if a block is larger than a part; the vectors are then
+    written, so a model upstream runs once. ``sizes_of``: cheaper rows with at least as many a block."""
+    if not pivots or metric.reach_of(threshold) is None:
+        return rows, None
+    per_block = (rows if sizes_of is None else sizes_of).groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    largest = per_block.agg(F.max("n")).first()[0] or 0
+    if largest <= part_rows:
+        return rows, None
+    rows = metric.stored(rows, "vectors")
+    large = per_block.where(F.col("n") > part_rows).select(F.col("block").alias("__large"))
+    from_large = rows.join(large, block.eqNullSafe(F.col("__large")), "left_semi")
+    return rows, metric.partition_for(from_large, id_col, vector_col, threshold, part_rows, largest, pivots)
+
+
+def comparisons(
+    rows: DataFrame, id_col: str, vector_col: str, threshold: float, block: str,
+    part_rows: int = PART_ROWS, pivots: int = metric.PIVOTS,
+) -> DataFrame:
+    """Per block its rows, all their pairs, and the pairs that ``similar_pairs`` compares."""
+    rows, partition = _partitioned(rows, id_col, vector_col, F.col(block), threshold, part_rows, pivots)
+    n = rows.groupBy(F.col(block).alias("block")).agg(F.count(F.lit(1)).alias("n_rows"))
+    every = F.expr("n_rows * (n_rows - 1) div 2")
+    if partition is None:
+        return n.select("block", "n_rows", every.alias("n_pairs"), every.alias("n_compared"))
+    sized = rows.select(F.col(block).alias("__block"), F.col(id_col).alias("__id"), F.col(vector_col).alias("__vec")) \
+        .join(n.select(F.col("block").alias("__of"), F.ceil(F.col("n_rows") / part_rows).alias("__parts")),
+              F.col("__block").eqNullSafe(F.col("__of"))).drop("__of")
+    _, sizes = _in_regions(sized, part_rows, partition)
+    compared = sizes.groupBy("__block").agg(
+        F.expr("sum(__own * (__own - 1) div 2 + __own * __guests)").alias("n_compared"))
+    return n.join(compared, F.col("block").eqNullSafe(F.col("__block"))).select(
+        "block", "n_rows", every.alias("n_pairs"), "n_compared")
+
+
 def similar_pairs(
     rows: DataFrame,
     id_col: str,
@@ -179,19 +251,24 @@ def similar_pairs(
     window_seconds: int | None = None,
     part_rows: int = PART_ROWS,
     both_directions: bool = True,
+    pivots: int = metric.PIVOTS,
 ) -> DataFrame:
     """Pairs of different ids of one block with cosine >= threshold.
 
     Returns ``id_a``, ``id_b``, ``block``, ``similarity`` (6 decimals, the
     threshold applies to the rounded value) and each payload column with
     suffixes ``_a`` and ``_b``. ``window_seconds`` keeps only pairs whose
-    ``ts_col`` lie at most that far apart.
+    ``ts_col`` lie at most that far apart. Without a window, blocks larger than a part are
+    split by at most ``pivots`` pivots (0: never); the sizes of the blocks are
+    counted when this is called.
     """
     block_col = F.lit(0) if block is None else F.col(block) if isinstance(block, str) else block
     if window_seconds is not None:
-        rows = rows.where(F.col(ts_col).isNotNull())
+        rows, partition = rows.where(F.col(ts_col).isNotNull()), None
+    else:
+        rows, partition = _partitioned(rows, id_col, vector_col, block_col, threshold, part_rows, pivots)
     units = _units(rows, id_col, vector_col, block_col, payload, part_rows,
-                   ts_col, window_seconds)
+                   ts_col, window_seconds, partition)
     fields = {f.name: f.dataType for f in units.schema.fields}
     schema = T.StructType([
         T.StructField("id_a", fields["__id"]), T.StructField("id_b", fields["__id"]),
@@ -207,7 +284,7 @@ def similar_pairs(
         ids, us = pdf["__id"].to_numpy(), pdf["__us"].to_numpy()
         none = np.zeros(0, dtype=np.int64)
         found = [(none, none, np.zeros(0))]
-        for a, b, sims in _scored_pairs(pdf, _unit_vectors(pdf["__vec"]), threshold):
+        for a, b, sims in _scored_pairs(pdf, metric.unit_vectors(pdf["__vec"]), threshold):
             ok = ids[a] != ids[b]
             if reach is not None:
                 ok &= np.abs(us[a] - us[b]) <= reach
@@ -236,14 +313,19 @@ def best_matches(
     block: str,
     part_rows: int = PART_ROWS,
     all_ids: bool = False,
+    pivots: int = metric.PIVOTS,
+    sizes_of: DataFrame | None = None,
 ) -> DataFrame:
     """For each id its most similar other id of the block, if at the threshold.
 
     Equal similarities go to the smaller id. Each unit reports one candidate
     per row, so the output stays linear in the input. ``all_ids`` also lists ids
-    without a match and adds ``nonzero``: whether the id's vector is not zero.
+    without a match and adds ``nonzero``: whether the id's vector is not zero. ``pivots`` as for
+    ``similar_pairs``; ``sizes_of`` are cheaper rows to count blocks by, at least as many.
     """
-    units = _units(rows, id_col, vector_col, F.col(block), (), part_rows, None, None)
+    rows, partition = _partitioned(
+        rows.select(id_col, vector_col, block), id_col, vector_col, F.col(block), threshold, part_rows, pivots, sizes_of)
+    units = _units(rows, id_col, vector_col, F.col(block), (), part_rows, None, None, partition)
     fields = {f.name: f.dataType for f in units.schema.fields}
     schema = T.StructType([
         T.StructField("id", fields["__id"]), T.StructField("similarity", T.DoubleType()),
@@ -253,7 +335,7 @@ def best_matches(
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         # by id, so that the first of several equal maxima has the smallest id
         pdf = pdf.sort_values("__id", kind="stable").reset_index(drop=True)
-        unit, ids = _unit_vectors(pdf["__vec"]), pdf["__id"].to_numpy()
+        unit, ids = metric.unit_vectors(pdf["__vec"]), pdf["__id"].to_numpy()
         found = [(ids[:0], np.zeros(0), ids[:0])]
         alone = [(ids[:0], np.zeros(0, bool))]
 
@@ -358,7 +440,8 @@ def enrich_semantic(
     vectors = embedder_named(embedder)(groups, "semantic_text", "embedding")
     # the vectors stay inside the comparison, so that each text meets the embedder once
     others = best_matches(
-        vectors, "first_id", "embedding", similarity_threshold, "vendor_id", part_rows, all_ids=True)
+        vectors, "first_id", "embedding", similarity_threshold, "vendor_id", part_rows, all_ids=True,
+        sizes_of=invoices)
     self_similar = F.col("nonzero") & F.lit(similarity_threshold <= 1.0)
     matched = groups.join(others.withColumnRenamed("id", "first_id"), "first_id", "left").select(
         "vendor_id", "semantic_text", "copies", "first_id", "last_id",
@@ -390,48 +473,19 @@ def find_similar(
     threshold: float = DEFAULTS.similarity,
     part_rows: int = PART_ROWS,
     ordered: bool = True,
+    index: metric.PivotIndex | None = None,
 ) -> DataFrame:
     """All corpus items at or above the threshold for each query, best first.
 
-    Both sides are cut into parts and each pair of parts is one task, so neither
-    side has to fit anywhere as a whole.
+    Searches ``index``, or one that is built for this call: a query meets only the
+    cells of the corpus that can hold a match, and cells are cut into parts, so neither
+    side has to fit anywhere as a whole. With an ``index`` the corpus is not read.
     """
-
-    def parts_of(df: DataFrame, id_col: str) -> Column:
-        n = df.select(F.count(id_col)).scalar()
-        return F.greatest(F.lit(1), F.ceil(n / F.lit(part_rows))).cast("int")
-
-    q_parts, c_parts = parts_of(queries, query_id), parts_of(corpus, corpus_id)
-
-    def copies(df: DataFrame, id_col: str, own: Column, others: Column, q_first: bool) -> DataFrame:
-        mine = df.select(
-            F.col(id_col).alias("id"), F.col(vector_col).alias("vec"),
-            F.pmod(F.xxhash64(id_col), own).cast("int").alias("own"), others.alias("n"),
-        ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        q, c = ("own", "other") if q_first else ("other", "own")
-        return mine.select("id", "vec", F.col(q).alias("q"), F.col(c).alias("c"))
-
-    left = copies(queries, query_id, q_parts, c_parts, True)
-    right = copies(corpus, corpus_id, c_parts, q_parts, False)
-    schema = T.StructType([
-        T.StructField(query_id, queries.schema[query_id].dataType),
-        T.StructField("match_id", corpus.schema[corpus_id].dataType),
-        T.StructField("similarity", T.DoubleType()),
-    ])
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({query_id: [], "match_id": [], "similarity": []})
-        scores = _cosines(_unit_vectors(a["vec"]), _unit_vectors(b["vec"]))
-        i, j = np.nonzero(scores >= threshold)
-        return pd.DataFrame({
-            query_id: a["id"].to_numpy()[i], "match_id": b["id"].to_numpy()[j],
-            "similarity": scores[i, j]})
-
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(match, schema)
-    if not ordered:
-        return found
-    return found.orderBy(query_id, F.desc("similarity"), "match_id")
+    if index is None:
+        index = metric.PivotIndex.build(
+            corpus, corpus_id, vector_col, scratch_path(corpus.sparkSession, "pivot-index"), part_rows=part_rows)
+    found = index.search(queries, query_id, vector_col, threshold, part_rows)
+    return found.orderBy(query_id, F.desc("similarity"), "match_id") if ordered else found
 
 
 def similar_approx(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerlynx.functions import vectors
 from ledgerlynx.operators import (
-    decisions as dec, duplicates, embedding, explain, relational, reports, risk, similarity, vendor)
+    decisions as dec, duplicates, embedding, explain, metric, relational, reports, risk, similarity, vendor)
 from ledgerlynx.plans import scoring
 from ledgerlynx.session import ROCKSDB_STATE, scratch_path
 from ledgerlynx.sources import invoices as src
@@ -235,7 +235,7 @@ def join_vendor_selfpairs(spark, d):
 @query
 def join_left_dup_flag(spark, d):
     inv = src.load_invoices(spark, d)
-    found = similarity.semantic_duplicates(inv, 0.97).select("invoice_id")
+    found = similarity.enrich_semantic(inv, 0.97).where("has_semantic_duplicate").select("invoice_id")
     return risk.join_left_dup_flag(inv, found).select("invoice_id", "is_duplicate")
 
 
@@ -459,6 +459,29 @@ def find_similar(spark, d):
         rows, rows, "vec_id", "vec_id", threshold=CROSS_THRESHOLD)
 
 
+@query
+def find_similar_stored(spark, d):
+    """A stored index, searched by the even and then by the odd vectors."""
+    rows = table(spark, d, "embeddings")
+    index = metric.PivotIndex.build(rows, "vec_id", "embedding", scratch_path(spark, "index"), part_rows=64)
+    halves = [similarity.find_similar(
+        rows.where(F.col("vec_id") % 2 == half), rows, "vec_id", "vec_id", threshold=CROSS_THRESHOLD, part_rows=64,
+        ordered=False, index=index) for half in (0, 1)]
+    return halves[0].unionByName(halves[1])
+
+
+@query
+def vendor_selfpairs_metric(spark, d):
+    """Blocks of a label cut into small parts, so each is split by pivots."""
+    return similarity.similar_pairs(
+        table(spark, d, "embeddings"), "vec_id", "embedding", PAIR_THRESHOLD, "label", part_rows=16)
+
+
+@query
+def semantic_duplicates_metric(spark, d):
+    return similarity.semantic_duplicates(src.load_invoices(spark, d), part_rows=8)
+
+
 @query
 def similar_approx(spark, d):
     """By label: exact pairs, approximate pairs that are none of them, and whether the recall is 0.6 or more
@@ -574,9 +597,10 @@ def pattern_risk_plain(spark, d):
 
 @query
 def composite_risk(spark, d):
-    marked = duplicates.exact_duplicates(src.load_invoices(spark, d))
+    inv = src.load_invoices(spark, d)
+    marked = duplicates.exact_duplicates(inv)
     return rounded(
-        risk.composite_risk(vendor.enrich_vendor(marked)),
+        risk.composite_risk(vendor.enrich_vendor(marked, vendor.vendor_stats(inv))),
         6, "amount_risk", "vendor_risk", "pattern_risk", "risk_score").drop("risk_factors")
 
 

@@ -538,6 +538,9 @@ oracle("enrich_semantic", f"SELECT invoice_id, {SEM} FROM sem97", "sem97")
 oracle("find_similar", f"""SELECT a.vec_id AS vec_id, b.vec_id AS match_id,
   {COS.format(a='a.e', b='b.e')} AS similarity FROM vecs a, vecs b
 WHERE {COS.format(a='a.e', b='b.e')} >= 0.4e0""", "vecs")
+for name, same_as in (("find_similar_stored", "find_similar"), ("vendor_selfpairs_metric", "join_vendor_selfpairs"),
+                      ("semantic_duplicates_metric", "semantic_duplicates")):
+    ORACLES[name] = ORACLES[same_as]
 
 EVENT_WINDOWS = """SELECT vendor_id, count(*) AS invoice_count,
   CAST(sum(cents) AS DOUBLE) / 100.0e0 AS total_amount, w AS window_start,

@@ -105,7 +105,8 @@ def outputs_of(
 
 
 def build(invoices: DataFrame, cfg: ScoringConfig = ScoringConfig()) -> dict[str, DataFrame]:
-    """All tables, lazily; nothing runs until one of them is used."""
+    """All tables, lazily; nothing runs until one of them is used (with ``semantic``, only a count
+    of the largest vendor)."""
     stats = vendor.vendor_stats(invoices, cfg.bank_rule)
     out = outputs_of(score(invoices, cfg, stats), stats, cfg)
     out["anomalies"] = vendor.anomalies(invoices, stats)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlynx import session
 from ledgerlynx.config import Thresholds
-from ledgerlynx.operators import embedding, explain, similarity, vendor
+from ledgerlynx.operators import embedding, explain, metric, similarity, vendor
 from ledgerlynx.plans import scoring
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import outputs, tables
@@ -122,7 +122,7 @@ def test_one_score_for_every_unit_size():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    unit = similarity._unit_vectors(pd.Series(list(rng.normal(size=(300, 64)))))
+    unit = metric.unit_vectors(pd.Series(list(rng.normal(size=(300, 64)))))
     whole = similarity._cosines(unit, unit)
     assert (whole[:7, :9] == similarity._cosines(unit[:7], unit[:9])).all()
     single = np.round(np.einsum("ij,ij->i", unit[:-1], unit[1:]), similarity.DECIMALS)
