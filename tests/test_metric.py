@@ -60,7 +60,7 @@ def test_pairs_equal_plain_pairs(spark, threshold):
 def test_comparisons_grow_with_the_clusters(spark):
     found = []
     for n in (1500, 3000):
-        rows = frame(spark, clustered(n))
+        rows = frame(spark, clustered(n, dim=24))
         r = similarity.comparisons(rows, "id", "vec", 0.9, "block", part_rows=32).first()
         assert r.n_rows == n and r.n_pairs == n * (n - 1) // 2
         found.append(r.n_compared)
