@@ -9,8 +9,11 @@ once, at the end.
 
 An amount is cut into its whole part a and its fraction b (0 <= b < 1), and its
 square into a*a + 2*a*b + b*b, so that squares fit 38 digits: amounts below 1e14
-in up to 1e10 rows of a group. A group with an amount beyond that (or one that
-is no number) has no exact sums; its statistics are NULL, never a guess.
+in up to 1e10 rows of a group. Amounts from 1e14 to 1e28 have no cents in a double
+any more and are summed beside them as whole numbers, exactly too; only their squares are a sum
+of doubles, so the deviation of a group with such an amount may differ in its last digits.
+A group with an amount beyond that (or one that is no number) has NULL statistics, never a
+guess, and what reads them takes NULL as unknown, not as harmless.
 NULL amounts add nothing to a sum but count as rows.
 """
 
@@ -19,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DECIMAL = "DECIMAL(24,10)"
-#: Running sums of a history and their decimal types.
-MOMENTS = ("sa", "sb", "aa", "ab", "bb")
+DECIMAL, WHOLE = "DECIMAL(24,10)", "DECIMAL(28,0)"
+#: Running sums of a history; ``big`` and ``bq`` are the sum and the squares of amounts from 1e14 on.
+MOMENTS = ("sa", "sb", "aa", "ab", "bb", "big", "bq")
 
 
 def exact_sql(amount: str = "amount") -> str:
@@ -29,8 +32,12 @@ def exact_sql(amount: str = "amount") -> str:
     return f"try_cast({amount} AS {DECIMAL})"
 
 
+def _big(amount: str) -> str:
+    return f"IF({exact_sql(amount)} IS NULL, try_cast({amount} AS {WHOLE}), NULL)"
+
+
 def _lost(amount: str) -> str:
-    return f"{amount} IS NOT NULL AND {exact_sql(amount)} IS NULL"
+    return f"{amount} IS NOT NULL AND {exact_sql(amount)} IS NULL AND try_cast({amount} AS {WHOLE}) IS NULL"
 
 
 def moment_columns(amount: str = "amount") -> dict[str, Column]:
@@ -41,13 +48,17 @@ def moment_columns(amount: str = "amount") -> dict[str, Column]:
     return {
         "sa": F.expr(a), "sb": F.expr(b), "aa": F.expr(f"CAST({a} * {a} AS DECIMAL(29,0))"),
         "ab": F.expr(f"CAST({a} * {b} AS DECIMAL(26,10))"),
-        "bb": F.expr(f"CAST({b} * {b} AS DECIMAL(21,20))"), "lost": F.expr(f"IF({_lost(amount)}, 1L, 0L)"),
+        "bb": F.expr(f"CAST({b} * {b} AS DECIMAL(21,20))"), "big": F.expr(_big(amount)),
+        "bq": F.expr(f"CAST({_big(amount)} AS DOUBLE) * CAST({_big(amount)} AS DOUBLE)"),
+        "lost": F.expr(f"IF({_lost(amount)}, 1L, 0L)"),
     }
 
 
 def total(name: str, amount: str = "amount") -> Column:
     """Exact sum of the amounts of a group."""
-    return F.expr(f"IF(count_if({_lost(amount)}) = 0, CAST(try_sum({exact_sql(amount)}) AS DOUBLE), NULL) AS {name}")
+    small, big = f"CAST(try_sum({exact_sql(amount)}) AS DOUBLE)", f"CAST(sum({_big(amount)}) AS DOUBLE)"
+    return F.expr(f"CASE WHEN count_if({_lost(amount)}) > 0 THEN NULL "
+                  f"ELSE coalesce({small} + {big}, {small}, {big}) END AS {name}")
 
 
 def moment_sums(amount: str = "amount") -> list[Column]:
@@ -62,8 +73,17 @@ def merged_moment_sums() -> list[Column]:
     return [F.sum("n").alias("n"), F.sum("lost").alias("lost"), *[F.try_sum(m).alias(m) for m in MOMENTS]]
 
 
+def total_sums(amount: str = "amount") -> list[Column]:
+    """Those of ``moment_sums`` from which count and total follow."""
+    parts = moment_columns(amount)
+    return [F.count(F.lit(1)).alias("n"), F.sum(parts["lost"]).alias("lost"),
+            *[F.try_sum(parts[m]).alias(m) for m in ("sa", "sb", "big", "bq")]]
+
+
 # Results from the moment sums of n rows. Narrow types keep all ten decimals of a product.
-TOTAL = "IF(lost = 0, CAST(try_cast(sa AS DECIMAL(27,0)) + try_cast(sb AS DECIMAL(27,10)) AS DOUBLE), NULL)"
+_HAS_BIG = "coalesce(bq, 0D) > 0D"
+_SMALL = "CAST(try_cast(sa AS DECIMAL(27,0)) + try_cast(sb AS DECIMAL(27,10)) AS DOUBLE)"
+TOTAL = f"IF(lost = 0, IF({_HAS_BIG}, coalesce({_SMALL}, 0D) + CAST(big AS DOUBLE), {_SMALL}), NULL)"
 MEAN = f"IF(n > 0, {TOTAL} / n, NULL)"
 _N = "CAST(n AS DECIMAL(18,0))"
 _PIVOT = f"try_cast(floor({TOTAL} / n) AS DECIMAL(15,0))"
@@ -80,7 +100,10 @@ def stddev_sql(high: str, low: str) -> str:
     mixed = f"try_cast(ab AS DECIMAL(36,10)) - try_cast({_PIVOT} * try_cast(sb AS DECIMAL(22,10)) AS DECIMAL(36,10))"
     around = f"(CAST({whole} AS DOUBLE) + 2D * CAST({mixed} AS DOUBLE) + CAST(bb AS DOUBLE)) / n"
     off = f"(CAST({sa} - {_N} * {_PIVOT} AS DOUBLE) + CAST(sb AS DOUBLE)) / n"
+    squares = "coalesce(CAST(aa AS DOUBLE) + 2D * CAST(ab AS DOUBLE) + CAST(bb AS DOUBLE), 0D) + bq"
     return (f"CASE WHEN n > 0 AND lost = 0 AND {high} = {low} THEN 0D "
+            f"WHEN n > 0 AND lost = 0 AND {_HAS_BIG} "
+            f"THEN sqrt({_no_less_than_zero(f'({squares}) / n - ({TOTAL} / n) * ({TOTAL} / n)')}) "
             f"WHEN n > 0 AND lost = 0 THEN sqrt({_no_less_than_zero(f'{around} - ({off}) * ({off})')}) END")
 
 

@@ -10,10 +10,13 @@ from ledgerlynx.functions.text import float_text
 
 
 def decisions(scored: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Every column plus the decision, its confidence, flags and reason."""
+    """Every column plus the decision, its confidence, flags and reason. Where the deviation from the
+    vendor's history is a column but unknown, nothing is approved without a look."""
+    known = "deviation_percentage IS NOT NULL AND " if "deviation_percentage" in scored.columns else ""
+
     def pick(approved: str, rejected: str, review: str) -> Column:
         return F.expr(
-            f"CASE WHEN risk_score < {t.approve_max / 100.0}D THEN {approved} "
+            f"CASE WHEN {known}risk_score < {t.approve_max / 100.0}D THEN {approved} "
             f"WHEN risk_score >= {t.reject_min / 100.0}D THEN {rejected} "
             f"ELSE {review} END")
 

@@ -5,16 +5,18 @@ array-of-double column. ``hash_embedder`` is built in; ``model_embedder`` wraps
 a user-supplied model.
 """
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.functions.text import float_text, or_blank
 from ledgerlynx.functions.vectors import hash_vector
+from ledgerlynx.session import drop_path, move_path, path_exists
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -109,8 +111,7 @@ def embed_distinct(
 ) -> DataFrame:
     """Each distinct text once, with its vector and the number of rows that hold it.
 
-    This is the cache of an expensive model: join it back on the text, or store
-    it and embed only the texts it lacks.
+    ``EmbeddingCache`` stores the vectors of an expensive model over runs.
     """
     distinct = df.groupBy(text_col).agg(F.count(F.lit(1)).alias("n_rows"))
     return embedder_named(embedder)(distinct, text_col, out)
@@ -135,3 +136,53 @@ def embed_once(
     return attach_by_key(numbered, vectors, [text_col], "n_rows", "__spread", null_safe=True,
                          sizes=df.groupBy(text_col).agg(F.count(F.lit(1)).alias("n_rows"))) \
         .drop("__spread", "n_rows")
+
+
+class EmbeddingCache:
+    """An embedder that stores its vectors and embeds only texts it has never seen.
+
+    ``folder`` holds one table for one model: each text with its digest and vector, in one folder
+    per run that found new texts. A run's folder is written beside the table and
+    renamed into it when complete, so a failed run leaves nothing half stored and two runs at
+    once at worst embed a text twice. Texts are compared as texts; the digest only finds them.
+    """
+
+    SCHEMA = T.StructType([T.StructField("digest", T.StringType()), T.StructField("text", T.StringType()),
+                           T.StructField("vector", VECTOR)])
+
+    def __init__(self, folder: str, embedder: str | Embedder):
+        self.folder, self.embedder = folder.rstrip("/"), embedder
+
+    def known(self, spark: SparkSession) -> DataFrame:
+        """The stored texts, each once."""
+        if not path_exists(spark, f"{self.folder}/runs"):
+            return spark.createDataFrame([], self.SCHEMA)
+        rows = spark.read.schema(self.SCHEMA).option("recursiveFileLookup", True).parquet(f"{self.folder}/runs")
+        return rows.groupBy("digest", "text").agg(F.any_value("vector").alias("vector"))
+
+    def store(self, df: DataFrame, text_col: str) -> None:
+        """Embed and store the texts of ``df`` that are not known yet."""
+        spark = df.sparkSession
+        texts = df.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"),
+                          F.col(text_col).alias("text")).distinct()
+        known = self.known(spark).select(F.col("digest").alias("__digest"), F.col("text").alias("__text"))
+        unseen = texts.join(known, (F.col("digest") == F.col("__digest")) & F.col("text").eqNullSafe(F.col("__text")),
+                            "left_anti")
+        # written before the model runs: a retried task asks it again for its own rows only
+        path = f"{self.folder}/new-{uuid.uuid4().hex}"
+        unseen.write.parquet(f"{path}/texts")
+        new = spark.read.schema(unseen.schema).parquet(f"{path}/texts")
+        if not new.isEmpty():
+            embedder_named(self.embedder)(new, "text", "vector").select("digest", "text", "vector") \
+                .write.parquet(f"{path}/vectors")
+            move_path(spark, f"{path}/vectors", f"{self.folder}/runs/{uuid.uuid4().hex}")
+        drop_path(spark, path)
+
+    def __call__(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
+        """``df`` with the vectors; only unknown texts meet the model."""
+        self.store(df, text_col)
+        sizes = df.groupBy(F.col(text_col).alias("__text")).agg(F.count(F.lit(1)).alias("__rows"))
+        vectors = self.known(df.sparkSession).select(F.col("text").alias("__text"), F.col("vector").alias(out))
+        wanted = vectors.join(sizes.withColumnRenamed("__text", "__of"), F.col("__text").eqNullSafe(F.col("__of"))).drop("__of")
+        rows = df.withColumns({"__text": F.col(text_col), "__spread": F.monotonically_increasing_id()})
+        return attach_by_key(rows, wanted, ["__text"], "__rows", "__spread", null_safe=True).drop("__text", "__rows", "__spread")

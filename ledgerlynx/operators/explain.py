@@ -1,6 +1,6 @@
 """Texts that explain a score. All of them are column expressions."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,30 +95,33 @@ def _by_key(key: Column, texts: dict[str, str]) -> Column:
     return out.otherwise(F.lit(last[1]))
 
 
-def primary_factor() -> Column:
+def primary_factor(scored: DataFrame) -> Column:
     """The strictly greatest of amount, vendor and pattern risk; ties go to pattern,
     between amount and vendor to vendor."""
-    amount, vendor, pattern = F.col("amount_risk"), F.col("vendor_risk"), F.col("pattern_risk")
+    amount, vendor, pattern = (col_or(scored, f"{n}_risk", 0.0) for n in ("amount", "vendor", "pattern"))
     return (F.when((amount > vendor) & (amount > pattern), "amount")
             .when((amount <= vendor) & (vendor > pattern), "vendor")
             .otherwise("pattern"))
 
 
-def explain_rule(scored: DataFrame) -> DataFrame:
+def rule_texts(scored: DataFrame) -> list[Column]:
     """Explanation, key factors and recommendations from the level and main factor."""
-    factor, level = primary_factor(), F.col("risk_level")
+    factor, level = primary_factor(scored), col_or(scored, "risk_level", "LOW")
     high = F.concat(F.lit(RULE_HIGH_OPENING), _by_key(factor, RULE_HIGH_REASON),
                     F.lit(RULE_HIGH_CLOSING))
-    return scored.select(
-        "invoice_id", "vendor_id", "risk_score", "risk_level",
-        F.when(level == "HIGH", high).when(level == "MEDIUM", F.lit(RULE_MEDIUM))
-        .otherwise(F.lit(RULE_LOW)).alias("explanation"),
-        _by_key(factor, RULE_FACTORS).alias("key_factors"),
-        _by_key(level, RULE_ADVICE).alias("recommendations"))
+    return [F.when(level == "HIGH", high).when(level == "MEDIUM", F.lit(RULE_MEDIUM))
+            .otherwise(F.lit(RULE_LOW)).alias("explanation"),
+            _by_key(factor, RULE_FACTORS).alias("key_factors"),
+            _by_key(level, RULE_ADVICE).alias("recommendations")]
 
 
-def explain_prompt(scored: DataFrame) -> DataFrame:
-    """A prompt for a text model per invoice; missing columns take their default."""
+def explain_rule(scored: DataFrame) -> DataFrame:
+    """Every invoice with the texts of ``rule_texts``."""
+    return scored.select("invoice_id", "vendor_id", "risk_score", "risk_level", *rule_texts(scored))
+
+
+def prompt_text(scored: DataFrame) -> Column:
+    """The prompt for a text model; missing columns take their default."""
     writers = {
         "text": lambda c: c.cast("string"),
         "grouped2": lambda c: grouped(c.cast("double"), 2),
@@ -131,33 +134,57 @@ def explain_prompt(scored: DataFrame) -> DataFrame:
         if name is not None:
             value = F.coalesce(col_or(scored, name, default), F.lit(default))
             pieces.append(writers[style](value))
-    return scored.select("invoice_id", F.concat(*pieces).alias("prompt"))
+    return F.concat(*pieces).alias("prompt")
+
+
+def explain_prompt(scored: DataFrame) -> DataFrame:
+    """A prompt for a text model per invoice."""
+    return scored.select("invoice_id", prompt_text(scored))
+
+
+def answers(model: Callable[[list[str]], Sequence[str]], prompts: list[str]) -> list[str | None]:
+    """One text per prompt. A call that fails, or that does not give a text for each prompt, is
+    repeated with either half of its prompts, until a bad one is alone and gets None."""
+    if not prompts:
+        return []
+    try:
+        texts = list(model(prompts))
+    except Exception:  # whatever a model raises concerns its prompts only
+        texts = []
+    if len(texts) == len(prompts) and all(isinstance(t, str) for t in texts):
+        return texts
+    if len(prompts) == 1:
+        return [None]
+    half = len(prompts) // 2
+    return answers(model, prompts[:half]) + answers(model, prompts[half:])
 
 
 def explain_model(
     scored: DataFrame,
     load: Callable[[], Callable[[list[str]], list[str]]] | None = None,
 ) -> DataFrame:
-    """Explanations by a text model; by rule where no model is given.
+    """Explanations by a text model; by rule where no model is given or it fails.
 
     ``load`` runs once per Python worker and returns a function from a list of
-    prompts to a list of texts.
+    prompts to a list of texts. Each distinct prompt of a batch is sent once; a prompt for which
+    the model has no answer gets the rule's text, and others are not affected.
     """
     if load is None:
         return explain_rule(scored)
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
-        for pdf in batches:
-            yield pd.DataFrame({
-                "invoice_id": pdf["invoice_id"], "explanation": model(pdf["prompt"].tolist())})
-
-    return explain_prompt(scored).mapInPandas(
-        answer, "invoice_id string, explanation string"
-    ).select(
-        "invoice_id", "explanation",
-        F.lit(MODEL_FACTORS).alias("key_factors"),
-        F.lit(MODEL_ADVICE).alias("recommendations"))
+        for prompts in batches:
+            distinct = prompts.unique().tolist()
+            yield prompts.map(dict(zip(distinct, answers(model, distinct))))
+
+    told = scored.select("invoice_id", prompt_text(scored), *rule_texts(scored)).withColumn("__answer", answer("prompt"))
+    text = F.col("__answer")
+    return told.select(
+        "invoice_id", F.coalesce(text, F.col("explanation")).alias("explanation"),
+        F.when(text.isNull(), F.col("key_factors")).otherwise(F.lit(MODEL_FACTORS)).alias("key_factors"),
+        F.when(text.isNull(), F.col("recommendations")).otherwise(F.lit(MODEL_ADVICE)).alias("recommendations"))
 
 
 def audit_text(

@@ -168,9 +168,10 @@ def composite_risk(
 
 
 def add_points(enriched: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """The row plus the four triggers, ``risk_points`` (0-100) and the breakdown."""
+    """The row plus the four triggers, ``risk_points`` (0-100) and the breakdown. An unknown
+    deviation triggers like a large one."""
     triggers = {
-        "deviation_triggered": f"abs(deviation_percentage) > {t.deviation_pct}D",
+        "deviation_triggered": f"coalesce(abs(deviation_percentage) > {t.deviation_pct}D, true)",
         "bank_change_triggered": "bank_account_changed",
         "duplicate_triggered": f"{similarity_of(enriched)} > {t.similarity}D",
         "tax_mismatch_triggered": f"tax < amount * {t.tax_min_pct / 100.0}D "

@@ -16,6 +16,7 @@ from ledgerlynx.config import DEFAULTS
 from ledgerlynx.functions import money
 from ledgerlynx.functions.skew import attach_by_key
 from ledgerlynx.schemas import INVOICE_COLUMNS, VENDOR_STATS_COLUMNS
+from ledgerlynx.session import scratch_path
 
 STATS_COLUMNS = [c for c in VENDOR_STATS_COLUMNS if c != "vendor_id"]
 HISTORY_COLUMNS = [f"vendor_{c}" for c in STATS_COLUMNS]
@@ -86,13 +87,13 @@ def velocity(
             "w.start AS window_start", "w.end AS window_end")
     panes = invoices.groupBy(
         "vendor_id", F.window("ts", f"{hop_minutes} minutes").alias("pane"),
-    ).agg(*money.moment_sums()[:4])
+    ).agg(*money.total_sums())
     return panes.selectExpr(
-        "vendor_id", "n", "sa", "sb", "lost",
+        "vendor_id", "n", "sa", "sb", "big", "bq", "lost",
         f"explode(sequence(pane.start - INTERVAL {window_minutes - hop_minutes} MINUTES, "
         f"pane.start, INTERVAL {hop_minutes} MINUTES)) AS window_start",
     ).groupBy("vendor_id", "window_start").agg(
-        F.expr("sum(n) AS invoice_count"), F.expr("try_sum(sa) AS sa"), F.expr("try_sum(sb) AS sb"),
+        F.expr("sum(n) AS invoice_count"), *[F.try_sum(m).alias(m) for m in ("sa", "sb", "big", "bq")],
         F.expr("sum(lost) AS lost"),
     ).selectExpr(
         "vendor_id", "invoice_count", f"{money.TOTAL} AS total_amount",
@@ -114,6 +115,7 @@ def running_history(
     include_self: bool = True,
     bank_rule: str = "max",
     grain: str = "hour",
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Each invoice with the statistics of its vendor so far.
 
@@ -124,6 +126,10 @@ def running_history(
     since the chunk began. All the statistics combine exactly. Rows without a
     timestamp come first and form one chunk per vendor.
 
+    With ``chunk_rows`` chunks are cut by number of rows instead: the rows are range partitioned by
+    (vendor, ts, invoice_id) and written once, so a vendor with all its rows in one
+    second is still spread evenly. That costs a count and a copy of the rows.
+
     ``bank_rule``: ``max`` is the greatest account so far, ``previous`` the
     account of the invoice just before this one.
     """
@@ -131,7 +137,9 @@ def running_history(
         raise ValueError(f"bank_rule must be 'max' or 'previous', not {bank_rule!r}")
     start_of_time = F.lit("0001-01-01 00:00:00").cast("timestamp")
     parts = {f"__{m}": c for m, c in money.moment_columns().items()}
-    rows = invoices.withColumns({"__chunk": F.coalesce(F.date_trunc(grain, "ts"), start_of_time), **parts})
+    chunked = invoices.withColumn("__chunk", F.coalesce(F.date_trunc(grain, "ts"), start_of_time)) \
+        if chunk_rows is None else _cut_by_rows(invoices, chunk_rows)
+    rows = chunked.withColumns(parts)
     place = F.struct("ts", "invoice_id")
     chunks = rows.groupBy("vendor_id", "__chunk").agg(
         F.count(F.lit(1)).alias("n"), *[F.try_sum(p).alias(p) for p in parts],
@@ -180,6 +188,18 @@ def running_history(
     ).select(*invoices.columns, *HISTORY_COLUMNS)
 
 
+def _cut_by_rows(invoices: DataFrame, chunk_rows: int) -> DataFrame:
+    """The rows with ``__chunk``, the number of their range of (vendor, ts, id). Written and read
+    back: range borders come from a sample and must be the same for all later steps."""
+    spark = invoices.sparkSession
+    pieces = max(1, -(-invoices.count() // chunk_rows))
+    path = scratch_path(spark, "ranges")
+    cut = invoices.repartitionByRange(pieces, "vendor_id", "ts", "invoice_id") \
+        .withColumn("__chunk", F.spark_partition_id())
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
+
+
 def with_history(
     invoices: DataFrame,
     stats: DataFrame | None = None,
@@ -198,8 +218,11 @@ def with_history(
 
 # ------------------------------------------------------------------- checks
 
+# A vendor that has invoices but no mean (none has an amount, or one is no number) is unknown
+# history: NULL, which later steps take as a reason to look, not as "no deviation".
 DEVIATION_PCT = """CASE WHEN vendor_avg_amount > 0
-    THEN (amount - vendor_avg_amount) / vendor_avg_amount * 100D ELSE 0D END"""
+    THEN (amount - vendor_avg_amount) / vendor_avg_amount * 100D
+    WHEN vendor_avg_amount IS NULL AND vendor_total_invoices > 0 THEN NULL ELSE 0D END"""
 
 
 def _bank_changed(earlier_invoices: int = 1) -> str:
@@ -216,17 +239,19 @@ def anomalies(
     """Z-score of the amount within its vendor, and the flags drawn from it.
 
     With ``final`` history the vendor's maximum includes the row itself, so
-    ``exceeds_historical_max`` can only hold under ``prior``.
+    ``exceeds_historical_max`` can only hold under ``prior``. An unknown score (no
+    amount, or a vendor without known statistics) is NULL and flagged.
     """
     rows = with_history(invoices, stats, history)
     return rows.withColumn("amount_z_score", F.expr(
         "CASE WHEN vendor_stddev_amount > 0 "
-        "THEN (amount - vendor_avg_amount) / vendor_stddev_amount ELSE 0D END")
+        "THEN (amount - vendor_avg_amount) / vendor_stddev_amount "
+        "WHEN vendor_stddev_amount IS NULL AND vendor_total_invoices > 0 THEN NULL ELSE 0D END")
     ).selectExpr(
         *invoices.columns,
         "vendor_avg_amount AS vendor_avg", "vendor_stddev_amount AS vendor_stddev",
         "vendor_max_amount AS vendor_max", "vendor_total_invoices", "amount_z_score",
-        f"abs(amount_z_score) > {float(z_threshold)}D AS is_amount_anomaly",
+        f"coalesce(abs(amount_z_score) > {float(z_threshold)}D, true) AS is_amount_anomaly",
         f"vendor_total_invoices <= {DEFAULTS.new_vendor_invoices} AS is_new_vendor",
         f"coalesce(amount > vendor_max_amount * {DEFAULTS.over_max_factor}D, false) "
         "AS exceeds_historical_max")
@@ -257,13 +282,13 @@ def deviation(
     stats: DataFrame | None = None,
     history: str = "final",
 ) -> DataFrame:
-    """Distance of the amount from the vendor's mean in percent."""
+    """Distance of the amount from the vendor's mean in percent; an unknown one is NULL and high."""
     return with_history(invoices, stats, history).selectExpr(
         "*", f"{DEVIATION_PCT} AS deviation_percentage",
     ).selectExpr(
         "invoice_id", "vendor_id", "amount", "vendor_avg_amount", "vendor_total_invoices",
         "deviation_percentage", "abs(deviation_percentage) AS abs_deviation_percentage",
-        f"abs(deviation_percentage) > {DEFAULTS.high_deviation_pct}D AS is_high_deviation")
+        f"coalesce(abs(deviation_percentage) > {DEFAULTS.high_deviation_pct}D, true) AS is_high_deviation")
 
 
 def enrich_vendor(

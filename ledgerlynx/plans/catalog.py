@@ -412,6 +412,15 @@ def embed_distinct(spark, d):
     return _spread(out.withColumn("text_md5", F.md5("text")), "text_md5", "n_rows")
 
 
+@query
+def embed_stored(spark, d):
+    """A store that has seen the odd documents embeds the others and gives all vectors."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    store = embedding.EmbeddingCache(scratch_path(spark, "vectors"), embedding.model_embedder(digest_model))
+    store.store(docs.where("doc_id % 2 = 1"), "text")
+    return _spread(store(docs, "text"), "doc_id")
+
+
 @query
 def embed_lexical(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -562,6 +571,16 @@ def arrival_history(spark, d):
              "vendor_stddev_amount", "vendor_last_bank_account")
 
 
+@query
+def arrival_history_by_rows(spark, d):
+    """The same from chunks of 1,000 rows, however the invoices lie in time."""
+    return rounded(
+        vendor.running_history(src.load_invoices(spark, d), chunk_rows=1000), 6, "vendor_stddev_amount"
+    ).select("invoice_id", "vendor_id", "vendor_total_invoices", "vendor_total_amount",
+             "vendor_avg_amount", "vendor_max_amount", "vendor_min_amount",
+             "vendor_stddev_amount", "vendor_last_bank_account")
+
+
 # ------------------------------------------------------------- risk scoring
 
 @query
@@ -667,6 +686,25 @@ def explain_model(spark, d):
         relational.filter_high_risk(scored(spark, d)), digest_writer)
 
 
+def failing_writer():
+    """``digest_writer`` that fails for prompts whose digest begins with a 0."""
+    answer = digest_writer()
+
+    def failing(prompts: list[str]) -> list[str]:
+        texts = answer(prompts)
+        if any(t.startswith("digest 0") for t in texts):
+            raise ValueError("a prompt the model does not take")
+        return texts
+
+    return failing
+
+
+@query
+def explain_model_failing(spark, d):
+    """Every sixteenth prompt has no answer and gets the rule's text."""
+    return explain.explain_model(scored(spark, d), failing_writer)
+
+
 @query
 def explain_audit(spark, d):
     return explain.explain_audit(scored(spark, d)).select("invoice_id", "risk_explanation")
@@ -769,10 +807,10 @@ def stream_outputs(spark, d):
     return digests(spark, _streamed(spark, d), latest=True)
 
 
-def _streamed(spark, d):
+def _streamed(spark, d, invoices=None):
     """The invoices in four batches by time: later ones withdraw alerts of earlier ones."""
     out = scratch_path(spark, "stream")
-    invoices = src.load_invoices(spark, d)
+    invoices = src.load_invoices(spark, d) if invoices is None else invoices
     for q in range(4):
         invoices.where(F.expr(f"CASE WHEN ts < '1996-01-01' THEN 0 WHEN ts < '1998-01-01' THEN 1 "
                               f"WHEN ts < '2000-01-01' THEN 2 ELSE 3 END = {q}")) \
@@ -834,9 +872,29 @@ def vendor_stats_fine_amounts(spark, d):
     return rounded(vendor.vendor_stats(fine), 6, "stddev_amount")
 
 
+def _without_some_vendors(spark, d):
+    return src.load_invoices(spark, d).withColumn("vendor_id", F.expr(
+        "IF(CAST(substring(vendor_id, 5) AS BIGINT) % 7 = 0, NULL, vendor_id)"))
+
+
 @query
 def decisions_null_vendor(spark, d):
     """Invoices of every seventh vendor lack the vendor and still get a decision."""
-    rows = src.load_invoices(spark, d).withColumn("vendor_id", F.expr(
-        "IF(CAST(substring(vendor_id, 5) AS BIGINT) % 7 = 0, NULL, vendor_id)"))
-    return dec.decisions(scoring.score(rows)).select("invoice_id", "vendor_id", "risk_points", "decision")
+    return dec.decisions(scoring.score(_without_some_vendors(spark, d))).select(
+        "invoice_id", "vendor_id", "risk_points", "decision")
+
+
+@query
+def stream_null_vendor(spark, d):
+    """The same on a stream of four batches."""
+    path = _streamed(spark, d, _without_some_vendors(spark, d))["autonomous_decisions"]
+    return jsonl.read_jsonl_latest(spark, path, jsonl.T.StructType.fromDDL(
+        "invoice_id string, vendor_id string, risk_points int, decision string"))
+
+
+@query
+def decisions_huge_amount(spark, d):
+    """One invoice in 97 has an amount of 4e14, beyond what has cents in a double."""
+    rows = src.load_invoices(spark, d).withColumn("amount", F.expr("IF(amount_cents % 97 = 0, 4e14D, amount)"))
+    return dec.decisions(scoring.score(rows)).select(
+        "invoice_id", "risk_points", "decision", "vendor_total_amount")

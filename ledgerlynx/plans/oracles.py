@@ -642,6 +642,11 @@ oracle("explain_prompt", f"SELECT invoice_id, {prompt()} AS prompt FROM scored",
 oracle("explain_model", f"""SELECT invoice_id, concat('digest ', md5({prompt()})) AS explanation,
   {text(ex.MODEL_FACTORS)} AS key_factors, {text(ex.MODEL_ADVICE)} AS recommendations
 FROM scored WHERE risk_score >= 0.6e0""", "scored")
+oracle("explain_model_failing", f"""SELECT invoice_id,
+  CASE WHEN m LIKE '0%' THEN explanation ELSE concat('digest ', m) END AS explanation,
+  CASE WHEN m LIKE '0%' THEN key_factors ELSE {text(ex.MODEL_FACTORS)} END AS key_factors,
+  CASE WHEN m LIKE '0%' THEN recommendations ELSE {text(ex.MODEL_ADVICE)} END AS recommendations
+FROM (SELECT *, {rule_columns('risk_level')}, md5({prompt()}) AS m FROM (SELECT *, {FACTOR} AS factor FROM scored))""", "scored")
 oracle("explain_audit", "SELECT invoice_id, risk_explanation FROM ("
        + audit("0.0e0") + "scored)))", "scored")
 oracle("format_alert_text", f"""SELECT invoice_id, vendor_id, risk_level,
@@ -684,6 +689,20 @@ cte("nv_enr", f"""SELECT nv_inv.*, avg_amount AS vendor_avg_amount, total_invoic
 cte("nv_points", points("nv_enr", "0.0e0"), "nv_enr")
 oracle("decisions_null_vendor", f"""SELECT invoice_id, vendor_id, risk_points, {decide('risk_score')} AS decision
 FROM nv_points""", "nv_points")
+ORACLES["stream_null_vendor"] = ORACLES["decisions_null_vendor"]
+# and over invoices of which some have a huge amount
+cte("hv_inv", """SELECT * REPLACE (CASE WHEN amount_cents % 97 = 0 THEN 40000000000000000 ELSE amount_cents END AS amount_cents,
+  CASE WHEN amount_cents % 97 = 0 THEN 4.0e14 ELSE amount END AS amount) FROM inv""", "inv")
+cte("hv_vs", f"SELECT vendor_id, {stats_columns('max(bank_account)')} FROM hv_inv GROUP BY vendor_id", "hv_inv")
+cte("hv_enr", f"""SELECT hv_inv.*, avg_amount AS vendor_avg_amount, total_amount AS vendor_total_amount,
+    total_invoices AS vendor_total_invoices, {DEVIATION} AS deviation_percentage,
+    coalesce(total_invoices > 1 AND bank_account <> last_bank_account, false) AS bank_account_changed
+  FROM hv_inv JOIN hv_vs USING (vendor_id)""", "hv_inv", "hv_vs")
+cte("hv_points", points("hv_enr", "0.0e0"), "hv_enr")
+oracle("decisions_huge_amount", f"""SELECT invoice_id, risk_points, {decide('risk_score')} AS decision,
+  vendor_total_amount FROM hv_points""", "hv_points")
+ORACLES["arrival_history_by_rows"] = ORACLES["arrival_history"]
+ORACLES["embed_stored"] = ORACLES["embed_model"]
 
 oracle("similar_approx", f"""SELECT label, count(*) AS n_exact, CAST(0 AS BIGINT) AS n_wrong,
   true AS recall_reached FROM (SELECT block AS label FROM ({PAIR25})) GROUP BY label""", "vec_pairs")

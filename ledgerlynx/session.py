@@ -60,3 +60,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _hadoop(spark, path)
+    return files.exists(at)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename into a place that does not exist yet; false if it does."""
+    files, at = _hadoop(spark, source)
+    to = _hadoop(spark, target)[1]
+    files.mkdirs(to.getParent())
+    return not files.exists(to) and files.rename(at, to)

@@ -21,7 +21,9 @@ def stream_duplicates(
 
     An interval self-join: the time bound lets the state store forget rows once
     the watermark has passed. The similarity is part of the join condition, so
-    only matching pairs leave the join.
+    only matching pairs leave the join. The equality key holds a time slot of the window's length
+    beside the vendor, so a busy vendor spans many state partitions: the left copy of a row is in its
+    own slot, the right one in that and both neighbours, and a pair meets once.
     """
     rows = compute_embeddings(invoices, embedder).withWatermark("ts", watermark)
     length = norm(F.col("embedding"))
@@ -29,12 +31,15 @@ def stream_duplicates(
         "invoice_id", "vendor_id", "amount", "ts",
         F.transform("embedding", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
         .alias("unit"))
-    a, b = (unit.select(*[F.col(c).alias(f"{c}_{i}") for c in unit.columns]) for i in (1, 2))
+    slot = F.floor(F.unix_micros("ts") / F.lit(max(1, time_window_hours * 3_600_000_000)))
+    slots = {1: slot, 2: F.explode(F.array(slot - 1, slot, slot + 1))}
+    a, b = (unit.select(*[F.col(c).alias(f"{c}_{i}") for c in unit.columns], slots[i].alias(f"slot_{i}")) for i in (1, 2))
     reach = F.expr(f"INTERVAL {time_window_hours} HOURS")
     similarity = F.round(dot(F.col("unit_1"), F.col("unit_2")), 6)
     return a.join(
         b,
-        (F.col("vendor_id_1") == F.col("vendor_id_2"))
+        F.col("vendor_id_1").eqNullSafe(F.col("vendor_id_2"))  # those without a vendor are one block, as in batch
+        & (F.col("slot_1") == F.col("slot_2"))
         & (F.col("ts_2") >= F.col("ts_1") - reach)
         & (F.col("ts_2") <= F.col("ts_1") + reach)
         & (F.col("invoice_id_1") != F.col("invoice_id_2"))

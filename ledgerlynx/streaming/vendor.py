@@ -66,10 +66,12 @@ ARRIVAL_SCHEMA = T.StructType([
     T.StructField("vendor_last_bank_account", T.StringType()),
 ])
 
-# sums are whole numbers of any length, kept as text, in the order of money.MOMENTS
+# sums are whole numbers of any length, kept as text, in the order of money.MOMENTS; the squares
+# of amounts from 1e14 on are a double, as in the batch form
 _STATE = T.StructType([
     T.StructField("n", T.LongType()),
     T.StructField("sums", T.StringType()),
+    T.StructField("squares", T.DoubleType()),
     T.StructField("lost", T.LongType()),
     T.StructField("hi", T.DoubleType()),
     T.StructField("lo", T.DoubleType()),
@@ -82,20 +84,26 @@ def _moments(amount: float) -> tuple[int, ...]:
     """The parts of ``money.moment_columns`` in units of their last decimal, and whether
     the amount has none; a missing amount adds nothing."""
     if pd.isna(amount):
-        return 0, 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0, 0.0, 0
     if abs(amount) >= 1e14:
-        return 0, 0, 0, 0, 0, 1
+        if abs(amount) >= 1e28:
+            return 0, 0, 0, 0, 0, 0, 0.0, 1
+        big = int(Decimal(repr(float(amount))).to_integral_value(ROUND_HALF_UP))
+        return 0, 0, 0, 0, 0, big, float(big) * float(big), 0
     a, b = divmod(int((Decimal(repr(float(amount))) * _UNIT).to_integral_value(ROUND_HALF_UP)), _UNIT)
-    return a, b, a * a, a * b, b * b, 0
+    return a, b, a * a, a * b, b * b, 0, 0.0, 0
 
 
-def _statistics(n: int, sa: int, sb: int, aa: int, ab: int, bb: int, lost: int, flat: bool):
+def _statistics(n: int, sa: int, sb: int, aa: int, ab: int, bb: int, big: int, bq: float, lost: int, flat: bool):
     """Total, mean and deviation, by the steps of ``money.stddev_sql``."""
     if lost:
         return None, None, None
-    total = (sa * _UNIT + sb) / _UNIT
+    total = (sa * _UNIT + sb) / _UNIT + big
     if flat:
         return total, total / n, 0.0
+    if bq > 0:
+        squares = float(aa) + 2.0 * (ab / _UNIT) + bb / _UNIT**2 + bq
+        return total, total / n, math.sqrt(max(0.0, squares / n - (total / n) * (total / n)))
     pivot = math.floor(total / n)
     around = (float(aa - 2 * pivot * sa + n * pivot * pivot) + 2.0 * ((ab - pivot * sb) / _UNIT) + bb / _UNIT**2) / n
     off = (float(sa - n * pivot) + sb / _UNIT) / n
@@ -111,11 +119,11 @@ class ArrivalHistory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # rows without a timestamp come first, as in the batch form
         batch = pd.concat(list(rows)).sort_values(["ts", "invoice_id"], kind="stable", na_position="first")
-        n, sums, lost, hi, lo, bank = 0, "0,0,0,0,0", 0, None, None, None
+        n, sums, squares, lost, hi, lo, bank = 0, "0,0,0,0,0,0", 0.0, 0, None, None, None
         if self._history.exists():
-            n, sums, lost, hi, lo, bank = self._history.get()
+            n, sums, squares, lost, hi, lo, bank = self._history.get()
         so_far = list(itertools.accumulate(
-            [(*map(int, sums.split(",")), lost), *map(_moments, batch["amount"])],
+            [(*map(int, sums.split(",")), squares, lost), *map(_moments, batch["amount"])],
             lambda x, y: tuple(map(operator.add, x, y))))[1:]
         counts = np.arange(n + 1, n + len(batch) + 1)
         highs = self._so_far(batch["amount"], hi, np.fmax)
@@ -139,8 +147,8 @@ class ArrivalHistory(StatefulProcessor):
             "vendor_last_bank_account": banks,
         })
         known = [None if np.isnan(x[-1]) else float(x[-1]) for x in (highs, lows)]
-        *exact, lost = so_far[-1]
-        self._history.update((int(counts[-1]), ",".join(map(str, exact)), lost, *known, banks[-1]))
+        *exact, squares, lost = so_far[-1]
+        self._history.update((int(counts[-1]), ",".join(map(str, exact)), squares, lost, *known, banks[-1]))
 
     @staticmethod
     def _so_far(amounts: pd.Series, before: float | None, pick) -> np.ndarray:

@@ -1,7 +1,10 @@
 """No data lost or changed by size, decimals or missing values; streams agree with batch."""
 
 import datetime as dt
+import glob
+import os
 import statistics
+import uuid
 
 import pandas as pd
 import pytest
@@ -12,9 +15,11 @@ from ledgerlynx.config import Thresholds
 from ledgerlynx.operators import embedding, explain, metric, similarity, vendor
 from ledgerlynx.plans import scoring
 from ledgerlynx.sources import jsonl, sinks
-from ledgerlynx.streaming import outputs, tables
+from ledgerlynx.streaming import outputs, pairs, tables
 from ledgerlynx.streaming import vendor as stream_vendor
 
+DAY = dt.datetime(2024, 1, 3, 12)
+
 
 def test_fractions_of_a_cent_count(make):
     row = vendor.vendor_stats(make(*[dict(amount=0.004)] * 3)).first()
@@ -42,11 +47,132 @@ def test_sums_of_very_many_large_amounts_do_not_fall_to_zero(spark, make):
     assert vendor.vendor_stats(many).first().stddev_amount == pytest.approx(5e12)
 
 
-def test_amounts_without_exact_sums_are_unknown_not_zero(make):
-    inv = make(dict(amount=1e15), dict(amount=1.0), dict(amount=5.0, vendor_id="V2"))
+def test_huge_amounts_are_summed_and_no_numbers_are_unknown(make):
+    inv = make(dict(amount=1e15), dict(amount=1.0), dict(amount=5.0, vendor_id="V2"),
+               *[dict(amount=a, vendor_id="V3") for a in (float("nan"), 7.0)],
+               *[dict(amount=a, vendor_id="V4") for a in (2e27, -2e27, 12.5)], dict(amount=3e15, vendor_id="V5"))
     rows = {r.vendor_id: r for r in vendor.vendor_stats(inv).collect()}
-    assert rows["V1"].total_amount is None and rows["V1"].stddev_amount is None and rows["V1"].max_amount == 1e15
+    assert rows["V1"].total_amount == 1e15 + 1 and rows["V1"].stddev_amount == pytest.approx(5e14)
     assert rows["V2"].total_amount == 5.0
+    assert rows["V3"].total_amount is None and rows["V3"].stddev_amount is None
+    assert rows["V4"].total_amount == 12.5 and rows["V4"].stddev_amount == pytest.approx(2e27 * (2 / 3) ** 0.5)
+    assert rows["V5"].stddev_amount == 0.0 and rows["V5"].avg_amount == 3e15
+    day = {r.vendor_id: r for r in vendor.velocity(inv).groupBy("vendor_id").agg(F.max("total_amount").alias("t")).collect()}
+    assert (day["V1"].t, day["V3"].t, day["V4"].t) == (1e15 + 1, None, 12.5)
+    last = {r.vendor_id: r for r in vendor.running_history(inv).orderBy("invoice_id").collect()}
+    for v, stats in rows.items():
+        assert last[v].vendor_total_amount == stats.total_amount and last[v].vendor_stddev_amount == stats.stddev_amount
+
+
+@pytest.mark.parametrize("bad", [1e14, 1e30, float("nan"), None])
+@pytest.mark.parametrize("cfg", [scoring.ScoringConfig(), scoring.ScoringConfig(points=False)])
+def test_one_odd_amount_does_not_approve_its_vendor(make, bad, cfg):
+    """Whatever the amount, neither it nor the vendor's other invoices pass unseen."""
+    small = [dict(amount=a, tax=0.07 * a) for a in (100.0, 100.0, 900.0)]
+    inv = make(*small, dict(amount=bad, tax=1.0), *[dict(r, vendor_id="W") for r in small])
+    out = {r.invoice_id: r for r in scoring.build(inv, cfg)["autonomous_decisions"].collect()}
+    unknown = bad is None or bad != bad or bad >= 1e28
+    if cfg.points:
+        assert all(r.decision != "AUTO_APPROVE" for r in out.values())
+    if unknown:
+        assert out["I3"].decision != "AUTO_APPROVE"
+    if unknown and bad is not None:  # then nothing is known of the vendor
+        assert all(out[f"I{i}"].decision != "AUTO_APPROVE" and out[f"I{i}"].deviation_percentage is None for i in range(4))
+        assert vendor.anomalies(inv).where("is_amount_anomaly AND vendor_id = 'V1'").count() == 4
+    assert {r.invoice_id: r for r in vendor.deviation(inv).collect()}["I3"].is_high_deviation
+
+
+def test_history_cut_by_rows(make, spark):
+    """A vendor with all rows in one second is spread over chunks of any size."""
+    rows = [dict(vendor_id="hot", amount=i % 7 + 0.25, bank_account=f"A{i % 3}") for i in range(200)] + [
+        dict(vendor_id=None if i % 2 else f"v{i}", amount=None if i % 5 == 0 else float(i), ts=None if i % 3 == 0 else DAY)
+        for i in range(60)]
+    inv = make(*rows).repartition(3)
+    for args in ({}, {"include_self": False, "bank_rule": "previous"}):
+        want = vendor.running_history(inv, **args)
+        for size in (1, 13, 10_000):
+            got = vendor.running_history(inv, chunk_rows=size, **args)
+            assert got.count() == 260 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sizes = vendor._cut_by_rows(inv, 20).groupBy("vendor_id", "__chunk").count().collect()
+    assert max(r["count"] for r in sizes) <= 60 and sum(r.vendor_id == "hot" for r in sizes) >= 5
+
+
+def test_a_failing_model_costs_its_own_prompts_only(make):
+    calls = []
+
+    def model(prompts):
+        calls.append(len(prompts))
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no")
+        return [p.upper() for p in prompts]
+
+    prompts = [f"p{i}" for i in range(1000)]
+    prompts[333] = "bad"
+    got = explain.answers(model, prompts)
+    assert got == [None if p == "bad" else p.upper() for p in prompts] and len(calls) < 25
+    assert explain.answers(lambda p: p[:-1], ["a", "b"]) == [None, None]  # too few texts
+    assert explain.answers(lambda p: [1 for _ in p], ["a"]) == [None] and explain.answers(model, []) == []
+    inv = make(*[dict(amount=100.0 + i) for i in range(30)])
+    rows = scoring.build(inv)["risk_scores"]
+    rule = {r.invoice_id: r for r in explain.explain_rule(rows).collect()}
+
+    def load():
+        def answer(prompts):
+            if any("$107.00" in p for p in prompts):
+                raise RuntimeError("no")
+            return ["fine" for _ in prompts]
+        return answer
+
+    told = {r.invoice_id: r for r in explain.explain_model(rows, load).collect()}
+    assert len(told) == 30 and told["I7"].explanation == rule["I7"].explanation
+    assert told["I7"].key_factors == rule["I7"].key_factors
+    assert {r.explanation for i, r in told.items() if i != "I7"} == {"fine"}
+
+
+def test_store_embeds_a_text_once(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+    os.mkdir(seen)
+
+    def load():
+        def model(texts):
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write("\n".join(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+        return model
+
+    def asked():
+        return sorted(t for f in glob.glob(f"{seen}/*") for t in open(f).read().split("\n"))
+
+    store = embedding.EmbeddingCache(str(tmp_path / "store"), embedding.model_embedder(load))
+    docs = spark.createDataFrame([(1, "one"), (2, "three"), (3, "one"), (4, None)], "id int, t string")
+    first = {r.id: r.v for r in store(docs, "t", "v").collect()}
+    assert first == {1: [3.0, 1.0], 2: [5.0, 1.0], 3: [3.0, 1.0], 4: [0.0, 1.0]} and asked() == ["", "one", "three"]
+    again = embedding.EmbeddingCache(str(tmp_path / "store"), embedding.model_embedder(load))
+    assert {r.id: r.v for r in again(docs, "t", "v").collect()} == first and len(asked()) == 3
+    more = spark.createDataFrame([(5, "seven"), (6, "one")], "id int, t string")
+    assert {r.id: r.v for r in again(more, "t", "v").collect()} == {5: [5.0, 1.0], 6: [3.0, 1.0]}
+    assert asked() == ["", "one", "seven", "three"] and len(os.listdir(tmp_path / "store" / "runs")) == 2
+    assert again(docs.limit(0), "t", "v").count() == 0
+
+
+def test_streams_keep_invoices_without_a_vendor(spark, make, tmp_path):
+    """Null vendors, amounts and times: the stream's decisions and pairs are those of the batch."""
+    rows = [dict(invoice_id=f"N{i}", vendor_id=None if i % 3 else "V", amount=None if i == 4 else 100.0 + 50 * (i % 4),
+                 ts=None if i == 5 else DAY + dt.timedelta(hours=i)) for i in range(9)]
+    inv = make(*rows)
+    for part in ("invoice_id < 'N3'", "invoice_id >= 'N3' AND invoice_id < 'N6'", "invoice_id >= 'N6'"):
+        inv.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(inv.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    outputs.run_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    want = scoring.build(inv)["autonomous_decisions"]
+    got = jsonl.read_jsonl_latest(spark, str(tmp_path / "out/autonomous_decisions.jsonl"), want.schema).select(*want.columns)
+    assert got.count() == 9 and got.exceptAll(want).isEmpty()
+    pairs_ = pairs.stream_duplicates(stream, 0.99, time_window_hours=4, watermark="100 days")
+    tables.run_to_end(pairs_.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "p")),
+                      str(tmp_path / "cp"))
+    found = spark.read.schema(pairs_.schema).parquet(str(tmp_path / "p"))
+    want = similarity.detect_duplicates(inv, 0.99, time_window_hours=4)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
 
 
 def test_invoices_without_a_vendor_stay(make):
