@@ -700,7 +700,7 @@ cte("hv_enr", f"""SELECT hv_inv.*, avg_amount AS vendor_avg_amount, total_amount
   FROM hv_inv JOIN hv_vs USING (vendor_id)""", "hv_inv", "hv_vs")
 cte("hv_points", points("hv_enr", "0.0e0"), "hv_enr")
 oracle("decisions_huge_amount", f"""SELECT invoice_id, risk_points, {decide('risk_score')} AS decision,
-  round(vendor_total_amount, 0) AS vendor_total_amount FROM hv_points""", "hv_points")
+  CAST(floor(vendor_total_amount / 1000) AS BIGINT) AS total_thousands FROM hv_points""", "hv_points")
 ORACLES["arrival_history_by_rows"] = ORACLES["arrival_history"]
 ORACLES["embed_stored"] = ORACLES["embed_model"]
 
