@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,16 @@ def dropped(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.scratch)
 
 
+def give_back_memory() -> None:
+    """At the end of a task of large arrays: a reused Python worker returns the memory it no longer
+    uses to the machine, so that later stages find it free."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

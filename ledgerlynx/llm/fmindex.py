@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm.common import as_rows, doc_field, written
+from ledgerlynx.llm.common import as_rows, doc_field, give_back_memory, written
 
 #: Words of a window; symbols of one shard's index; distance of sampled suffixes;
 #: bytes of benchmark text that one pass holds in a task.
@@ -225,9 +225,10 @@ def _scanner(shared, shard_symbols: int):
                 if symbols >= shard_symbols or i == len(batch) - 1:
                     for doc, spans, items in scan_shard(shard, phrases):
                         out["spans"][first + doc] = [{"start": int(a), "end": int(b)} for a, b in spans]
-                        out["items"][first + doc] = sorted(str(phrases.ids[x]) for x in items)
+                        out["items"][first + doc] = sorted({str(phrases.ids[x]) for x in items})
                     shard, first, symbols = [], i + 1, 0
             yield pd.DataFrame(out)
+        give_back_memory()
     return scan
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm.common import dropped, written
+from ledgerlynx.llm.common import dropped, give_back_memory, written
 from ledgerlynx.llm.components import components
 from ledgerlynx.llm.tokens import mixed, shingles, slices, words
 
@@ -55,6 +55,7 @@ def _signer(k: int, trees: int, depth: int):
                     "row": rows[a:b][grown],
                     "content": _set_hash(grams, first)[grown].view(np.int64),
                     "labels": list(labels.view(np.int64))})
+        give_back_memory()
     return sign
 
 
@@ -85,6 +86,7 @@ def _sets(k: int):
                 grams, first = shingles(words(texts[a:b]), k)
                 yield pd.DataFrame({"row": rows[a:b], "grams": [
                     np.unique(grams[x:y]).view(np.int64).tobytes() for x, y in zip(first[:-1], first[1:])]})
+        give_back_memory()
     return make
 
 
@@ -146,6 +148,7 @@ def _verifier(threshold: float):
             links = np.bincount(at)
             rows = np.bincount(at, weights=np.concatenate([copies[j], copies[i]])).astype(np.int64)
             yield pd.DataFrame({"row": near, "links": links, "link_rows": rows, "root": near[_roots(near, x, y)]})
+        give_back_memory()
     return verify
 
 

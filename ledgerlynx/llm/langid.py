@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlynx.llm.common import give_back_memory
 from ledgerlynx.llm.tokens import slices
 
 #: n-gram lengths in bytes, slots of the hashed n-grams, and bits of a random code.
@@ -91,6 +92,7 @@ def _counter(langs_at: dict[str, int], slots: int):
         for a in range(0, len(lang), 1 << 16):
             x, y = lang[a:a + (1 << 16)], slot[a:a + (1 << 16)]
             yield pd.DataFrame({"lang": x, "slot": y, "n": total[x, y]})
+        give_back_memory()
     return count
 
 
@@ -185,6 +187,7 @@ def with_language(rows: DataFrame, text: Column, model: LanguageModel) -> DataFr
         for part in texts:
             langs, scores = shared.value.predict(list(part))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        give_back_memory()
 
     out = rows.withColumn("__found", predict(text))
     return out.select(*[f"`{c}`" for c in rows.columns], "__found.lang_pred", "__found.score",
