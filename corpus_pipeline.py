@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlynx.llm import fmindex, forest, langid, mixing, radix
-from ledgerlynx.llm.common import as_rows, doc_field, id_remainder, numbered, written
+from ledgerlynx.llm.common import as_rows, doc_field, dropped, id_remainder, numbered, written
 
 
 #: Rows that go to a Python worker at once: texts can be long, and a batch stands in
@@ -85,7 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
