@@ -21,6 +21,7 @@ from ledgerlynx.session import ROCKSDB_STATE, scratch_path
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
+from ledgerlynx.streaming.snapshots import SnapshotLog
 from ledgerlynx.streaming import vendor as stream_vendor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,12 +115,19 @@ def write_jsonl(spark, d):
 
 def digests(spark, paths, latest=False):
     """Every output read back: its rows, distinct ids and a few of its values, added up."""
-    found = []
-    for name, path in sorted(paths.items()):
+    tables_ = {}
+    for name, path in paths.items():
         fields = OUTPUT_FIELDS[name]
         schema = jsonl.T.StructType.fromDDL(fields)
-        rows = jsonl.read_jsonl_latest(spark, path, schema, key=fields.split()[0]) if latest \
+        tables_[name] = jsonl.read_jsonl_latest(spark, path, schema, key=fields.split()[0]) if latest \
             else spark.read.schema(schema).json(path)
+    return digests_of(tables_)
+
+
+def digests_of(outputs_):
+    found = []
+    for name, rows in sorted(outputs_.items()):
+        fields = OUTPUT_FIELDS[name]
         key, value = fields.split()[0], fields.split(",")[1].split()[0]
         size = F.col(value) if "double" in fields.split(",")[1] else F.length(value).cast("double")
         found.append(rows.agg(
@@ -807,7 +815,17 @@ def stream_outputs(spark, d):
     return digests(spark, _streamed(spark, d), latest=True)
 
 
-def _streamed(spark, d, invoices=None):
+@query
+def stream_snapshots(spark, d):
+    """The same outputs behind a manifest, folded after every second batch."""
+    log = SnapshotLog(spark, scratch_path(spark, "snapshots"),
+                      {n: f.split()[0] for n, f in OUTPUT_FIELDS.items()}, most_folders=2)
+    _streamed(spark, d, snapshots=log)
+    state = log.live()
+    return digests_of({name: log.read(name, state) for name in sinks.OUTPUT_NAMES})
+
+
+def _streamed(spark, d, invoices=None, snapshots=None):
     """The invoices in four batches by time: later ones withdraw alerts of earlier ones."""
     out = scratch_path(spark, "stream")
     invoices = src.load_invoices(spark, d) if invoices is None else invoices
@@ -816,7 +834,7 @@ def _streamed(spark, d, invoices=None):
                               f"WHEN ts < '2000-01-01' THEN 2 ELSE 3 END = {q}")) \
             .coalesce(1).write.mode("append").parquet(f"{out}/feed")
     feed = spark.readStream.schema(invoices.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/feed")
-    outputs.run_stream(feed, f"{out}/out", f"{out}/state")
+    outputs.run_stream(feed, f"{out}/out", f"{out}/state", snapshots=snapshots)
     return {name: f"{out}/out/{name}.jsonl" for name in sinks.OUTPUT_NAMES}
 
 

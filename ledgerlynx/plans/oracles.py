@@ -701,6 +701,7 @@ cte("hv_enr", f"""SELECT hv_inv.*, avg_amount AS vendor_avg_amount, total_amount
 cte("hv_points", points("hv_enr", "0.0e0"), "hv_enr")
 oracle("decisions_huge_amount", f"""SELECT invoice_id, risk_points, {decide('risk_score')} AS decision,
   CAST(floor(vendor_total_amount / 1000) AS BIGINT) AS total_thousands FROM hv_points""", "hv_points")
+ORACLES["stream_snapshots"] = ORACLES["stream_outputs"]
 ORACLES["arrival_history_by_rows"] = ORACLES["arrival_history"]
 ORACLES["embed_stored"] = ORACLES["embed_model"]
 

@@ -78,3 +78,18 @@ def move_path(spark: SparkSession, source: str, target: str) -> bool:
     to = _hadoop(spark, target)[1]
     files.mkdirs(to.getParent())
     return not files.exists(to) and files.rename(at, to)
+
+
+def list_paths(spark: SparkSession, folder: str) -> list[str]:
+    """What a folder holds; nothing if it does not exist."""
+    files, at = _hadoop(spark, folder)
+    return [s.getPath().toString() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    files, at = _hadoop(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
