@@ -252,7 +252,7 @@ def test_training_on_nothing(spark, documents):
 def test_items_that_repeat_an_id_count_once(documents, spark):
     text = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([("i1", text), ("i1", "alpha beta"), ("i2", "gamma")], "item_id string, text string")
-    docs = documents([(1, f"x {text} alpha beta y", "en", "s"), (2, "alpha", "en", "s")])
+    docs = documents([(1, f"x {text} alpha beta y", "en", "s"), (2, "alpha", "en", "s")]).withColumn("row", F.col("doc_id"))
     for size in (1, 1 << 20):  # a block for each item, and one for all
         got = fmindex.find_passages(docs, F.col("text"), bench, block_bytes=size).collect()
         assert sorted((r["n_words"], r["items"]) for r in got) == [(1, []), (14, ["i1"])]
