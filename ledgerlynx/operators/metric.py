@@ -177,12 +177,14 @@ class PivotIndex:
         """``query_id``, ``match_id`` and ``similarity`` (rounded; the threshold applies to it) of all
         corpus rows at the threshold."""
         cells = self.spark.read.parquet(f"{self.folder}/cells").orderBy("cell").toPandas()  # a row a pivot
+        id_type = queries.schema[query_id].dataType
+        fields = [T.StructField(query_id, id_type), T.StructField("match_id", id_type),
+                  T.StructField("similarity", T.DoubleType())]
+        if not len(cells):  # an empty corpus has no table of vectors
+            return self.spark.createDataFrame([], T.StructType(fields))
         vectors = self.spark.read.parquet(f"{self.folder}/vectors")
-        schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                               T.StructField("match_id", vectors.schema["id"].dataType),
-                               T.StructField("similarity", T.DoubleType())])
-        if not len(cells):
-            return self.spark.createDataFrame([], schema)
+        fields[1] = T.StructField("match_id", vectors.schema["id"].dataType)
+        schema = T.StructType(fields)
         asked = stored(queries.select(F.col(query_id).alias("id"), F.col(vector_col).alias("vec")), "queries")
         reach = reach_of(threshold)
         near, far = cells["near"].to_numpy(), cells["far"].to_numpy()
