@@ -150,7 +150,8 @@ class PivotIndex:
         """Rows without a vector, and zero vectors, are kept: they match at thresholds up to 0."""
         spark = corpus.sparkSession
         rows = stored(corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec")), "corpus")
-        chosen = choose_pivots(rows, "id", "vec", pivots)
+        # two pivots for each part of the corpus: more cells than that cost more than they spare
+        chosen = choose_pivots(rows, "id", "vec", min(pivots, max(1, 2 * -(-rows.count() // part_rows))))
         chosen = chosen if len(chosen) else np.zeros((1, chosen.shape[1]))
         cells = Partition(chosen, 2.0)
 
