@@ -80,6 +80,12 @@ def total_sums(amount: str = "amount") -> list[Column]:
             *[F.try_sum(parts[m]).alias(m) for m in ("sa", "sb", "big", "bq")]]
 
 
+def merged_total_sums() -> list[Column]:
+    """The same aggregates over groups that already have them."""
+    return [F.sum("n").alias("n"), F.sum("lost").alias("lost"),
+            *[F.try_sum(m).alias(m) for m in ("sa", "sb", "big", "bq")]]
+
+
 # Results from the moment sums of n rows. Narrow types keep all ten decimals of a product.
 _HAS_BIG = "coalesce(bq, 0D) > 0D"
 _SMALL = "CAST(try_cast(sa AS DECIMAL(27,0)) + try_cast(sb AS DECIMAL(27,10)) AS DOUBLE)"

@@ -85,18 +85,25 @@ def velocity(
         ).agg(count, total).selectExpr(
             "vendor_id", "n AS invoice_count", "total AS total_amount",
             "w.start AS window_start", "w.end AS window_end")
-    panes = invoices.groupBy(
+    return windows_of_panes(panes(invoices, hop_minutes), window_minutes, hop_minutes)
+
+
+def panes(invoices: DataFrame, hop_minutes: int = 5) -> DataFrame:
+    """Counts and exact sums per vendor and ``pane`` of one hop, also on a stream. Rows without a
+    timestamp are in no pane."""
+    return invoices.groupBy(
         "vendor_id", F.window("ts", f"{hop_minutes} minutes").alias("pane"),
     ).agg(*money.total_sums())
+
+
+def windows_of_panes(panes: DataFrame, window_minutes: int = 60, hop_minutes: int = 5) -> DataFrame:
+    """The sliding windows of ``panes`` of one hop, which must divide the window."""
     return panes.selectExpr(
         "vendor_id", "n", "sa", "sb", "big", "bq", "lost",
         f"explode(sequence(pane.start - INTERVAL {window_minutes - hop_minutes} MINUTES, "
         f"pane.start, INTERVAL {hop_minutes} MINUTES)) AS window_start",
-    ).groupBy("vendor_id", "window_start").agg(
-        F.expr("sum(n) AS invoice_count"), *[F.try_sum(m).alias(m) for m in ("sa", "sb", "big", "bq")],
-        F.expr("sum(lost) AS lost"),
-    ).selectExpr(
-        "vendor_id", "invoice_count", f"{money.TOTAL} AS total_amount",
+    ).groupBy("vendor_id", "window_start").agg(*money.merged_total_sums()).selectExpr(
+        "vendor_id", "n AS invoice_count", f"{money.TOTAL} AS total_amount",
         "window_start",
         f"window_start + INTERVAL {window_minutes} MINUTES AS window_end")
 

@@ -21,6 +21,7 @@ from ledgerlynx.session import ROCKSDB_STATE, scratch_path
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
+from ledgerlynx.streaming.panes import PaneLog, stream_panes, stream_windows as windows_on_stream
 from ledgerlynx.streaming.snapshots import SnapshotLog
 from ledgerlynx.streaming import vendor as stream_vendor
 
@@ -787,6 +788,52 @@ def stream_velocity(spark, d):
         spark, f"{out}/rows", ["vendor_id", "window_start"], stream.schema)
 
 
+@query
+def stream_panes_velocity(spark, d):
+    """The same windows from panes kept by the state store, put together when read."""
+    stream = stream_panes(src.events_as_invoices(_stream(spark, d, "events")), watermark=None)
+    out = scratch_path(spark, "panes")
+    tables.run_to_versions(stream, f"{out}/rows", f"{out}/checkpoint")
+    panes = tables.current_rows(spark, f"{out}/rows", ["vendor_id", "pane"], stream.schema)
+    return vendor.windows_of_panes(panes)
+
+
+@query
+def stream_windows(spark, d):
+    """Windows that the watermark (a day behind the newest event) has passed, each emitted once."""
+    stream = windows_on_stream(src.events_as_invoices(_stream(spark, d, "events")))
+    out = scratch_path(spark, "windows")
+    tables.run_to_versions(stream, f"{out}/rows", f"{out}/checkpoint", mode="append")
+    return tables.read_versions(spark, f"{out}/rows", stream.schema).drop(tables.VERSION)
+
+
+def _pane_log(spark, d):
+    """Events in four batches by id, so that most of the later ones are behind the watermark."""
+    out = scratch_path(spark, "late")
+    events = src.events_as_invoices(table(spark, d, "events"))
+    for q in range(4):
+        events.where(F.expr(f"CAST(invoice_id AS BIGINT) % 4 = {q}")).coalesce(1).write.mode("append") \
+            .parquet(f"{out}/feed/{q}")
+    log = PaneLog(spark, f"{out}/log", most_folders=2)
+    for q in range(4):  # a stream a batch: the order of files does not decide which row is late
+        log(spark.read.schema(events.schema).parquet(f"{out}/feed/{q}"), q)
+    return log
+
+
+@query
+def stream_late_rows(spark, d):
+    """Rows behind the watermark, with the batch they came in."""
+    return _pane_log(spark, d).rows_behind().select("invoice_id", "vendor_id", "amount", "ts", "_batch")
+
+
+@query
+def stream_late_reconciled(spark, d):
+    """The windows after late rows were added: those of all events."""
+    log = _pane_log(spark, d)
+    log.reconcile()
+    return log.velocity()
+
+
 @query
 def stream_vendor_stats(spark, d):
     stream = stream_vendor.stream_vendor_stats(_stream_invoices(spark, d))

@@ -552,6 +552,15 @@ FROM (SELECT CAST(user_id AS VARCHAR) AS vendor_id,
 WHERE ts < w + INTERVAL {length} MINUTE GROUP BY vendor_id, w"""
 oracle("velocity", EVENT_WINDOWS.format(length=60, hop=5, count=12))
 oracle("stream_velocity", EVENT_WINDOWS.format(length=60, hop=5, count=12))
+for name in ("stream_panes_velocity", "stream_late_reconciled"):
+    ORACLES[name] = ORACLES["velocity"]
+oracle("stream_windows", f"""SELECT * FROM ({EVENT_WINDOWS.format(length=60, hop=5, count=12)})
+WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""")
+oracle("stream_late_rows", """WITH e AS (SELECT *, event_id % 4 AS q FROM events),
+  newest AS (SELECT q, max(ts) AS t FROM e GROUP BY q)
+SELECT CAST(event_id AS VARCHAR) AS invoice_id, CAST(user_id AS VARCHAR) AS vendor_id, value AS amount, ts,
+  CAST(q AS BIGINT) AS _batch
+FROM e WHERE ts < (SELECT max(t) - INTERVAL 1 DAY FROM newest WHERE newest.q < e.q)""")
 oracle("velocity_uneven_hop", EVENT_WINDOWS.format(length=45, hop=30, count=2))
 PRIOR = ("PARTITION BY vendor_id ORDER BY ts, invoice_id "
          "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
