@@ -76,11 +76,23 @@ def leaves_of(text: str, counter: Counter) -> tuple[list[int], list[int]]:
     return ends, counts
 
 
+def in_order(edits: list[tuple[int, int, str]], size: int) -> list[tuple[int, int, str]]:
+    """Edits of a text of ``size`` code points by start, then end, then place in the list, inside the
+    text. One that begins before an earlier one ends is cut to begin there, so all new texts
+    appear, in this order, and nothing is replaced twice."""
+    out, at = [], 0
+    for start, end, new in sorted(edits, key=lambda e: e[:2]):
+        start = max(at, min(start, size))
+        at = max(start, min(end, size))
+        out.append((start, at, new))
+    return out
+
+
 def edited(text: str, ends: list[int], sums: np.ndarray, edits: list[tuple[int, int, str]],
            counter: Counter) -> tuple[str, list[int], np.ndarray, int]:
     """The text, its tree, and how many code points were split and encoded anew.
 
-    Edits are ranges of the old text that do not overlap, applied from the last
+    Edits are ranges of the old text, made disjoint by ``in_order`` and applied from the last
     to the first so earlier positions stay. Where a pre-token ends depends on the
     text from its start to two characters past its end (a blank given up before a word,
     the letters of 're), so splitting starts anew at the leaf that holds the second
@@ -90,9 +102,7 @@ def edited(text: str, ends: list[int], sums: np.ndarray, edits: list[tuple[int,
     size = len(sums) // 2
     counts = sums[size:size + len(ends)].tolist()
     anew = 0
-    for start, end, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
-        start = max(0, min(start, len(text)))
-        end = max(start, min(end, len(text)))
+    for start, end, new in reversed(in_order(edits, len(text))):
         text = text[:start] + new + text[end:]
         shift = len(new) - (end - start)
         first = int(np.searchsorted(ends, start - 2, "right")) if start > 1 else 0
@@ -150,8 +160,9 @@ def with_trees(rows: DataFrame, text: Column, ranks: str = RANKS) -> DataFrame:
 
 def apply_edits(rows: DataFrame, text: Column, edits: Column, ranks: str = RANKS) -> DataFrame:
     """``rows`` (with ``tree``) and ``edited``: the new ``text``, its ``tree`` and the number
-    of code points encoded anew. ``edits``: see EDITS; null is no edit, a null
-    replacement is empty; ranges beyond the text end at its end."""
+    of code points encoded anew. ``edits``: see EDITS; null, and one without start or end, is no
+    edit, a null replacement is empty; ranges beyond the text end at its end. Insertions at one place
+    appear in the order of the list; for ranges that overlap see ``in_order``."""
     shared = _shared(rows.sparkSession, ranks)
 
     @F.pandas_udf(f"text string, tree {TREE}, encoded_anew int")
@@ -160,7 +171,9 @@ def apply_edits(rows: DataFrame, text: Column, edits: Column, ranks: str = RANKS
         for texts, trees, changes in parts:
             out = {"text": [], "tree": [], "encoded_anew": []}
             for t, ends, sums, change in zip(texts, trees["ends"], trees["sums"], changes):
-                todo = [(e["start"], e["end"], e["text"] or "") for e in (change if change is not None else [])]
+                # Arrow may hand numbers over as floats where others are null
+                todo = [(int(e["start"]), int(e["end"]), e["text"] or "") for e in (change if change is not None else [])
+                        if e is not None and pd.notna(e["start"]) and pd.notna(e["end"])]
                 new, ends, sums, anew = edited(t or "", list(ends), np.array(sums), todo, counter)
                 out["text"].append(new if t is not None or new else None)
                 out["tree"].append({"ends": ends, "sums": sums})
@@ -171,6 +184,8 @@ def apply_edits(rows: DataFrame, text: Column, edits: Column, ranks: str = RANKS
 
 
 def join_edits(rows: DataFrame, edits: DataFrame, on: str) -> DataFrame:
-    """``rows`` with the column ``edits`` from a table ``on, start, end, text`` of single edits."""
-    lists = edits.groupBy(on).agg(F.collect_list(F.struct("start", "end", "text")).cast(EDITS).alias("edits"))
+    """``rows`` with the column ``edits`` from a table ``on, start, end, text`` of single edits, by start,
+    end and text, so that insertions at one place come in the order of their texts in every run."""
+    one = F.struct("start", "end", "text")
+    lists = edits.groupBy(on).agg(F.array_sort(F.collect_list(one)).cast(EDITS).alias("edits"))
     return rows.join(lists, on, "left")

@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlynx.llm.common import written
+from ledgerlynx.llm.common import doc_field, written
 from ledgerlynx.session import scratch_path
 
 _SPAN = "struct<kind:string,start:int,end:int>"
+#: Short hashes of digests, of which a list may be broadcast.
+SHORT = 1 << 20
 _LEDGER = f"blob binary, rules array<string>, findings array<{_SPAN}>"
 
 
@@ -123,7 +125,9 @@ def update_ledger(versions: DataFrame, ledger: str, text_col: str = "text",
     ``versions`` are historical versions of any number of paths. A version's
     blob is named by its content. Only pairs of a blob and a rule version that
     no row of the table at the path ``ledger`` has are scanned, each blob once.
-    Texts travel to the scan once, compressed and without the copies of a task.
+    Digests meet the ledger first. Of texts whose digest shares a short hash with none that is to be scanned
+    (at most ``SHORT`` such hashes, whatever the data) nothing is compressed or sent; the
+    others travel to the scan once, compressed and without the copies of a task.
     A commit is one append of one job: if it fails, the next run does its work.
     """
     spark = versions.sparkSession
@@ -136,9 +140,14 @@ def update_ledger(versions: DataFrame, ledger: str, text_col: str = "text",
         todo = blobs.mapInPandas(_blobs, "blob binary, data binary").withColumn("todo", all_rules)
     else:
         known = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = blobs.mapInPandas(_blobs, "blob binary, data binary").join(known, "blob", "left") \
+        pending = blobs.select("blob").distinct().join(known, "blob", "left") \
             .withColumn("todo", F.array_except(all_rules, F.coalesce("seen", F.array().cast("array<string>")))) \
-            .where("size(todo) > 0").drop("seen")
+            .where("size(todo) > 0").select("blob", "todo")
+        pending = written(pending, "secret-pending")
+        short = F.pmod(F.xxhash64("blob"), F.lit(SHORT)).alias("short")
+        some = F.broadcast(pending.select(short).distinct())  # at most SHORT numbers
+        unseen = blobs.withColumn("short", short).join(some, "short", "left_semi").drop("short")
+        todo = unseen.mapInPandas(_blobs, "blob binary, data binary").join(pending, "blob")
     once = todo.repartition("blob").sortWithinPartitions("blob")
     once.mapInPandas(_scanner(rules), _LEDGER).write.mode("append").parquet(ledger)
     return _ledger(spark, ledger)
@@ -156,7 +165,8 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "te
                      rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of ``versions`` (without its text) with ``findings``, sorted by start and
     then in the order of ``rules``; an empty list where there are none. Only the current
-    version of each rule counts."""
+    version of each rule counts. Other columns stay as they are, whatever their names, but one
+    named ``findings``, which the result replaces."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     current = F.array(*[F.lit(r.name) for r in rules])
     # a ledger row holds the findings of the rule versions it names, a kind in one version
@@ -167,11 +177,12 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, text_col: str = "te
         f["start"].alias("start"), F.array_position(kinds, f["kind"]).alias("place"),
         f["end"].alias("end"), f["kind"].alias("kind"))))
     found = merged.where("size(f) > 0").select("blob", order.alias("findings"))
-    paths = versions.select(*[f"`{c}`" for c in versions.columns if c != text_col],
-                            content_address(versions[f"`{text_col}`"]).alias("blob"))
-    return paths.join(written(found, "secret-findings"), "blob", "left").drop("blob") \
-        .withColumn("findings", F.coalesce("findings", F.array().cast(
-            "array<struct<start:int,place:bigint,end:int,kind:string>>")))
+    carried = [c for c in versions.columns if c != text_col and c.lower() != "findings"]
+    doc = F.struct(F.lit(True).alias("__row"), *[versions[f"`{c}`"].alias(c) for c in carried])
+    rows = versions.select(doc.alias("doc"), content_address(versions[f"`{text_col}`"]).alias("blob"))
+    out = rows.join(written(found, "secret-findings"), "blob", "left")
+    return out.select(*[doc_field(c).alias(c) for c in carried], F.coalesce("findings", F.array().cast(
+        "array<struct<start:int,place:bigint,end:int,kind:string>>")).alias("findings"))
 
 
 def scan(versions: DataFrame, ledger: str | None = None, text_col: str = "text",

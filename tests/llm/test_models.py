@@ -247,6 +247,10 @@ def test_training_on_nothing(spark, documents):
     some = documents([(1, "a b", "en", "s"), (2, None, "en", "s")]).selectExpr("doc_id AS row", "text")
     got = mixlm.score_texts(some, F.col("text"), model).collect()
     assert {r.n_known for r in got} == {0} and all(r.score < 0 for r in got)
+    clash = some.selectExpr("*", "'x' AS n_tokens", "1 AS rare", "2 AS Score", "3 AS more")
+    again = mixlm.score_texts(clash, F.col("text"), model)
+    assert again.columns == ["row", "more", *mixlm.RESULTS]
+    assert {(r.row, r.n_tokens, r.score) for r in again.collect()} == {(r.row, r.n_tokens, r.score) for r in got}
 
 
 def test_items_that_repeat_an_id_count_once(documents, spark):

@@ -349,6 +349,35 @@ def test_edits_as_a_table(spark, documents):
     assert got == {1: " 2 three", 2: "four"}
 
 
+def test_edits_without_places_ties_and_overlaps(spark, documents):
+    docs = documents([(1, "hello world foo", "en", "s"), (2, "ab", "en", "s"), (3, "ab", "en", "s")]).select("doc_id", "text")
+    table = spark.createDataFrame(
+        [(1, 0, 11, "A"), (1, 3, 14, "B"), (1, 5, 6, "C"), (2, 1, 1, "y"), (2, 1, 1, "x"), (2, 1, 2, "z"),
+         (3, None, 1, "p"), (3, 0, None, "q"), (3, -4, 0, "<"), (3, 9, 12, ">")],
+        "doc_id long, start int, `end` int, text string")
+    joined = edits.join_edits(edits.with_trees(docs, F.col("text")), table, "doc_id")
+    got = {r.doc_id: r.edited for r in edits.apply_edits(joined, F.col("text"), F.col("edits")).collect()}
+    assert {i: e.text for i, e in got.items()} == {1: "ABCo", 2: "axyz", 3: "<ab>"}
+    with open(edits.RANKS, "rb") as f:
+        counter = edits.Counter(f.read())
+    assert all(e.tree.sums[1] == counter(counter.split(e.text)) for e in got.values())
+
+
+def test_known_texts_stay_where_they_are_and_columns_keep_their_names(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "ledger")
+    texts = [f"token={i:012d}xyz" for i in range(50)]
+    docs = spark.createDataFrame([(i, t, "mine", i, i) for i, t in enumerate(texts[:40])],
+                                 "doc_id long, text string, blob string, Findings long, doc long")
+    assert secret_scan.update_ledger(docs, ledger).count() == 40
+    out = secret_scan.scan(docs, ledger)
+    assert out.columns == ["doc_id", "blob", "doc", "findings"]
+    assert all(r.blob == "mine" and r.doc == r.doc_id and len(r.findings) == 1 for r in out.collect())
+    more = docs.unionByName(spark.createDataFrame([(i, t, "new", i, i) for i, t in enumerate(texts)], docs.schema))
+    assert secret_scan.update_ledger(more, ledger).count() == 50
+    monkeypatch.setattr(secret_scan, "SHORT", 1)  # every short hash is equal: the digests decide
+    assert secret_scan.update_ledger(more, ledger).count() == 50
+
+
 def test_batches_without_results():
     import pandas as pd
     import pyarrow as pa
