@@ -122,3 +122,16 @@ def test_empty_sides(spark, corpus, tmp_path):
     index = metric.PivotIndex.build(df, "id", "vec", str(tmp_path / "some"))
     assert index.search(df.limit(0), "id", "vec", 0.5).count() == 0
     assert metric.unit_vectors(pd.Series([None, []])).tolist() == [[0.0], [0.0]]
+
+
+def test_index_in_a_session_without_arrow(spark, corpus, tmp_path):
+    rows, df = corpus
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        index = metric.PivotIndex.build(df, "id", "vec", str(tmp_path / "index"), pivots=8, part_rows=7)
+        got = index.search(df, "id", "vec", 0.99, part_rows=9).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.id, r.match_id, round(r.similarity, 6) + 0.0) for r in got} == brute(rows, rows, 0.99)
