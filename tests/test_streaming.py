@@ -12,6 +12,7 @@ from ledgerlynx.plans import scoring
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
+from ledgerlynx.streaming.snapshots import SnapshotLog
 from ledgerlynx.streaming import vendor as stream_vendor
 
 
@@ -137,3 +138,18 @@ def test_feed_readers(spark, tmp_path, make):
         spark, str(tmp_path / "feed"), "json", max_files_per_trigger=1, glob="*.json")
     tables.run_to_versions(stream, str(tmp_path / "rows"), str(tmp_path / "cp"), "append")
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
+
+
+def test_outputs_are_stored_compressed(spark, invoices, tmp_path):
+    rows = invoices.limit(200).select("invoice_id", F.lit(0.9).alias("risk_score"))
+    sinks.write_jsonl({"autonomous_decisions": rows}, str(tmp_path / "batch"))
+    sinks.write_jsonl({"autonomous_decisions": rows}, str(tmp_path / "stream"), batch_id=3)
+    sinks.append_decisions(rows, str(tmp_path / "log/all"), str(tmp_path / "log/alerts"), 0.5, batch_id=0)
+    log = SnapshotLog(spark, str(tmp_path / "snapshots"), {"autonomous_decisions": "invoice_id"})
+    log.commit({"autonomous_decisions": rows}, 0)
+    files = [f for f in tmp_path.rglob("part-*") if f.is_file()]
+    assert len({f.relative_to(tmp_path).parts[0] for f in files}) == 4 and all(f.name.endswith(".json.gz") for f in files)
+    for back in (spark.read.json(str(tmp_path / "batch/autonomous_decisions.jsonl")),
+                 jsonl.read_jsonl_latest(spark, str(tmp_path / "stream/autonomous_decisions.jsonl"), rows.schema),
+                 log.read("autonomous_decisions")):
+        assert {r.invoice_id for r in back.collect()} == {r.invoice_id for r in rows.collect()}
