@@ -135,3 +135,23 @@ def test_index_in_a_session_without_arrow(spark, corpus, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert {(r.id, r.match_id, round(r.similarity, 6) + 0.0) for r in got} == brute(rows, rows, 0.99)
+
+
+def test_small_parts_share_tasks(spark):
+    rows = frame(spark, clustered(800), lambda i: f"b{i % 20}")
+    plain = similarity._units(rows, "id", "vec", F.col("block"), (), 4, None, None)
+    partition = metric.partition_for(rows, "id", "vec", 0.9, 4, 40)
+    split = similarity._units(rows, "id", "vec", F.col("block"), (), 4, None, None, partition)
+    for units in (plain, split):
+        assert units.select("__task").distinct().count() <= 1 + 2 * units.count() // similarity.TASK_ROWS
+
+
+def test_wide_reach_does_not_copy_rows_everywhere(spark):
+    unit = clustered(1500, dim=64, members=1)  # far apart: most regions are within the reach
+    rows = frame(spark, unit)
+    partition = metric.partition_for(rows, "id", "vec", 0.25, 16, 1500)
+    units = similarity._units(rows, "id", "vec", F.col("block"), (), 16, None, None, partition)
+    assert units.count() < 100 * len(unit)
+    near = np.argwhere(np.triu(np.round(unit @ unit.T, 6) >= 0.25, 1))
+    got = similarity.similar_pairs(rows, "id", "vec", 0.25, "block", part_rows=16, both_directions=False)
+    assert {(r.id_a, r.id_b) for r in got.collect()} == {(a, b) for a, b in near.tolist()}
