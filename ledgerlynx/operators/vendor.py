@@ -20,6 +20,8 @@ from ledgerlynx.session import scratch_path
 
 STATS_COLUMNS = [c for c in VENDOR_STATS_COLUMNS if c != "vendor_id"]
 HISTORY_COLUMNS = [f"vendor_{c}" for c in STATS_COLUMNS]
+#: Rows that a task sorts when a history is cut into chunks of rows.
+RANGE_ROWS = 100_000
 
 
 # --------------------------------------------------------------- aggregates
@@ -134,8 +136,8 @@ def running_history(
     timestamp come first and form one chunk per vendor.
 
     With ``chunk_rows`` chunks are cut by number of rows instead: the rows are range partitioned by
-    (vendor, ts, invoice_id) and written once, so a vendor with all its rows in one
-    second is still spread evenly. That costs a count and a copy of the rows.
+    (vendor, ts, invoice_id), numbered in each range and written once, so a vendor with all its rows in
+    one second is still spread evenly. That costs a count and a sorted copy of the rows.
 
     ``bank_rule``: ``max`` is the greatest account so far, ``previous`` the
     account of the invoice just before this one.
@@ -196,13 +198,16 @@ def running_history(
 
 
 def _cut_by_rows(invoices: DataFrame, chunk_rows: int) -> DataFrame:
-    """The rows with ``__chunk``, the number of their range of (vendor, ts, id). Written and read
-    back: range borders come from a sample and must be the same for all later steps."""
+    """The rows with ``__chunk``, the number of their run of ``chunk_rows`` rows in the order of (vendor,
+    ts, id). Written and read back: range borders come from a sample and must be the same for all later
+    steps. A range holds many chunks, as the driver hears from the task of every range."""
     spark = invoices.sparkSession
-    pieces = max(1, -(-invoices.count() // chunk_rows))
+    pieces = max(1, -(-invoices.count() // max(chunk_rows, RANGE_ROWS)))
     path = scratch_path(spark, "ranges")
-    cut = invoices.repartitionByRange(pieces, "vendor_id", "ts", "invoice_id") \
-        .withColumn("__chunk", F.spark_partition_id())
+    order = ("vendor_id", "ts", "invoice_id")
+    at = F.monotonically_increasing_id()  # the range, then 33 bits for the row in it
+    cut = invoices.repartitionByRange(pieces, *order).sortWithinPartitions(*order).withColumn("__at", at) \
+        .withColumn("__chunk", F.expr(f"__at - __at % (1L << 33) + (__at % (1L << 33)) div {chunk_rows}")).drop("__at")
     cut.write.parquet(path)
     return spark.read.schema(cut.schema).parquet(path)
 

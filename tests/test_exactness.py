@@ -82,6 +82,14 @@ def test_one_odd_amount_does_not_approve_its_vendor(make, bad, cfg):
     assert {r.invoice_id: r for r in vendor.deviation(inv).collect()}["I3"].is_high_deviation
 
 
+def test_a_range_holds_many_chunks(make, spark):
+    inv = make(*[dict(invoice_id=f"I{i:03d}", vendor_id=f"V{i % 3}") for i in range(200)])
+    cut = vendor._cut_by_rows(inv, 20)
+    assert cut.select(F.expr("__chunk >> 33")).distinct().count() == 1  # the driver hears from one task, not from ten
+    rows = cut.orderBy("vendor_id", "ts", "invoice_id").select("__chunk").collect()
+    assert [r[0] for r in rows] == [k // 20 for k in range(200)]
+
+
 def test_history_cut_by_rows(make, spark):
     """A vendor with all rows in one second is spread over chunks of any size."""
     rows = [dict(vendor_id="hot", amount=i % 7 + 0.25, bank_account=f"A{i % 3}") for i in range(200)] + [
