@@ -183,6 +183,6 @@ class EmbeddingCache:
         self.store(df, text_col)
         sizes = df.groupBy(F.col(text_col).alias("__text")).agg(F.count(F.lit(1)).alias("__rows"))
         vectors = self.known(df.sparkSession).select(F.col("text").alias("__text"), F.col("vector").alias(out))
-        wanted = vectors.join(sizes.withColumnRenamed("__text", "__of"), F.col("__text").eqNullSafe(F.col("__of"))).drop("__of")
         rows = df.withColumns({"__text": F.col(text_col), "__spread": F.monotonically_increasing_id()})
-        return attach_by_key(rows, wanted, ["__text"], "__rows", "__spread", null_safe=True).drop("__text", "__rows", "__spread")
+        return attach_by_key(rows, vectors, ["__text"], "__rows", "__spread", null_safe=True, sizes=sizes) \
+            .drop("__text", "__spread")

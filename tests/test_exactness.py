@@ -331,3 +331,14 @@ def test_prompt_word_for_word(spark):
         0.8D AS vendor_risk, 0.78D AS pattern_risk, 2L AS vendor_total_invoices, 1234D AS vendor_avg_amount,
         7.9D AS amount_vs_avg_ratio""")
     assert explain.explain_prompt(row).first().prompt == PROMPT
+
+
+def test_stored_vectors_meet_the_texts_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, "")], "id long, text string")
+    store = embedding.EmbeddingCache(str(tmp_path / "vectors"), "hash")
+    store.store(rows.where("id > 1"), "text")
+    out = store(rows, "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "<=>" in line for line in plan.splitlines()) == 1
+    want = embedding.hash_embedder(rows, "text")
+    assert sorted(map(str, out.select(*want.columns).collect())) == sorted(map(str, want.collect()))
