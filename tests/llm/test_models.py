@@ -253,6 +253,23 @@ def test_training_on_nothing(spark, documents):
     assert {(r.row, r.n_tokens, r.score) for r in again.collect()} == {(r.row, r.n_tokens, r.score) for r in got}
 
 
+def test_weights_and_bytes_come_from_all_training_texts(spark, documents):
+    # texts longer than any that a sample would take; every third word stands once and is spelled
+    long = [" ".join(f"the {w} of x{k}z{i}" for i, w in enumerate(["cat", "dog", "cow"] * 2500)) for k in range(2)]
+    rows = documents([(k, t, "en", "s") for k, t in enumerate(long)]).selectExpr("doc_id AS row", "text")
+    model, other = (mixlm.train(r, F.col("text"), F.col("row"), 5, 1 << 12).predictors
+                    for r in (rows, rows.repartition(2, "row")))
+    assert min(len(t) for t in long) > 50_000 and (np.abs(model.weights - 0.3) > 0.05).any()
+    assert (model.weights == other.weights).all()
+    size = np.diff(model.codes.first)[model.codes.n_words:]
+    assert size[ord("z")] < size[ord("q")]  # z is in every spelled word, q in none
+    # a bit is left out of its own counts: one that is alone in its slot is as if nothing was seen there
+    seen = mixlm.seen_of(np.array([1, 0, 0, 1]))[0]
+    assert seen.level[2 * seen.kind[0]] == seen.level[2 * seen.kind[1] + 1] == mixlm.seen_of(np.zeros(2))[0].level[0]
+    counts = np.array([0, 255, 256, 70_000, 1 << 40, 0])
+    assert all((mixlm.unpacked(mixlm.packed(counts[:k])) == counts[:k]).all() for k in range(7))
+
+
 def test_items_that_repeat_an_id_count_once(documents, spark):
     text = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([("i1", text), ("i1", "alpha beta"), ("i2", "gamma")], "item_id string, text string")
