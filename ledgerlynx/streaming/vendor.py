@@ -1,14 +1,11 @@
 """Vendor operators on a stream."""
 
-import itertools
 import math
 import operator
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -82,9 +79,7 @@ _UNIT = 10**10  # amounts have ten exact decimals, as in the batch form
 
 def _moments(amount: float) -> tuple[int, ...]:
     """The parts of ``money.moment_columns`` in units of their last decimal, and whether
-    the amount has none; a missing amount adds nothing."""
-    if pd.isna(amount):
-        return 0, 0, 0, 0, 0, 0, 0.0, 0
+    the amount has none."""
     if abs(amount) >= 1e14:
         if abs(amount) >= 1e28:
             return 0, 0, 0, 0, 0, 0, 0.0, 1
@@ -110,50 +105,37 @@ def _statistics(n: int, sa: int, sb: int, aa: int, ab: int, bb: int, big: int, b
     return total, total / n, math.sqrt(max(0.0, around - off * off))
 
 
+_OUT = T.StructType([T.StructField("at", T.LongType()) if f.name == "ts" else f for f in ARRIVAL_SCHEMA])
+_RESULT = Row(*_OUT.names)
+
+
+def _known(amount: float | None) -> float | None:
+    return None if amount is None or math.isnan(amount) else amount
+
+
 class ArrivalHistory(StatefulProcessor):
     """Per vendor: count, exact sums, range and greatest account so far."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._history = handle.getValueState("history", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # rows without a timestamp come first, as in the batch form
-        batch = pd.concat(list(rows)).sort_values(["ts", "invoice_id"], kind="stable", na_position="first")
-        n, sums, squares, lost, hi, lo, bank = 0, "0,0,0,0,0,0", 0.0, 0, None, None, None
-        if self._history.exists():
-            n, sums, squares, lost, hi, lo, bank = self._history.get()
-        so_far = list(itertools.accumulate(
-            [(*map(int, sums.split(",")), squares, lost), *map(_moments, batch["amount"])],
-            lambda x, y: tuple(map(operator.add, x, y))))[1:]
-        counts = np.arange(n + 1, n + len(batch) + 1)
-        highs = self._so_far(batch["amount"], hi, np.fmax)
-        lows = self._so_far(batch["amount"], lo, np.fmin)
-        banks = list(itertools.accumulate(
-            [bank, *batch["bank_account"]], lambda a, b: b if a is None or (b is not None and b > a) else a))[1:]
-        totals, means, spreads = zip(*(_statistics(int(k), *m, h == w)
-                                       for k, m, h, w in zip(counts, so_far, highs, lows)))
-        yield pd.DataFrame({
-            "vendor_id": key[0],
-            "invoice_id": batch["invoice_id"].to_numpy(),
-            "amount": batch["amount"].to_numpy(),
-            "ts": batch["ts"].to_numpy(),
-            "bank_account": batch["bank_account"].to_numpy(),
-            "vendor_total_invoices": counts,
-            "vendor_total_amount": totals,
-            "vendor_avg_amount": means,
-            "vendor_max_amount": highs,
-            "vendor_min_amount": lows,
-            "vendor_stddev_amount": spreads,
-            "vendor_last_bank_account": banks,
-        })
-        known = [None if np.isnan(x[-1]) else float(x[-1]) for x in (highs, lows)]
-        *exact, squares, lost = so_far[-1]
-        self._history.update((int(counts[-1]), ",".join(map(str, exact)), squares, lost, *known, banks[-1]))
-
-    @staticmethod
-    def _so_far(amounts: pd.Series, before: float | None, pick) -> np.ndarray:
-        start = np.nan if before is None else before
-        return pick.accumulate(np.concatenate([[start], amounts.to_numpy(np.float64)]))[1:]
+        batch = sorted(rows, key=lambda r: (r.at is not None, r.at or 0, r.invoice_id is not None, r.invoice_id or ""))
+        known = self._history.get()
+        n, sums, squares, lost, hi, lo, bank = known or (0, "0,0,0,0,0,0", 0.0, 0, None, None, None)
+        so_far = (*map(int, sums.split(",")), squares, lost)
+        for r in batch:
+            n, amount = n + 1, _known(r.amount)
+            if amount is not None:
+                so_far = tuple(map(operator.add, so_far, _moments(amount)))
+                hi, lo = (amount, amount) if hi is None else (max(hi, amount), min(lo, amount))
+            if bank is None or (r.bank_account is not None and r.bank_account > bank):
+                bank = r.bank_account
+            total, mean, spread = _statistics(n, *so_far, hi is not None and hi == lo)
+            yield _RESULT(key[0], r.invoice_id, amount, r.at, r.bank_account, n, total, mean, hi, lo, spread, bank)
+        *exact, squares, lost = so_far
+        self._history.update((n, ",".join(map(str, exact)), squares, lost, hi, lo, bank))
 
     def close(self) -> None:
         pass
@@ -165,9 +147,10 @@ def stream_arrival_history(invoices: DataFrame) -> DataFrame:
     Equals ``running_history`` when batches arrive in time order. A vendor's
     rows of one micro-batch are sorted in memory, so bound the batch with
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``; a large backlog is a job
-    for the batch form. Needs the RocksDB state store.
+    for the batch form. Needs the RocksDB state store. Rows go to Python as they are, not as a table for
+    each vendor, and their time as a whole number, which no time zone changes.
     """
-    rows = invoices.select("vendor_id", "invoice_id", "amount", "ts", "bank_account")
-    return rows.groupBy("vendor_id").transformWithStateInPandas(
-        statefulProcessor=ArrivalHistory(), outputStructType=ARRIVAL_SCHEMA,
-        outputMode="Append", timeMode="None")
+    rows = invoices.select("vendor_id", "invoice_id", "amount", F.unix_micros("ts").alias("at"), "bank_account")
+    found = rows.groupBy("vendor_id").transformWithState(
+        statefulProcessor=ArrivalHistory(), outputStructType=_OUT, outputMode="Append", timeMode="None")
+    return found.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")

@@ -153,3 +153,29 @@ def test_outputs_are_stored_compressed(spark, invoices, tmp_path):
                  jsonl.read_jsonl_latest(spark, str(tmp_path / "stream/autonomous_decisions.jsonl"), rows.schema),
                  log.read("autonomous_decisions")):
         assert {r.invoice_id for r in back.collect()} == {r.invoice_id for r in rows.collect()}
+
+
+def test_arrival_takes_plain_rows():
+    """One pass over the rows of a vendor: no table is built for it."""
+    from types import SimpleNamespace as Obj
+
+    class State:
+        now = None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+    state = State()
+    step = stream_vendor.ArrivalHistory()
+    step.init(Obj(getValueState=lambda name, schema: state))
+    row = lambda i, at, amount, bank: Obj(invoice_id=i, at=at, amount=amount, bank_account=bank)
+    got = list(step.handleInputRows(("V",), iter([row("b", 5, 30.0, None), row("c", 5, float("nan"), "B"),
+                                                  row("a", None, 10.0, "A")]), None))
+    assert [r.invoice_id for r in got] == ["a", "b", "c"] and [r.vendor_total_invoices for r in got] == [1, 2, 3]
+    assert [(r.vendor_total_amount, r.vendor_max_amount, r.vendor_min_amount) for r in got][1:] == [(40.0, 30.0, 10.0)] * 2
+    assert [r.vendor_last_bank_account for r in got] == ["A", "A", "B"] and got[2].amount is None
+    more = list(step.handleInputRows(("V",), iter([row("d", 9, 50.0, "A")]), None))
+    assert (more[0].vendor_total_invoices, more[0].vendor_total_amount, more[0].vendor_last_bank_account) == (4, 90.0, "B")
