@@ -56,8 +56,17 @@ def moment_columns(amount: str = "amount") -> dict[str, Column]:
 
 def total(name: str, amount: str = "amount") -> Column:
     """Exact sum of the amounts of a group."""
-    small, big = f"CAST(try_sum({exact_sql(amount)}) AS DOUBLE)", f"CAST(sum({_big(amount)}) AS DOUBLE)"
-    return F.expr(f"CASE WHEN count_if({_lost(amount)}) > 0 THEN NULL "
+    return total_of_parts(name, exact_sql(amount), _big(amount), _lost(amount))
+
+
+def parts(amount: str = "amount") -> dict[str, Column]:
+    """What ``total`` sums of a row, for groups that share rows."""
+    return {"small": F.expr(exact_sql(amount)), "big": F.expr(_big(amount)), "lost": F.expr(_lost(amount))}
+
+
+def total_of_parts(name: str, small: str, big: str, lost: str) -> Column:
+    small, big = f"CAST(try_sum({small}) AS DOUBLE)", f"CAST(sum({big}) AS DOUBLE)"
+    return F.expr(f"CASE WHEN count_if({lost}) > 0 THEN NULL "
                   f"ELSE coalesce({small} + {big}, {small}, {big}) END AS {name}")
 
 

@@ -17,7 +17,7 @@ from ledgerlynx.functions import vectors
 from ledgerlynx.operators import (
     decisions as dec, duplicates, embedding, explain, metric, relational, reports, risk, similarity, vendor)
 from ledgerlynx.plans import scoring
-from ledgerlynx.session import ROCKSDB_STATE, scratch_path
+from ledgerlynx.session import DISK_STATE, ROCKSDB_STATE, scratch_path, settings_of
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
@@ -783,7 +783,8 @@ def stream_velocity(spark, d):
     stream = stream_vendor.stream_velocity(
         src.events_as_invoices(_stream(spark, d, "events")), watermark=None)
     out = scratch_path(spark, "velocity")
-    tables.run_to_versions(stream, f"{out}/rows", f"{out}/checkpoint")
+    with settings_of(spark, DISK_STATE):
+        tables.run_to_versions(stream, f"{out}/rows", f"{out}/checkpoint")
     return tables.current_rows(
         spark, f"{out}/rows", ["vendor_id", "window_start"], stream.schema)
 
@@ -922,9 +923,10 @@ def stream_duplicates(spark, d):
     out = scratch_path(spark, "pairs")
     stream = pairs.stream_duplicates(
         _stream_invoices(spark, d), time_window_hours=24 * 7, watermark="10000 days")
-    tables.run_to_end(
-        stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"),
-        f"{out}/checkpoint")
+    with settings_of(spark, DISK_STATE):
+        tables.run_to_end(
+            stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows"),
+            f"{out}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 

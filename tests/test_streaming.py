@@ -179,3 +179,26 @@ def test_arrival_takes_plain_rows():
     assert [r.vendor_last_bank_account for r in got] == ["A", "A", "B"] and got[2].amount is None
     more = list(step.handleInputRows(("V",), iter([row("d", 9, 50.0, "A")]), None))
     assert (more[0].vendor_total_invoices, more[0].vendor_total_amount, more[0].vendor_last_bank_account) == (4, 90.0, "B")
+
+
+def _state_rows(stream, folder, mode):
+    """Rows that the stream's stateful operator holds after all input, which goes to ``folder``."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint") \
+        .trigger(availableNow=True).foreachBatch(
+            lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/rows/_version={i}")).start()
+    query.awaitTermination()
+    return max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+
+
+def test_velocity_holds_two_state_rows_for_an_invoice(spark, make, tmp_path):
+    at = dt.datetime(2024, 1, 3, 12, 32, 1)
+    times = [at, at + dt.timedelta(minutes=7), at + dt.timedelta(minutes=61), dt.datetime(1969, 12, 31, 23, 59), None]
+    amounts = [10.25, None, 3e15, 1e30, 5.0]
+    rows = make(*[{"ts": t, "amount": a, "vendor_id": v} for t in times for a in amounts for v in ("V1", None)])
+    rows.repartition(3).write.parquet(f"{tmp_path}/feed")
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
+    stream = stream_vendor.stream_velocity(feed, watermark=None)
+    # three times of two vendors, in two of three blocks each, and one time in two
+    assert _state_rows(stream, tmp_path, "update") <= 2 * (3 + 2)
+    got = tables.current_rows(spark, f"{tmp_path}/rows", ["vendor_id", "window_start"], stream.schema)
+    assert same(vendor.velocity(rows), got)
