@@ -9,6 +9,9 @@ from ledgerlynx.config import DEFAULTS
 from ledgerlynx.functions.vectors import dot, norm
 from ledgerlynx.operators.embedding import Embedder, compute_embeddings
 
+#: Windows that a slot of the state is long: a row is kept 2 + 2 / SLOT_WINDOWS times.
+SLOT_WINDOWS = 4
+
 
 def stream_duplicates(
     invoices: DataFrame,
@@ -21,9 +24,9 @@ def stream_duplicates(
 
     An interval self-join: the time bound lets the state store forget rows once
     the watermark has passed. The similarity is part of the join condition, so
-    only matching pairs leave the join. The equality key holds a time slot of the window's length
+    only matching pairs leave the join. The equality key holds a time slot of ``SLOT_WINDOWS`` windows
     beside the vendor, so a busy vendor spans many state partitions: the left copy of a row is in its
-    own slot, the right one in that and both neighbours, and a pair meets once.
+    own slot, the right one in each slot that its window reaches (one or two), and a pair meets once.
     """
     rows = compute_embeddings(invoices, embedder).withWatermark("ts", watermark)
     length = norm(F.col("embedding"))
@@ -31,8 +34,9 @@ def stream_duplicates(
         "invoice_id", "vendor_id", "amount", "ts",
         F.transform("embedding", lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
         .alias("unit"))
-    slot = F.floor(F.unix_micros("ts") / F.lit(max(1, time_window_hours * 3_600_000_000)))
-    slots = {1: slot, 2: F.explode(F.array(slot - 1, slot, slot + 1))}
+    window = time_window_hours * 3_600_000_000
+    slot = lambda shift: F.floor((F.unix_micros("ts") + F.lit(shift)) / F.lit(max(1, SLOT_WINDOWS * window)))
+    slots = {1: slot(0), 2: F.explode(F.sequence(slot(-window), slot(window)))}
     a, b = (unit.select(*[F.col(c).alias(f"{c}_{i}") for c in unit.columns], slots[i].alias(f"slot_{i}")) for i in (1, 2))
     reach = F.expr(f"INTERVAL {time_window_hours} HOURS")
     similarity = F.round(dot(F.col("unit_1"), F.col("unit_2")), 6)

@@ -202,3 +202,16 @@ def test_velocity_holds_two_state_rows_for_an_invoice(spark, make, tmp_path):
     assert _state_rows(stream, tmp_path, "update") <= 2 * (3 + 2)
     got = tables.current_rows(spark, f"{tmp_path}/rows", ["vendor_id", "window_start"], stream.schema)
     assert same(vendor.velocity(rows), got)
+
+
+def test_pairs_hold_few_copies_of_a_row(spark, make, tmp_path):
+    day = dt.datetime(2024, 1, 3)
+    hours = [*range(0, 30, 3), 40, 63.9, 64, 88, 112.1, 200, 224, 248.01]
+    rows = make(*[{"ts": day + dt.timedelta(hours=h)} for h in hours])
+    rows.write.parquet(f"{tmp_path}/feed")
+    feed = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/feed")
+    stream = pairs.stream_duplicates(feed, 0.9, 24, "10000 days")
+    assert _state_rows(stream, tmp_path, "append") < 3 * len(hours)
+    got = {(r.invoice_id_1, r.invoice_id_2) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert got == {(f"I{i}", f"I{j}") for i, a in enumerate(hours) for j, b in enumerate(hours)
+                   if i != j and abs(a - b) <= 24}
