@@ -813,8 +813,7 @@ def _pane_log(spark, d):
     out = scratch_path(spark, "late")
     events = src.events_as_invoices(table(spark, d, "events"))
     for q in range(4):
-        events.where(F.expr(f"CAST(invoice_id AS BIGINT) % 4 = {q}")).coalesce(1).write.mode("append") \
-            .parquet(f"{out}/feed/{q}")
+        events.where(F.expr(f"CAST(invoice_id AS BIGINT) % 4 = {q}")).write.mode("append").parquet(f"{out}/feed/{q}")
     log = PaneLog(spark, f"{out}/log", most_folders=2)
     for q in range(4):  # a stream a batch: the order of files does not decide which row is late
         log(spark.read.schema(events.schema).parquet(f"{out}/feed/{q}"), q)

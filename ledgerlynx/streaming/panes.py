@@ -121,5 +121,7 @@ class PaneLog(SnapshotLog):
         return rows.limit(0) if reconciled and name == "late" else rows
 
     def velocity(self, window_minutes: int = 60) -> DataFrame:
-        """The windows of all rows in the panes by now."""
-        return vendor.windows_of_panes(self.read("panes"), window_minutes, self.hop_minutes)
+        """The windows of all rows in the panes by now. The sums of a pane that several batches added to
+        meet in its windows; they are not added up before."""
+        panes = self._stored(self.live()["tables"]["panes"])
+        return vendor.windows_of_panes(panes, window_minutes, self.hop_minutes)

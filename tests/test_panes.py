@@ -92,3 +92,20 @@ def test_append_mode_gives_closed_windows_once(spark, make, tmp_path):
     got = tables.read_versions(spark, str(tmp_path / "out"), stream.schema).drop(tables.VERSION)
     closed = vendor.velocity(rows).where(F.col("window_end") <= F.lit(at(7 * 29 - 60)))
     assert closed.count() > 0 and same(closed, got)
+
+
+def test_windows_of_a_log_meet_its_panes_once(spark, make, tmp_path):
+    day = dt.datetime(2024, 1, 3)
+    batches = [make(*[{"ts": day + dt.timedelta(minutes=7 * i), "amount": a, "vendor_id": v}
+                      for i in range(q, 9) for a in (10.25, None, 3e15) for v in ("V1", None)]) for q in range(4)]
+    log = panes.PaneLog(spark, str(tmp_path / "log"))
+    for q, rows in enumerate(batches):
+        log(rows, q)
+    got = log.velocity()
+    assert len(log.live()["tables"]["panes"]["folders"]) == 4
+    # sums of one pane from four batches go to its windows as they are: one shuffle
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    every = batches[0]
+    for rows in batches[1:]:
+        every = every.unionByName(rows)
+    assert same(vendor.velocity(every), got)
