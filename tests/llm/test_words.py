@@ -386,3 +386,26 @@ def test_batches_without_results():
     parts = list(chains._chainer(50)(iter([few, few.iloc[:0]])))
     assert all(len(pa.array(p["xs"], type=pa.list_(pa.int32()))) == 0 for p in parts)
     assert list(secret_scan._scanner(secret_scan.RULES)(iter([few.iloc[:0].assign(blob=[], data=[], todo=[])]))) == []
+
+
+def test_seeds_travel_in_packs():
+    import pandas as pd
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(200)]
+    texts += texts[:20]  # copies in the same batch
+    rows = [(5 << 33) - 7 * i for i in range(len(texts))]  # far from 0 and falling
+    packs = pd.concat(list(chains._seeder(50)(iter([pd.DataFrame({"row": rows, "text": texts})]))))
+    seeds = packs[~packs["met"]]
+    n_seeds = sum(chains._size(d, 5) for d in seeds["data"])
+    assert n_seeds > 40_000 and seeds["data"].map(len).sum() < 16 * n_seeds  # packs of a batch as small as this have few seeds each
+    # across two batches and many packs every pair of a seed meets once, both ways
+    pieces = [packs.sort_values("bucket", kind="stable").iloc[a:a + 100] for a in range(0, len(packs), 100)]
+    met = pd.concat(list(chains._meet(iter(pieces)))).sort_values("bucket", kind="stable")
+    pairs = pd.concat(list(chains._pairs(iter([met.iloc[:300], met.iloc[300:]]))))
+    assert not pairs.duplicated().any()
+    assert set(zip(pairs["row"], pairs["other"])) == {
+        p for i in range(20) for p in ((rows[i], rows[200 + i]), (rows[200 + i], rows[i]))}
+    assert (pairs["pos"] == pairs["other_pos"]).all()
+    columns = [np.array([0, 255, 256]), np.zeros(3, np.int64), np.array([1 << 47, 1, 2])]
+    assert all((a == b).all() for a, b in zip(chains._widened(chains._narrow(columns), 3), columns))
