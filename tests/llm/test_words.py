@@ -409,3 +409,41 @@ def test_seeds_travel_in_packs():
     assert (pairs["pos"] == pairs["other_pos"]).all()
     columns = [np.array([0, 255, 256]), np.zeros(3, np.int64), np.array([1 << 47, 1, 2])]
     assert all((a == b).all() for a, b in zip(chains._widened(chains._narrow(columns), 3), columns))
+
+
+@pytest.mark.parametrize("crowd", [4, 1024])
+def test_all_surroundings_of_a_seed_meet(monkeypatch, crowd):
+    import pandas as pd
+
+    monkeypatch.setattr(chains, "CROWD", crowd)
+    rng = random.Random(9)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    line = fill(12)
+    texts = [" ".join(fill(30) + line + fill(30 + i)) for i in range(23)]
+    parts = [pd.DataFrame({"row": range(a, b), "text": texts[a:b]}) for a, b in ((0, 9), (9, 23))]
+    packs = pd.concat(list(chains._seeder(50)(iter(parts)))).sort_values("bucket", kind="stable")
+    crossed = list(chains._cross(chains._crowds(iter([packs.iloc[:50], packs.iloc[50:]]))))
+    assert bool(crossed) == (crowd < 23)
+    met = pd.concat([*chains._meet(iter([packs])), *crossed]).sort_values("bucket", kind="stable")
+    pairs = pd.concat(list(chains._pairs(iter([met]))))
+    assert set(zip(pairs["row"], pairs["other"])) == {(i, j) for i in range(23) for j in range(23) if i != j}
+    assert not pairs.duplicated().any() and (pairs["pos"] == pairs["other_pos"]).all()
+
+
+def test_changed_copies_whose_parts_stand_in_many_documents(documents):
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(4):
+        passage = fill(100)
+        changed = [fill(1)[0] if i % 9 == 4 else v for i, v in enumerate(passage)]
+        for q in range(4):
+            for p in (passage, changed):
+                texts += [fill(10) + p[25 * q:25 * q + 25] + fill(10) for _ in range(20)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [fill(20) + passage + fill(20), fill(30) + changed + fill(5)]
+    rows = documents([(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]).selectExpr("doc_id AS row", "text")
+    got = {r.row: r for r in chains.repeated_passages(rows, F.col("text")).collect()}
+    for a, b in pairs:
+        assert got[a].others == [b] and got[b].others == [a]
+        assert [abs(s.start - 20) <= 5 and abs(s.end - 120) <= 5 for s in got[a].spans] == [True]
