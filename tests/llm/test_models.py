@@ -277,3 +277,27 @@ def test_items_that_repeat_an_id_count_once(documents, spark):
     for size in (1, 1 << 20):  # a block for each item, and one for all
         got = fmindex.find_passages(docs, F.col("text"), bench, block_bytes=size).collect()
         assert sorted((r["n_words"], r["items"]) for r in got) == [(1, []), (14, ["i1"])]
+
+
+def test_every_bit_moves_the_weights_of_its_gate():
+    rng = np.random.default_rng(4)
+    codes = mixlm.make_codes(np.sort(words(["a b ab"]).hash), np.array([5, 3, 2]), 4, 6,
+                             np.bincount([97, 98, 97, 256], minlength=257))
+    odds = [rng.normal(size=s).astype(np.float32) for s in mixlm._table_sizes(codes, 64)]
+    model = mixlm.Predictors(codes, 64, odds, rng.normal(0.4, 0.2, (mixlm.GATES, mixlm.CONTEXTS)).astype(np.float32))
+    texts = ["a b ab a", "", "zz yy " * 20, "b", "ab c " * 9]  # all of less than 2,048 bits
+    bits = mixlm.decisions(*mixlm.symbols_of(words(texts), codes)[:2], codes)
+    x, want = model.inputs(bits), []
+    for p, q in zip(bits.borders[:-1], bits.borders[1:]):
+        weights, cost = model.weights.astype(float), 0.0
+        for i in range(p, q):
+            own, sign = weights[bits.gate[i]], 2 * int(bits.bit[i]) - 1
+            chance = 1 / (1 + math.exp(-sign * float(own @ x[:, i])))
+            cost -= math.log(chance)
+            own += mixlm.RATE * sign * (1 - chance) * x[:, i]
+        want.append(-cost)
+    assert mixlm.mix(x, bits, model.weights) == pytest.approx(want, rel=1e-4)
+    assert mixlm.mix(x, bits, model.weights, rate=0) != pytest.approx(want, rel=1e-2)
+    parts = [mixlm.decisions(*mixlm.symbols_of(words(texts[a:b]), codes)[:2], codes) for a, b in ((0, 2), (2, 5))]
+    joined = mixlm.one_behind_the_other([p.mixed_only() for p in parts])
+    assert mixlm.mix(np.concatenate([model.inputs(p) for p in parts], axis=1), joined, model.weights) == pytest.approx(want, rel=1e-4)
