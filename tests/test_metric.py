@@ -155,3 +155,33 @@ def test_wide_reach_does_not_copy_rows_everywhere(spark):
     near = np.argwhere(np.triu(np.round(unit @ unit.T, 6) >= 0.25, 1))
     got = similarity.similar_pairs(rows, "id", "vec", 0.25, "block", part_rows=16, both_directions=False)
     assert {(r.id_a, r.id_b) for r in got.collect()} == {(a, b) for a, b in near.tolist()}
+
+
+def test_search_writes_no_copies_of_vectors(spark, tmp_path):
+    from pathlib import Path
+
+    from ledgerlynx.session import shared_folder
+
+    unit = clustered(1500, dim=64, members=1)  # far apart: a vector's partners can be in most cells
+    rows = frame(spark, unit).drop("block")
+    kept = set(Path(shared_folder(spark)).iterdir())
+    index = metric.PivotIndex.build(rows, "id", "vec", str(tmp_path / "index"), part_rows=16)
+    found = index.search(rows, "id", "vec", 0.25, part_rows=16)
+    near = np.argwhere(np.round(unit @ unit.T, 6) >= 0.25)
+    assert {(r.id, r.match_id) for r in found.collect()} == {(a, b) for a, b in near.tolist()}
+    new = [p for folder in set(Path(shared_folder(spark)).iterdir()) - kept for p in folder.rglob("*.parquet")]
+    assert sum(p.stat().st_size for p in new) < 2 * unit.nbytes
+
+
+@pytest.mark.parametrize("rows", [3, 40, 1000])
+def test_groups_hold_all_cells_once(rows):
+    rng = np.random.default_rng(2)
+    space = metric.Partition(clustered(30, 5, 3), 0.5)
+    sizes = rng.integers(1, 100, 30)
+    parts = -(-sizes // 5)
+    first, n = metric._groups(space, sizes, parts, rows)
+    alone = sizes > rows
+    assert (n[~alone] == 1).all() and (n[alone] == np.minimum(parts, -(-sizes // rows))[alone]).all()
+    held = np.bincount(first[~alone], weights=sizes[~alone], minlength=int((first + n).max()))
+    assert held.max() <= rows and not held[first[alone]].any()
+    assert len({g for f, k in zip(first[alone], n[alone]) for g in range(f, f + k)}) == n[alone].sum()
