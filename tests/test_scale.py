@@ -178,3 +178,35 @@ def test_duplicate_info_may_repeat_an_invoice(make, spark):
     info = spark.createDataFrame([("I0",), ("I0",)], "invoice_id string")
     out = risk.join_left_dup_flag(inv, info).select("invoice_id", "is_duplicate").collect()
     assert sorted(map(tuple, out)) == [("I0", True), ("I1", False)]
+
+
+def test_approximate_pairs_leave_one_table_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, "b", (v / 10 + 1).tolist()) for i, v in enumerate(rng.normal(size=(60, 5)))]  # near: equal in most tables
+    df = spark.createDataFrame(rows + [(7, "b", rows[7][2])], "id long, block string, vec array<double>")
+    left = []
+    pairs = similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *a, **k: left.append(pairs(*a, **k)) or left[-1])
+    got = similarity.similar_approx(df, "id", "vec", 0.9, "block", bucket_length=1.0, part_rows=8)
+    found = {(r.id_a, r.id_b) for r in got.collect()}
+    assert len(found) == got.count() and {(b, a) for a, b in found} == found
+    once = left[0].collect()
+    assert len([r for r in once if 7 not in (r.id_a, r.id_b)]) == len(
+        {(r.id_a, r.id_b) for r in once if 7 not in (r.id_a, r.id_b)}) > 1000
+
+
+def test_large_parts_leave_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(90, 4))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, "b", v.tolist()) for i, v in enumerate(unit)], "id long, block string, vec array<double>")
+    monkeypatch.setattr(similarity, "SMALL_UNIT", 10)
+    monkeypatch.setattr(similarity, "PRODUCT", 200)
+    pdf = similarity._units(rows, "id", "vec", F.col("block"), (), 40, None, None).toPandas()
+    pdf["__unit"] = pdf.groupby(similarity._UNIT, sort=False, dropna=False).ngroup()
+    pdf = pdf.sort_values(["__unit", "__side"], kind="stable").reset_index(drop=True)
+    ids, got, most = pdf["__id"].to_numpy(), [], 0
+    for a, b, _ in similarity._scored_pairs(pdf, np.stack(pdf["__vec"]), -2.0):
+        got += [tuple(sorted(p)) for p in zip(ids[a].tolist(), ids[b].tolist())]
+        most = max(most, len(a))
+    assert most <= 200 and sorted(got) == [(i, j) for i in range(90) for j in range(i + 1, 90)]
