@@ -2,13 +2,16 @@
 
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helpers import same
 from ledgerlynx.operators import similarity, vendor
 from ledgerlynx.plans import scoring
+from ledgerlynx.session import shared_folder
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
@@ -215,3 +218,19 @@ def test_pairs_hold_few_copies_of_a_row(spark, make, tmp_path):
     got = {(r.invoice_id_1, r.invoice_id_2) for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
     assert got == {(f"I{i}", f"I{j}") for i, a in enumerate(hours) for j, b in enumerate(hours)
                    if i != j and abs(a - b) <= 24}
+
+
+def test_only_what_was_an_alert_is_withdrawn(spark, invoices, feed, tmp_path):
+    out = str(tmp_path / "out")
+    kept = {p.name for p in Path(shared_folder(spark)).glob("stats-*")}
+    outputs.run_stream(feed(), out, str(tmp_path / "state"))
+    want = {r.invoice_id for r in scoring.build(invoices)["high_risk_alerts"].collect()}
+    for name in ("high_risk_alerts", "explanations"):
+        log = spark.read.schema("invoice_id string, active boolean, _batch long").json(f"{out}/{name}.jsonl").collect()
+        was = set()
+        for b in sorted({r._batch for r in log}):
+            assert {r.invoice_id for r in log if r._batch == b and not r.active} <= was
+            was |= {r.invoice_id for r in log if r._batch == b and r.active}
+        got = jsonl.read_jsonl_latest(spark, f"{out}/{name}.jsonl", T.StructType.fromDDL("invoice_id string"))
+        assert {r.invoice_id for r in got.collect()} == want
+    assert {p.name for p in Path(shared_folder(spark)).glob("stats-*")} == kept  # scratch of the batches is gone
