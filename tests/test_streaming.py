@@ -2,7 +2,6 @@
 
 import datetime as dt
 import json
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 from helpers import same
 from ledgerlynx.operators import similarity, vendor
 from ledgerlynx.plans import scoring
-from ledgerlynx.session import shared_folder
+from ledgerlynx.session import path_exists, scratch_path
 from ledgerlynx.sources import invoices as src
 from ledgerlynx.sources import jsonl, sinks
 from ledgerlynx.streaming import live, outputs, pairs, tables
@@ -220,9 +219,9 @@ def test_pairs_hold_few_copies_of_a_row(spark, make, tmp_path):
                    if i != j and abs(a - b) <= 24}
 
 
-def test_only_what_was_an_alert_is_withdrawn(spark, invoices, feed, tmp_path):
-    out = str(tmp_path / "out")
-    kept = {p.name for p in Path(shared_folder(spark)).glob("stats-*")}
+def test_only_what_was_an_alert_is_withdrawn(spark, invoices, feed, tmp_path, monkeypatch):
+    out, scratch = str(tmp_path / "out"), []
+    monkeypatch.setattr(outputs, "scratch_path", lambda *a: scratch.append(scratch_path(*a)) or scratch[-1])
     outputs.run_stream(feed(), out, str(tmp_path / "state"))
     want = {r.invoice_id for r in scoring.build(invoices)["high_risk_alerts"].collect()}
     for name in ("high_risk_alerts", "explanations"):
@@ -233,4 +232,4 @@ def test_only_what_was_an_alert_is_withdrawn(spark, invoices, feed, tmp_path):
             was |= {r.invoice_id for r in log if r._batch == b and r.active}
         got = jsonl.read_jsonl_latest(spark, f"{out}/{name}.jsonl", T.StructType.fromDDL("invoice_id string"))
         assert {r.invoice_id for r in got.collect()} == want
-    assert {p.name for p in Path(shared_folder(spark)).glob("stats-*")} == kept  # scratch of the batches is gone
+    assert len(scratch) == 4 and not any(path_exists(spark, p) for p in scratch)
